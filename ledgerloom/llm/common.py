@@ -51,6 +51,13 @@ def with_fields(row: T.StructType | T.DataType, *fields: tuple[str, str]) -> T.S
     return T.StructType([T.StructField("row", row), *added])
 
 
+def with_text(batches: Iterator[pa.RecordBatch], field: str = "text") -> Iterator[pa.RecordBatch]:
+    """Each batch with a field of its struct `row` as the column _text."""
+    for batch in batches:
+        kind = batch.schema.field("row").type
+        yield batch.append_column("_text", pc.struct_field(batch.column("row"), kind.get_field_index(field)))
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = CHUNK_BYTES) -> Iterator[tuple[pa.RecordBatch, list]]:
     """Each batch in slices of about `limit` bytes of `column`, with that column's values as bytes."""
     for batch in batches:

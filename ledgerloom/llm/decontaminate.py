@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.common import nested, ranges, slices, table, with_fields
+from ledgerloom.llm.common import nested, ranges, slices, table, with_fields, with_text
 
 WINDOW, SHINGLE = 10, 3
 #: Item bytes that are broadcast together; a larger benchmark is taken in several such blocks.
@@ -162,13 +162,7 @@ def _count_shingles(shared):
 def _find(shared, out: pa.Schema | None = None):
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index: ItemIndex = shared.value
-
-        def rows():
-            for batch in batches:
-                text = batch.column("row").field(batch.schema.field("row").type.get_field_index("text"))
-                yield batch.append_column("_text", text)
-
-        for batch, texts in slices(rows(), "_text"):
+        for batch, texts in slices(with_text(batches), "_text"):
             ids, begins, counts = _chunk_ids(index, texts)
             s, w = index.matches(ids)
             edges = np.zeros(len(ids) + 1, np.int64)

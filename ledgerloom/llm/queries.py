@@ -7,15 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ledgerloom.llm.decontaminate import OP10_SQL, op10_decontaminate
+from ledgerloom.llm.substring import OP1_SQL, op1_substring_dedup
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_substring_dedup": op1_substring_dedup,
         "op10_decontaminate": op10_decontaminate,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op1_substring_dedup": OP1_SQL,
         "op10_decontaminate": OP10_SQL,
     }
