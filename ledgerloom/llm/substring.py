@@ -33,6 +33,8 @@ WINDOW = 50
 PERIOD, COVER = 31, (1, 5, 11, 24, 25, 27)
 #: Stands for a missing doc_id, above every other.
 NO_ID = np.iinfo(np.int64).max
+#: End of the span of a whole copy.
+COPY = np.iinfo(np.int32).max
 #: Anchors or windows that a task gathers before it sends them on.
 BLOCK = 1 << 20
 
@@ -58,7 +60,7 @@ def _group(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def _anchors(window: int):
     period, cover, length = cover_of(window)
     in_cover = np.isin(np.arange(period), cover)
-    schema = pa.schema([("h", pa.int64()), ("rk", pa.int64()), ("pos", pa.int32()), ("known", pa.bool_())])
+    schema = pa.schema([("h", pa.int64()), ("rk", pa.int64()), ("pos", pa.int32())])
 
     def send(held: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> pa.RecordBatch:
         h, rk, pos = (np.concatenate(x) for x in zip(*held, strict=True))
@@ -71,7 +73,7 @@ def _anchors(window: int):
         same = rk == rk[first][group]
         ask = first | (~known & same)  # a row of its own for each place, unless the task knows that it is shared
         key = np.where(ask, h, remix((h ^ (rk * 31 + pos)).view(np.uint64)).view(np.int64))
-        return record_batch([key, rk, pos.astype(np.int32), known], schema)
+        return record_batch([key, rk, np.where(known, -1 - pos, pos).astype(np.int32)], schema)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rolling = Rolling(length, 0xA24BAED4963EE407)
@@ -99,7 +101,7 @@ def _anchors(window: int):
 
 def _windows(window: int):
     _, _, length = cover_of(window)
-    schema = pa.schema([("h1", pa.int64()), ("h2", pa.int32()), ("doc", pa.int64()), ("rk", pa.int64()), ("s", pa.int32()), ("e", pa.int32()), ("known", pa.bool_())])
+    schema = pa.schema([("h1", pa.int64()), ("h2", pa.int32()), ("doc", pa.int64()), ("rk", pa.int64()), ("s", pa.int32()), ("e", pa.int32())])
 
     def send(held: list[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch]:
         h1, h2, doc, rk, s = (np.concatenate(x) for x in zip(*held, strict=True))
@@ -110,7 +112,7 @@ def _windows(window: int):
         least = doc[new][np.cumsum(new) - 1]
         ask = doc == least
         a = [x[ask] for x in (h1, h2, doc, rk, s)]
-        yield record_batch([*a[:4], a[4].astype(np.int32), (a[4] + window).astype(np.int32), np.zeros(len(a[0]), bool)], schema)
+        yield record_batch([*a[:4], a[4].astype(np.int32), np.zeros(len(a[0]), np.int32)], schema)
         rk, s = rk[~ask], s[~ask]
         if len(s):
             order = np.lexsort((s, rk))
@@ -119,7 +121,7 @@ def _windows(window: int):
             last = np.concatenate([np.flatnonzero(new)[1:] - 1, [len(s) - 1]])
             key = remix((rk[new] ^ s[new]).view(np.uint64))
             n = len(last)
-            yield record_batch([key.view(np.int64), (key >> np.uint64(40)).astype(np.int32), np.full(n, NO_ID), rk[new], s[new].astype(np.int32), (s[last] + window).astype(np.int32), np.ones(n, bool)], schema)
+            yield record_batch([key.view(np.int64), (key >> np.uint64(40)).astype(np.int32), np.full(n, NO_ID), rk[new], s[new].astype(np.int32), (s[last] + window).astype(np.int32)], schema)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         one, two = Rolling(window, 0xD1B54A32D192ED03), Rolling(window, 0x8CB92BA72F3D8DD7)
@@ -153,50 +155,64 @@ def _windows(window: int):
     return scan
 
 
-def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch, texts in slices(with_text(batches), "_text"):
-        n_words, n_removed, kept, cut = [], [], [], []
-        for t, spans in zip(texts, batch.column("spans").to_pylist(), strict=True):
-            words = t.split() if t else []
-            n_words.append(len(words))
-            if spans:
-                merged, left, at = [], [], 0
-                for a, b in sorted((x["s"], x["e"]) for x in spans):
-                    if merged and a <= merged[-1][1]:
-                        merged[-1][1] = max(merged[-1][1], b)
-                    else:
-                        merged.append([a, b])
-                for a, b in merged:
-                    left += words[at:a]
-                    at = b
-                words = left + words[at:]
-                cut.append([{"start": a, "end": b} for a, b in merged])
-            else:
-                cut.append([])
-            n_removed.append(n_words[-1] - len(words))
-            kept.append(b" ".join(words))
-        out = [batch.column("row"), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string()), pa.array(cut, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))]
-        yield pa.RecordBatch.from_arrays(out, names=["row", "n_words", "n_removed", "kept", "removed"])
+def _cut(window: int):
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, texts in slices(with_text(batches), "_text"):
+            yield _cut_batch(batch, texts, window)
+
+    return scan
+
+
+def _cut_batch(batch: pa.RecordBatch, texts: list[bytes | None], window: int) -> pa.RecordBatch:
+    n_words, n_removed, kept, cut = [], [], [], []
+    for t, spans in zip(texts, batch.column("spans").to_pylist(), strict=True):
+        words = t.split() if t else []
+        n_words.append(len(words))
+        if spans:
+            merged, left, at = [], [], 0
+            for a, b in sorted((x["s"], min(x["e"], len(words))) for x in spans if x["e"] != COPY or len(words) >= window):
+                if merged and a <= merged[-1][1]:
+                    merged[-1][1] = max(merged[-1][1], b)
+                else:
+                    merged.append([a, b])
+            for a, b in merged:
+                left += words[at:a]
+                at = b
+            words = left + words[at:]
+            cut.append([{"start": a, "end": b} for a, b in merged])
+        else:
+            cut.append([])
+        n_removed.append(n_words[-1] - len(words))
+        kept.append(b" ".join(words))
+    out = [batch.column("row"), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string()), pa.array(cut, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))]
+    return pa.RecordBatch.from_arrays(out, names=["row", "n_words", "n_removed", "kept", "removed"])
 
 
 def repeated_spans(rows: DataFrame, window: int = WINDOW) -> DataFrame:
-    """(rk, spans) of the words to remove; rows has rk (a key) and row (a document)."""
-    anchors = rows.select("rk", F.col("row.text").alias("text")).mapInArrow(_anchors(window), "h long, rk long, pos int, known boolean")
+    """(rk, spans) of the words to remove; rows has rk (a key) and row (a document).
+
+    A whole copy of a document with a smaller doc_id needs no windows: its one
+    span has no end (COPY).
+    """
+    slim = rows.select("rk", F.coalesce(F.col("row.doc_id").cast("long"), F.lit(NO_ID)).alias("doc"), F.unhex(F.md5(F.col("row.text").cast("binary"))).alias("digest"))
+    firsts = slim.groupBy("digest").agg(F.min("doc").alias("least"))
+    copies = slim.join(firsts, "digest").where("least < doc").select("rk").distinct()
+    anchors = rows.select("rk", F.col("row.text").alias("text")).mapInArrow(_anchors(window), "h long, rk long, pos int")
     by_h = Window.partitionBy("h")
-    shared = anchors.withColumn("shared", F.col("known") | (F.min("rk").over(by_h) != F.max("rk").over(by_h))).where("shared")
-    places = shared.groupBy("rk").agg(F.collect_set("pos").alias("anchors"))
-    around = rows.join(places, "rk").select("rk", "row", "anchors")
-    found = around.mapInArrow(_windows(window), "h1 long, h2 int, doc long, rk long, s int, e int, known boolean")
-    by_window = Window.partitionBy("h1", "h2")
-    flagged = found.withColumn("least", F.min("doc").over(by_window)).where("known or least < doc")
-    return flagged.groupBy("rk").agg(F.collect_set(F.struct("s", "e")).alias("spans"))
+    shared = anchors.withColumn("shared", (F.col("pos") < 0) | (F.min("rk").over(by_h) != F.max("rk").over(by_h))).where("shared")
+    places = shared.groupBy("rk").agg(F.collect_set(F.when(F.col("pos") < 0, -1 - F.col("pos")).otherwise(F.col("pos"))).alias("anchors"))
+    around = rows.join(places.join(copies, "rk", "left_anti"), "rk").select("rk", "row", "anchors")
+    found = around.mapInArrow(_windows(window), "h1 long, h2 int, doc long, rk long, s int, e int")
+    flagged = found.withColumn("least", F.min("doc").over(Window.partitionBy("h1", "h2"))).where("e > 0 or least < doc")
+    spans = flagged.select("rk", "s", F.when(F.col("e") > 0, F.col("e")).otherwise(F.col("s") + window).alias("e"))
+    return spans.unionByName(copies.select("rk", F.lit(0).alias("s"), F.lit(COPY).alias("e"))).groupBy("rk").agg(F.collect_set(F.struct("s", "e")).alias("spans"))
 
 
 def drop_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """Per document: `row` (its columns), n_words, n_removed, kept (the words left, one space apart), removed (word spans)."""
     rows = nested(docs).withColumn("rk", F.xxhash64("row.doc_id", "row.text"))
     out = with_fields(rows.schema["row"].dataType, ("n_words", "long"), ("n_removed", "long"), ("kept", "string"), ("removed", "array<struct<start:long,end:long>>"))
-    return rows.join(repeated_spans(rows, window), "rk", "left").select("row", "spans").mapInArrow(_cut, out)
+    return rows.join(repeated_spans(rows, window), "rk", "left").select("row", "spans").mapInArrow(_cut(window), out)
 
 
 def op1_substring_dedup(spark, sf_dir: str) -> DataFrame:
