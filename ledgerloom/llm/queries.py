@@ -12,12 +12,14 @@ from ledgerloom.llm.near_text import op3_near_dedup
 from ledgerloom.llm.near_vectors import OP4_SQL, op4_near_vectors
 from ledgerloom.llm.sharding import op8_shard
 from ledgerloom.llm.substring import OP1_SQL, op1_substring_dedup
+from ledgerloom.llm.toxicity import op2_toxicity
 from ledgerloom.llm.warc import OP9_SQL, op9_warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_substring_dedup": op1_substring_dedup,
+        "op2_toxicity": op2_toxicity,
         "op3_near_dedup": op3_near_dedup,
         "op4_near_vectors": op4_near_vectors,
         "op6_mix_sources": op6_mix_sources,
