@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ledgerloom.llm.decontaminate import OP10_SQL, op10_decontaminate
+from ledgerloom.llm.html_text import op5_html_text
 from ledgerloom.llm.mixing import OP6_SQL, op6_mix_sources
 from ledgerloom.llm.near_text import op3_near_dedup
 from ledgerloom.llm.near_vectors import OP4_SQL, op4_near_vectors
@@ -22,6 +23,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_toxicity": op2_toxicity,
         "op3_near_dedup": op3_near_dedup,
         "op4_near_vectors": op4_near_vectors,
+        "op5_html_text": op5_html_text,
         "op6_mix_sources": op6_mix_sources,
         "op8_shard": op8_shard,
         "op9_warc": op9_warc,
