@@ -51,7 +51,9 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: i
     s = s.withColumn("open", F.sum("weight").over(order.rowsBetween(0, Window.unboundedFollowing)))
     everything = Window.partitionBy()
     s = s.withColumn("level", (F.sum("source_size").over(everything).cast("double") - F.col("full")) / F.col("open"))
-    level = F.min(F.when(F.col("level") < F.col("cap") / F.col("weight"), F.col("level"))).over(everything)
+    # the first source in this order that is not filled tells the level; later ones would count unfilled caps
+    opens = F.struct((F.col("cap") / F.col("weight")).alias("ratio"), "rank", "level")
+    level = F.min(F.when(F.col("level") < F.col("cap") / F.col("weight"), opens)).over(everything)["level"]
     return s.select("source", "source_size", F.least("cap", F.coalesce(F.col("weight") * level, F.lit(0.0))).alias("target"))
 
 
@@ -99,7 +101,7 @@ w AS (SELECT *, CAST([5, 2, 1][CAST((rank - 1) % 3 + 1 AS INT)] AS DOUBLE) AS we
 f AS (SELECT *, coalesce(sum(cap) OVER (ORDER BY cap / weight, rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS filled,
   sum(weight) OVER (ORDER BY cap / weight, rank ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS open FROM w),
 l AS (SELECT *, (CAST(sum(source_size) OVER () AS DOUBLE) - filled) / open AS level FROM f),
-t AS (SELECT source, source_size, least(cap, coalesce(weight * min(CASE WHEN level < cap / weight THEN level END) OVER (), 0)) AS target FROM l),
+t AS (SELECT source, source_size, least(cap, coalesce(weight * (min(CASE WHEN level < cap / weight THEN struct_pack(a := cap / weight, b := rank, l := level) END) OVER ()).l, 0)) AS target FROM l),
 b AS (SELECT *, CASE WHEN source_size > 0 THEN CAST(floor(target / source_size) AS BIGINT) ELSE 0 END AS base FROM t),
 c AS (SELECT d.*, b.source_size, b.target, b.base, b.target - b.base * b.source_size AS remainder,
   sum(size) OVER (PARTITION BY d.source ORDER BY h RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS upto,
