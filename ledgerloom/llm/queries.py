@@ -12,6 +12,7 @@ from ledgerloom.llm.html_text import op5_html_text
 from ledgerloom.llm.mixing import OP6_SQL, op6_mix_sources
 from ledgerloom.llm.near_text import op3_near_dedup
 from ledgerloom.llm.near_vectors import OP4_SQL, op4_near_vectors
+from ledgerloom.llm.pii import op7_pii_surrogates
 from ledgerloom.llm.sharding import op8_shard
 from ledgerloom.llm.substring import OP1_SQL, op1_substring_dedup
 from ledgerloom.llm.toxicity import op2_toxicity
@@ -26,6 +27,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_near_vectors": op4_near_vectors,
         "op5_html_text": op5_html_text,
         "op6_mix_sources": op6_mix_sources,
+        "op7_pii_surrogates": op7_pii_surrogates,
         "op8_shard": op8_shard,
         "op9_warc": op9_warc,
         "op10_decontaminate": op10_decontaminate,
