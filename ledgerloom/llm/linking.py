@@ -49,9 +49,17 @@ def components(edges: DataFrame) -> DataFrame:
         seal = now
 
 
+def bridged(first: DataFrame, more: DataFrame) -> DataFrame:
+    """Edges of the classes of first, and of the links (a, b) found since: such a link joins two representatives."""
+    to_class = first.select("node", "component")
+    for end in ("a", "b"):
+        more = more.join(to_class.withColumnRenamed("node", end), end, "left").withColumn(end, F.coalesce("component", end)).drop("component")
+    return first.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more.select("a", "b"))
+
+
 def link(buckets: DataFrame, verify: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """(node, component) of the nodes with links; verify keeps the linked ones of the pairs (a, b)."""
-    shared = shared_buckets(buckets)
+    shared = shared_buckets(materialize(buckets, "keys"))
     stars = shared.where("node <> pivot").select(*_pair("node", "pivot")).distinct()
     linked = materialize(verify(stars), "links")
     first = components(linked)
@@ -62,9 +70,4 @@ def link(buckets: DataFrame, verify: Callable[[DataFrame], DataFrame]) -> DataFr
     across = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.c") != F.col("y.c")) & (~F.col("y.main") | (F.col("x.node") < F.col("y.node"))))
     rest = across.select(*_pair("x.node", "y.node")).distinct().join(stars, ["a", "b"], "left_anti")
     more = materialize(verify(rest), "links")
-    # a link across classes joins their representatives; the first classes stay as they are
-    to_class = first.select("node", "component")
-    bridges = more
-    for end in ("a", "b"):
-        bridges = bridges.join(to_class.withColumnRenamed("node", end), end, "left").withColumn(end, F.coalesce("component", end)).drop("component")
-    return components(first.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(bridges.select("a", "b")))
+    return components(bridged(first, more))

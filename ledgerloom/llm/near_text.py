@@ -24,8 +24,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.common import Rolling, materialize, nested, remix, slices, split_words, table, word_hashes
-from ledgerloom.llm.linking import link
+from ledgerloom.llm.common import Rolling, materialize, nested, ranges, remix, slices, split_words, table, word_hashes
+from ledgerloom.llm.linking import bridged, components, shared_buckets
 
 SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS = 25, 5
@@ -148,18 +148,80 @@ def _similar(threshold: float):
     return scan
 
 
-def near_classes(texts: DataFrame, threshold: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """(node, component) of the texts that are near others; texts has node (the hash of the text) and text."""
+def _across(threshold: float):
+    """Links between queries (side 0) and members (side 1) of other classes.
+
+    Members stand in one long list of shingles; a query marks its own, and sums
+    over the list bound its similarity with every member from above: each term
+    of the probability Jaccard is at most the shingle's share in either set.
+    """
+
+    def compare(group: pa.Table) -> pa.Table:
+        node, cls, side = (np.asarray(group.column(c)) for c in ("node", "class", "side"))
+        rolling = Rolling(SHINGLE, 0xC2B2AE3D27D4EB4F)
+        doc, h, w = shingle_weights(group.column("text").combine_chunks().cast(pa.binary()).to_pylist(), rolling)
+        starts = np.searchsorted(doc, np.arange(len(node) + 1))
+        total = np.add.reduceat(np.concatenate([w, [0.0]]), starts[:-1]) * (np.diff(starts) > 0)
+        _, number = np.unique(h, return_inverse=True)
+        members = np.flatnonzero((side == 1) & (np.diff(starts) > 0))
+        at = ranges(starts[members], np.diff(starts)[members])
+        ids, weights = number[at], w[at]
+        begin = np.cumsum(np.diff(starts)[members]) - np.diff(starts)[members]
+        mine = np.zeros(number.max() + 1 if len(number) else 1)
+        out: list[tuple[int, int]] = []
+        for q in np.flatnonzero((side == 0) & (np.diff(starts) > 0)).tolist() if len(members) else []:
+            own = slice(starts[q], starts[q + 1])
+            mine[number[own]] = w[own]
+            seen = mine[ids]
+            bound = np.minimum(np.add.reduceat(seen, begin) / total[q], np.add.reduceat(weights * (seen > 0), begin) / total[members])
+            mine[number[own]] = 0
+            for k in np.flatnonzero((bound >= threshold - 1e-9) & (cls[members] != cls[q])).tolist():
+                m = members[k]
+                other = slice(starts[m], starts[m + 1])
+                if probability_jaccard(h[own], w[own], h[other], w[other]) >= threshold:
+                    out.append((int(node[q]), int(node[m])))
+        return pa.table({"a": pa.array([min(x) for x in out], pa.int64()), "b": pa.array([max(x) for x in out], pa.int64())})
+
+    return compare
+
+
+#: Text bytes of queries and of members that meet in one task.
+QUERY_BYTES, MEMBER_BYTES = 512 << 10, 4 << 20
+
 
-    def verify(pairs: DataFrame) -> DataFrame:
-        pairs = materialize(pairs, "pairs")
-        needed = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-        once = texts.join(needed, "node", "left_semi").dropDuplicates(["node"])
-        both = pairs.join(once.select(F.col("node").alias("b"), F.col("text").alias("tb")), "b").join(once.select(F.col("node").alias("a"), F.col("text").alias("ta")), "a")
-        return both.select("a", "b", "ta", "tb").mapInArrow(_similar(threshold), "a long, b long")
+def near_classes(texts: DataFrame, threshold: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+    """(node, component) of the texts that are near others; texts has node (the hash of the text) and text.
 
-    found = texts.mapInArrow(_bands(bands, rows), "key long, node long")
-    return link(found.withColumn("main", F.lit(True)), verify)
+    Stars first: each node is compared with the pivots of its buckets.  Buckets
+    that still hold several classes join these into clusters, and within a
+    cluster all nodes outside its largest class are compared with all nodes of
+    other classes, in blocks.
+    """
+    found = materialize(texts.mapInArrow(_bands(bands, rows), "key long, node long").withColumn("main", F.lit(True)), "bands")
+    shared = shared_buckets(found)
+    needed = shared.select("node").distinct()
+    once = materialize(texts.hint("merge").join(needed, "node", "left_semi").dropDuplicates(["node"]), "texts")
+    stars = materialize(shared.where("node <> pivot").select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct(), "pairs")
+    ta, tb = once.select(F.col("node").alias("a"), F.col("text").alias("ta")), once.select(F.col("node").alias("b"), F.col("text").alias("tb"))
+    both = stars.hint("merge").join(tb, "b").hint("merge").join(ta, "a").select("a", "b", "ta", "tb")
+    linked = materialize(both.mapInArrow(_similar(threshold), "a long, b long"), "links")
+    first = components(linked)
+
+    classed = shared.join(first, "node", "left").select("key", "node", F.coalesce("component", "node").alias("class"))
+    mixed = classed.groupBy("key").agg(F.min("class").alias("low"), F.max("class").alias("top")).where("low < top").select("key", "low")
+    open_ = materialize(classed.join(mixed, "key"), "open")
+    clusters = components(open_.select(F.col("class").alias("a"), F.col("low").alias("b")))
+    nodes = open_.select("node", "class").distinct().join(clusters.select(F.col("node").alias("class"), F.col("component").alias("cluster")), "class")
+    nodes = materialize(nodes.join(once, "node").withColumn("n", F.octet_length("text") + 64), "clusters")
+    sizes = nodes.groupBy("cluster", "class").agg(F.sum("n").alias("n"))
+    plan = sizes.groupBy("cluster").agg(F.max(F.struct("n", "class")).alias("largest"), F.sum("n").alias("n"))
+    plan = plan.select("cluster", F.col("largest.class").alias("largest"), F.ceil(F.col("n") / MEMBER_BYTES).cast("int").alias("ms"), F.ceil((F.col("n") - F.col("largest.n")) / QUERY_BYTES).cast("int").alias("qs"))
+    placed = nodes.join(plan, "cluster")
+    h = F.xxhash64("node", F.lit(3))
+    query = placed.where("class <> largest").select("cluster", "node", "class", "text", F.lit(0).alias("side"), F.pmod(h, F.col("qs")).cast("int").alias("q"), F.explode(F.sequence(F.lit(0), F.col("ms") - 1)).alias("m"))
+    member = placed.select("cluster", "node", "class", "text", F.lit(1).alias("side"), F.explode(F.sequence(F.lit(0), F.col("qs") - 1)).alias("q"), F.pmod(h, F.col("ms")).cast("int").alias("m"))
+    more = materialize(query.unionByName(member).groupBy("cluster", "q", "m").applyInArrow(_across(threshold), "a long, b long"), "links")
+    return components(bridged(first, more))
 
 
 def near_duplicates(docs: DataFrame, threshold: float = SIMILARITY) -> DataFrame:
