@@ -68,8 +68,11 @@ def write_warc(pages: DataFrame, path: str, least: int = 0, file_bytes: int = FI
     page = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html"))
     page = page.withColumn("bytes", F.octet_length("html").cast("long")).withColumn("sha", F.sha1(F.col("html").cast("binary")))
     total = pages.agg(F.coalesce(F.sum(F.coalesce(F.octet_length("html"), F.lit(0)) + 1500), F.lit(0))).first()[0]
-    firsts = page.where((F.col("bytes") >= least) & F.col("page_id").isNotNull()).groupBy("sha").agg(F.min("page_id").alias("first_id"))
-    page = page.join(firsts, "sha", "left")
+    files = max(1, math.ceil(total / file_bytes))
+    # who comes first is found on slim rows; the pages themselves move once, evenly
+    slim = page.where((F.col("bytes") >= least) & F.col("page_id").isNotNull()).select("page_id", "sha").distinct()
+    firsts = slim.join(slim.groupBy("sha").agg(F.min("page_id").alias("first_id")), "sha")
+    page = page.repartition(files, "page_id", "sha").join(firsts.repartition(files, "page_id", "sha").hint("merge"), ["page_id", "sha"], "left")
     revisit = F.coalesce((F.col("bytes") >= least) & (F.col("page_id") != F.col("first_id")), F.lit(False))
     uri = F.regexp_replace(F.regexp_replace("url", "\r", "%0D"), "\n", "%0A")
     key = [F.col("page_id"), F.col("sha")]
@@ -88,9 +91,8 @@ def write_warc(pages: DataFrame, path: str, least: int = 0, file_bytes: int = FI
         ),
         _record("metadata", _urn("metadata", *key), [("WARC-Target-URI", uri), ("WARC-Concurrent-To", answer), ("Content-Type", F.lit("application/warc-fields"))], F.concat(F.lit("pageId: "), F.coalesce(F.col("page_id").cast("string"), F.lit("")), F.lit(CRLF))),
     )
-    files = max(1, math.ceil(total / file_bytes))
-    # records of a page stay together; a file holds file_bytes on average
-    page.select(F.explode(records).alias("value"), F.pmod(F.xxhash64("page_id", "sha"), F.lit(files)).alias("f")).repartition(files, "f").select("value").write.option("lineSep", CRLF + CRLF).option("compression", "gzip").text(path)
+    # a file holds file_bytes on average
+    page.select(F.explode(records).alias("value")).write.option("lineSep", CRLF + CRLF).option("compression", "gzip").text(path)
 
 
 def _headers(block: bytes) -> dict[str, str]:
