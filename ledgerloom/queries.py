@@ -1,18 +1,486 @@
-"""Registry of the library's queries and of the SQL that checks them."""
+"""Registry of the library's queries over the driver tables, each with the SQL that checks it.
+
+`events` stands for an event log (project: user), `conversations` for
+conversation events, `documents` for search documents and source blobs,
+`labels` for required evidence, `pages` for file paths, and the star schema for
+a typed property graph.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from ledgerloom.functions import canonical as can
+from ledgerloom.functions import text as txt
+from ledgerloom.operators import graph, history, search
+from ledgerloom.plans import star
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
 
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+def table(spark: SparkSession, d: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/{name}.parquet")
+
+
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    def add(f: Query) -> Query:
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def queries() -> dict[str, Query]:
     return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
     return dict(SQL)
+
+
+# ---------------------------------------------------------------- histories
+
+_LOG = "log AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS seq FROM events)"
+
+
+def event_log(spark: SparkSession, d: str) -> DataFrame:
+    return history.with_sequence(table(spark, d, "events"), "user_id", "ts", "event_id", name="seq")
+
+
+@query("""
+WITH t AS (SELECT conv_id, turn + 1 AS s, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS place FROM conversations)
+SELECT conv_id, count(*) AS n_events, min(s) AS first_sequence, max(s) AS last_sequence, CAST(sum(CASE WHEN s <> place THEN 1 ELSE 0 END) AS BIGINT) AS n_broken,
+sum(CASE WHEN s <> place THEN 1 ELSE 0 END) = 0 AS contiguous FROM t GROUP BY conv_id""")
+def event_sequence_audit(spark: SparkSession, d: str) -> DataFrame:
+    log = table(spark, d, "conversations").withColumn("s1", F.col("turn") + 1)
+    return history.sequence_audit(log, "conv_id", "s1")
+
+
+@query(f"""
+WITH {_LOG},
+a AS (SELECT *, last_value(CASE WHEN event_type = 'signup' THEN event_id END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS active FROM log)
+SELECT user_id, count(*) AS n_events, count(*) FILTER (WHERE event_type = 'signup') AS n_sessions, count(*) FILTER (WHERE active IS NULL) AS n_outside,
+arg_max(CASE WHEN event_type = 'signup' THEN event_id ELSE active END, seq) AS active_session FROM a GROUP BY user_id""")
+def active_session_fold(spark: SparkSession, d: str) -> DataFrame:
+    starts = F.col("event_type") == "signup"
+    held = history.active_session(event_log(spark, d), "user_id", "seq", F.col("event_id"), starts)
+    now = F.max_by(F.struct(F.when(starts, F.col("event_id")).otherwise(F.col("active_session")).alias("s")), "seq")["s"]
+    return held.groupBy("user_id").agg(F.count("*").alias("n_events"), F.count_if(starts).alias("n_sessions"), F.count_if(F.col("active_session").isNull()).alias("n_outside"), now.alias("active_session"))
+
+
+@query(f"""
+WITH {_LOG}
+SELECT user_id, max(seq) AS last_sequence, arg_max(event_type, seq) AS last_type, arg_max(event_id, seq) AS last_event, round(sum(value), 4) AS total FROM log WHERE seq <= 20 GROUP BY user_id""")
+def state_as_of(spark: SparkSession, d: str) -> DataFrame:
+    log = history.as_of(event_log(spark, d), "seq", 20)
+    return log.groupBy("user_id").agg(F.max("seq").alias("last_sequence"), F.max_by("event_type", "seq").alias("last_type"), F.max_by("event_id", "seq").alias("last_event"), F.round(F.sum("value"), 4).alias("total"))
+
+
+@query(f"""
+WITH {_LOG}
+SELECT user_id, event_type, event_id, seq FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY seq DESC) AS r FROM log) WHERE r = 1 AND event_type <> 'error'""")
+def latest_observation_per_path(spark: SparkSession, d: str) -> DataFrame:
+    last = history.latest_per(event_log(spark, d), ["user_id", "event_type"], "seq", tombstone=F.col("event_type") == "error")
+    return last.select("user_id", "event_type", "event_id", "seq")
+
+
+@query("""
+SELECT o_custkey, o_orderkey, row_number() OVER w AS valid_from, lead(o_orderkey) OVER w AS superseded_by, CASE WHEN lead(o_orderkey) OVER w IS NOT NULL THEN row_number() OVER w + 1 END AS valid_to
+FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey)""")
+def scd2_supersession(spark: SparkSession, d: str) -> DataFrame:
+    log = history.with_sequence(table(spark, d, "orders"), "o_custkey", "o_orderdate", "o_orderkey", name="seq")
+    return history.validity(log, "o_custkey", "seq", "o_orderkey").select("o_custkey", "o_orderkey", "valid_from", "superseded_by", "valid_to")
+
+
+@query("""
+WITH s AS (SELECT o_custkey, CASE o_orderstatus WHEN 'O' THEN 'active' WHEN 'P' THEN 'in_progress' ELSE 'completed' END AS st, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS n FROM orders),
+p AS (SELECT lag(st) OVER (PARTITION BY o_custkey ORDER BY n) AS before, st AS after FROM s)
+SELECT before, after, before IN ('active', 'in_progress') AND before <> after AND after IN ('in_progress', 'completed', 'cancelled') AS allowed, count(*) AS n FROM p WHERE before IS NOT NULL GROUP BY ALL""")
+def status_transition_check(spark: SparkSession, d: str) -> DataFrame:
+    status = F.when(F.col("o_orderstatus") == "O", "active").when(F.col("o_orderstatus") == "P", "in_progress").otherwise("completed")
+    log = table(spark, d, "orders").select("o_custkey", "o_orderdate", "o_orderkey", status.alias("after"))
+    pairs = log.withColumn("before", F.lag("after").over(Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey"))).where("before is not null")
+    return pairs.select("before", "after", history.transition_allowed(F.lit("task"), F.col("before"), F.col("after")).alias("allowed")).groupBy("before", "after", "allowed").agg(F.count("*").alias("n"))
+
+
+@query("""
+SELECT conv_id, turn + 1 AS sequence, CASE role WHEN 'user' THEN 'conversation.user_message' WHEN 'assistant' THEN 'conversation.assistant_message' END AS event_type,
+CAST(ceil(octet_length(encode(text)) / 4) AS BIGINT) AS tokens, sha256(text) AS content_hash FROM conversations WHERE role IN ('user', 'assistant')""")
+def conversation_source_events(spark: SparkSession, d: str) -> DataFrame:
+    c = table(spark, d, "conversations")
+    kind = F.when(F.col("role") == "user", "conversation.user_message").when(F.col("role") == "assistant", "conversation.assistant_message")
+    return c.select("conv_id", (F.col("turn") + 1).alias("sequence"), kind.alias("event_type"), txt.token_cost(F.col("text")).alias("tokens"), F.sha2("text", 256).alias("content_hash")).where("event_type is not null")
+
+
+@query("""
+SELECT l_orderkey, count(*) AS n_lines FROM lineitem l WHERE NOT EXISTS (SELECT 1 FROM orders o WHERE o.o_orderkey = l.l_orderkey AND o.o_orderdate < l.l_shipdate) GROUP BY l_orderkey""")
+def provenance_missing(spark: SparkSession, d: str) -> DataFrame:
+    lines = table(spark, d, "lineitem").select("l_orderkey", "l_shipdate")
+    orders = table(spark, d, "orders").select("o_orderkey", "o_orderdate")
+    return history.missing_provenance(lines, orders, "l_orderkey", "o_orderkey", F.col("o_orderdate") < F.col("l_shipdate")).groupBy("l_orderkey").agg(F.count("*").alias("n_lines"))
+
+
+@query("""
+WITH RECURSIVE e AS (SELECT 'o' || o_orderkey AS src, 'c' || o_custkey AS dst FROM orders UNION ALL SELECT 'c' || c_custkey, 'n' || c_nationkey FROM customer UNION ALL SELECT 'n' || n_nationkey, 'r' || n_regionkey FROM nation),
+r(seed, node, hops) AS (SELECT 'o' || o_orderkey, 'o' || o_orderkey, 0 FROM orders UNION SELECT r.seed, e.dst, r.hops + 1 FROM r JOIN e ON e.src = r.node)
+SELECT seed, node, hops FROM r""")
+def provenance_closure(spark: SparkSession, d: str) -> DataFrame:
+    up = star.edges(spark, d, "PLACED_BY", "LIVES_IN", "PART_OF")
+    seeds = table(spark, d, "orders").select(star.node("o", F.col("o_orderkey")).alias("node"))
+    return history.closure(up, seeds)
+
+
+@query("""
+SELECT sha256(text) AS content_hash, min(doc_id) AS first_id, count(*) AS n_puts, CAST(max(octet_length(encode(text))) AS BIGINT) AS byte_length FROM documents GROUP BY sha256(text)""")
+def blob_put_dedup(spark: SparkSession, d: str) -> DataFrame:
+    blobs = table(spark, d, "documents").select("doc_id", F.sha2("text", 256).alias("content_hash"), F.octet_length("text").cast("long").alias("n"))
+    return blobs.groupBy("content_hash").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n_puts"), F.max("n").alias("byte_length"))
+
+
+@query("""SELECT doc_id, sha256(text) AS content_hash, length(text) = n_chars AS length_ok, CAST(octet_length(encode(text)) AS BIGINT) AS byte_length FROM documents""")
+def blob_integrity(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "documents").select("doc_id", F.sha2("text", 256).alias("content_hash"), (F.char_length("text") == F.col("n_chars")).alias("length_ok"), F.octet_length("text").cast("long").alias("byte_length"))
+
+
+_ENVELOPE = """'{"created_at":"' || strftime(ts, '%Y-%m-%dT%H:%M:%S.') || lpad(CAST(CAST(floor(extract(microseconds FROM ts) / 1000) AS BIGINT) % 1000 AS VARCHAR), 3, '0') || 'Z","event_id":' || event_id || ',"event_type":"' || event_type || '","project_id":' || user_id || '}'"""
+
+
+@query(f"""
+SELECT event_id, sha256({_ENVELOPE}) AS content_hash, sha256('{can.TAG}:event:v1:' || sha256({_ENVELOPE})) AS id FROM events""")
+def event_identity_hash(spark: SparkSession, d: str) -> DataFrame:
+    created = F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
+    text = can.canonical_object(created_at=can.quoted(created), event_id=can.integer(F.col("event_id")), event_type=can.quoted(F.col("event_type")), project_id=can.integer(F.col("user_id")))
+    hashed = table(spark, d, "events").select("event_id", F.sha2(text, 256).alias("content_hash"))
+    return hashed.withColumn("id", can.event_id_column(F.col("content_hash")))
+
+
+@query("""
+WITH r AS (SELECT 'region' AS name, sha256(r_regionkey || '|' || r_name) AS h FROM region UNION ALL SELECT 'nation', sha256(n_nationkey || '|' || n_name || '|' || n_regionkey) FROM nation)
+SELECT name, count(*) AS n_rows, sha256(string_agg(h, ',' ORDER BY h)) AS digest FROM r GROUP BY name""")
+def dataset_digest(spark: SparkSession, d: str) -> DataFrame:
+    region = table(spark, d, "region").select(F.lit("region").alias("name"), F.concat_ws("|", F.col("r_regionkey").cast("string"), "r_name").alias("row"))
+    nation = table(spark, d, "nation").select(F.lit("nation").alias("name"), F.concat_ws("|", F.col("n_nationkey").cast("string"), "n_name", F.col("n_regionkey").cast("string")).alias("row"))
+    return region.unionByName(nation).groupBy("name").agg(F.count("*").alias("n_rows"), can.dataset_digest(F.col("row")).alias("digest"))
+
+
+# ---------------------------------------------------------------- search
+
+
+@query(r"""
+WITH n AS (SELECT p_partkey, lower(regexp_replace(regexp_replace(p_type || p_brand || ' ' || p_name, '([a-z0-9])([A-Z])', '\1 \2', 'g'), '([A-Z])([A-Z][a-z])', '\1 \2', 'g')) AS s FROM part),
+w AS (SELECT p_partkey, list_filter(flatten(list_transform(regexp_extract_all(s, '[a-z0-9_]+'), lambda x: string_split(x, '_'))), lambda x: x <> '') AS t FROM n)
+SELECT p_partkey, list_filter(t, lambda x, i: list_position(t, x) = i) AS terms FROM w""")
+def lexical_terms(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "part").select("p_partkey", txt.terms_of(F.concat("p_type", "p_brand", F.lit(" "), "p_name")).alias("terms"))
+
+
+_TOKENS = r"regexp_extract_all(lower(text), '[\p{L}\p{N}]+')"
+
+
+@query(f"""
+WITH t AS (SELECT doc_id, unnest({_TOKENS}) AS term FROM documents), p AS (SELECT doc_id, term, count(*) AS tf FROM t GROUP BY ALL)
+SELECT term, count(*) AS df, CAST(sum(tf) AS BIGINT) AS cf FROM p GROUP BY term""")
+def postings_stats(spark: SparkSession, d: str) -> DataFrame:
+    return search.term_statistics(search.postings(table(spark, d, "documents"), "doc_id", "text"))
+
+
+def _bm25_sql(terms: tuple[str, ...]) -> str:
+    """BM25 over documents for a few terms, as common table expressions that end in `hits`."""
+    listed = ", ".join(f"'{t}'" for t in terms)
+    return f"""k AS (SELECT doc_id, {_TOKENS} AS tokens FROM documents), c AS (SELECT CAST(count(*) AS DOUBLE) AS n_docs, avg(len(tokens)) AS avgdl FROM k),
+f AS (SELECT doc_id, CAST(len(tokens) AS DOUBLE) AS dl, term, CAST(len(list_filter(tokens, lambda x: x = term)) AS DOUBLE) AS tf FROM k, (SELECT unnest([{listed}]) AS term)),
+df AS (SELECT term, CAST(count(*) FILTER (WHERE tf > 0) AS DOUBLE) AS df FROM f GROUP BY term),
+hits AS (SELECT doc_id, -sum(CASE WHEN ln((n_docs - df + 0.5) / (df + 0.5)) <= 0 THEN 1e-6 ELSE ln((n_docs - df + 0.5) / (df + 0.5)) END * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl))) AS score
+  FROM f JOIN df USING (term), c WHERE tf > 0 GROUP BY doc_id)"""
+
+
+SINGLE, MULTI = ("reth",), ("reth", "inst", "anly", "sch", "que")
+
+
+@query(f"WITH {_bm25_sql(SINGLE)} SELECT doc_id, round(score, 9) AS score FROM hits ORDER BY hits.score, doc_id LIMIT 20")
+def bm25_topk_single(spark: SparkSession, d: str) -> DataFrame:
+    hits = search.bm25(table(spark, d, "documents"), "doc_id", "text", SINGLE)
+    return search.top(hits, 20, "score", "doc_id").select("doc_id", F.round("score", 9).alias("score"))
+
+
+@query(f"WITH {_bm25_sql(MULTI)} SELECT doc_id, round(score, 9) AS score FROM hits ORDER BY hits.score, doc_id LIMIT 20")
+def bm25_topk_multi(spark: SparkSession, d: str) -> DataFrame:
+    hits = search.bm25(table(spark, d, "documents"), "doc_id", "text", MULTI)
+    return search.top(hits, 20, "score", "doc_id").select("doc_id", F.round("score", 9).alias("score"))
+
+
+@query(f"WITH {_bm25_sql(MULTI)} SELECT doc_id, round(score, 9) AS score FROM hits")
+def bm25_index_scan(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents")
+    return search.bm25_of_index(search.postings(docs, "doc_id", "text"), search.document_lengths(docs, "doc_id", "text"), MULTI).select("doc_id", F.round("score", 9).alias("score"))
+
+
+@query("""SELECT p_partkey, p_name, p_type FROM part WHERE lower(p_name) = 'red widget' OR (p_size > 10 AND lower(p_type) IN ('economy', 'red', 'widget'))""")
+def exact_channel(spark: SparkSession, d: str) -> DataFrame:
+    q = txt.normalize_query("Red  widget")
+    part = table(spark, d, "part")
+    named = search.exact(part, "p_name", q.phrase, q.words).select("p_partkey", "p_name", "p_type")
+    typed = search.exact(part, "p_type", q.phrase, ["economy", *q.words], declares=F.col("p_size") > 10).select("p_partkey", "p_name", "p_type")
+    return named.unionByName(typed).distinct()
+
+
+@query("""
+SELECT page_id, url FROM pages WHERE contains('see https://thther.example.org/en/685 and http://ththre.example.com/fr/825?page=2&ref=x', lower(url))""")
+def path_channel(spark: SparkSession, d: str) -> DataFrame:
+    phrase = txt.normalize_query("See https://thther.example.org/en/685 and http://ththre.example.com/fr/825?page=2&ref=x").phrase
+    return search.in_phrase(table(spark, d, "pages"), "url", phrase).select("page_id", "url")
+
+
+@query(r"""
+WITH o AS (SELECT p_partkey AS id, len(list_intersect(regexp_extract_all(lower(p_name), '[a-z0-9]+'), ['red', 'small', 'bolt', 'ring'])) AS overlap FROM part)
+SELECT id, CAST(overlap AS BIGINT) AS overlap FROM o WHERE overlap > 0""")
+def symbol_terms_channel(spark: SparkSession, d: str) -> DataFrame:
+    q = txt.normalize_query("which small red bolt or ring")
+    return search.term_overlap(table(spark, d, "part"), "p_partkey", "p_name", [t for t in q.terms if t != "which"])
+
+
+@query("""
+SELECT o_orderkey, o_orderstatus, o_orderdate FROM orders ORDER BY CASE o_orderstatus WHEN 'O' THEN 1 WHEN 'P' THEN 2 ELSE 3 END, o_orderdate DESC, o_orderkey LIMIT 30""")
+def project_state_channel(spark: SparkSession, d: str) -> DataFrame:
+    kind = F.array_position(F.array(*map(F.lit, "OPF")), F.col("o_orderstatus"))
+    return search.top(table(spark, d, "orders"), 30, kind, F.col("o_orderdate").desc(), "o_orderkey").select("o_orderkey", "o_orderstatus", "o_orderdate")
+
+
+_LISTS = f"""{_bm25_sql(MULTI)}, b AS (SELECT doc_id AS id, row_number() OVER (ORDER BY score, doc_id) AS rank FROM (SELECT * FROM hits ORDER BY score, doc_id LIMIT 200)),
+ov AS (SELECT doc_id AS id, len(list_intersect({_TOKENS}, ['reth', 'inst', 'anly', 'sch', 'que', 'der', 'and'])) AS n FROM documents),
+o AS (SELECT id, row_number() OVER (ORDER BY n DESC, id) AS rank FROM (SELECT * FROM ov WHERE n > 0 ORDER BY n DESC, id LIMIT 200)),
+u AS (SELECT 'bm25_code' AS channel, id, rank FROM b UNION ALL SELECT 'symbol_terms', id, rank FROM o), fused AS (SELECT id, sum(1.0 / (60 + rank)) AS rrf, count(*) AS n_channels FROM u GROUP BY id)"""
+
+
+def _lists(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents")
+    best = search.top(search.bm25(docs, "doc_id", "text", MULTI), 200, "score", "doc_id")
+    wanted = F.array(*map(F.lit, (*MULTI, "der", "and")))
+    overlap = docs.select("doc_id", F.size(F.array_intersect(search.search_tokens(F.col("text")), wanted)).alias("n")).where("n > 0")
+    most = search.top(overlap, 200, F.col("n").desc(), "doc_id")
+    return search.ranked(best, "bm25_code", "doc_id", F.col("score"), F.col("doc_id")).unionByName(search.ranked(most, "symbol_terms", "doc_id", F.col("n").desc(), F.col("doc_id")))
+
+
+@query(f"WITH {_LISTS} SELECT id, round(rrf, 12) AS rrf, n_channels FROM fused")
+def rrf_fusion(spark: SparkSession, d: str) -> DataFrame:
+    return search.reciprocal_rank_fusion(_lists(spark, d)).select("id", F.round("rrf", 12).alias("rrf"), "n_channels")
+
+
+@query(f"""WITH {_LISTS}
+SELECT id, 3 AS priority, round(rrf, 12) AS rrf, round(rrf / (SELECT max(rrf) FROM fused), 9) AS relevance FROM fused ORDER BY fused.rrf DESC, id LIMIT 50""")
+def ranked_candidates(spark: SparkSession, d: str) -> DataFrame:
+    tiers = search.with_priority(search.reciprocal_rank_fusion(_lists(spark, d)))
+    return search.top(tiers, 50, "priority", F.col("rrf").desc(), "id").select("id", F.col("priority").cast("int").alias("priority"), F.round("rrf", 12).alias("rrf"), F.round("relevance", 9).alias("relevance"))
+
+
+def flagship(spark: SparkSession, d: str) -> DataFrame:
+    return ranked_candidates(spark, d)
+
+
+@query(f"""WITH {_LISTS}, g AS (SELECT id, row_number() OVER (ORDER BY rrf DESC, id) AS rank FROM fused),
+r AS (SELECT lang, doc_id AS id FROM documents JOIN (SELECT DISTINCT doc_id FROM labels WHERE quality = 1) USING (doc_id))
+SELECT lang, count(*) AS n_required, round(avg(CASE WHEN coalesce(rank, 101) <= 100 THEN 1.0 ELSE 0.0 END), 9) AS recall_at_k, round(coalesce(1.0 / min(rank), 0), 9) AS mrr FROM r LEFT JOIN g USING (id) GROUP BY lang""")
+def recall_mrr(spark: SparkSession, d: str) -> DataFrame:
+    fused = search.reciprocal_rank_fusion(_lists(spark, d))
+    ranking = search.ranked(fused, "all", "id", F.col("rrf").desc(), F.col("id")).select("id", "rank")
+    labels = table(spark, d, "labels").where("quality = 1").select("doc_id").distinct()
+    required = table(spark, d, "documents").join(labels, "doc_id", "left_semi").select("lang", F.col("doc_id").alias("id"))
+    langs = required.select("lang").distinct()
+    out = search.retrieval_metrics(langs.crossJoin(F.broadcast(ranking)), required, "lang", 100)  # at most 400 ranks
+    return out.select("lang", "n_required", F.round("recall_at_k", 9).alias("recall_at_k"), F.round("mrr", 9).alias("mrr"))
+
+
+@query(f"""WITH {_LISTS}, q AS (SELECT DISTINCT doc_id AS id FROM labels WHERE quality = 1)
+SELECT count(*) AS n_required, count(f.id) AS n_found, round(count(f.id) / count(*), 9) AS recall FROM q LEFT JOIN fused f USING (id)""")
+def required_evidence_recall(spark: SparkSession, d: str) -> DataFrame:
+    found = search.reciprocal_rank_fusion(_lists(spark, d)).select("id", F.lit(1).alias("hit"))
+    required = table(spark, d, "labels").where("quality = 1").select(F.col("doc_id").alias("id")).distinct()
+    out = required.join(found, "id", "left").agg(F.count("*").alias("n_required"), F.count("hit").alias("n_found"))
+    return out.withColumn("recall", F.round(F.col("n_found") / F.col("n_required"), 9))
+
+
+@query(r"""
+WITH n AS (SELECT DISTINCT p_type || ' ' || p_name AS name FROM part), t AS (SELECT name, list_distinct(regexp_extract_all(lower(name), '[a-z0-9]+')) AS t FROM n)
+SELECT a.name AS a, b.name AS b, round(len(list_intersect(a.t, b.t)) / (len(a.t) + len(b.t) - len(list_intersect(a.t, b.t))), 9) AS similarity FROM t a JOIN t b ON a.name < b.name
+WHERE len(list_intersect(a.t, b.t)) / (len(a.t) + len(b.t) - len(list_intersect(a.t, b.t))) >= 0.5""")
+def jaccard_pairs(spark: SparkSession, d: str) -> DataFrame:
+    names = table(spark, d, "part").select(F.concat_ws(" ", "p_type", "p_name").alias("name")).distinct()
+    pairs = search.similar_pairs(names.withColumn("t", txt.terms_of(F.col("name"))), "name", "t", 0.5)
+    return pairs.select("a", "b", F.round("similarity", 9).alias("similarity"))
+
+
+@query(r"""
+WITH n AS (SELECT DISTINCT p_brand, p_type, p_name FROM part), t AS (SELECT *, list_distinct(regexp_extract_all(lower(p_name), '[a-z0-9]+')) AS t FROM n)
+SELECT a.p_brand AS brand, a.p_name AS a, b.p_name AS b, a.p_type AS type_a, b.p_type AS type_b,
+round(greatest(0.7 * len(list_intersect(a.t, b.t)) / (len(a.t) + len(b.t) - len(list_intersect(a.t, b.t))), CASE WHEN a.p_type = b.p_type THEN 0.15 ELSE 0 END), 9) AS similarity
+FROM t a JOIN t b ON a.p_brand = b.p_brand AND (a.p_name, a.p_type) < (b.p_name, b.p_type)""")
+def evidence_similarity(spark: SparkSession, d: str) -> DataFrame:
+    units = table(spark, d, "part").select("p_brand", "p_type", "p_name").distinct().withColumn("t", txt.terms_of(F.col("p_name")))
+    a, b = units.alias("a"), units.alias("b")
+    same = (F.col("a.p_brand") == F.col("b.p_brand")) & (F.struct("a.p_name", "a.p_type") < F.struct("b.p_name", "b.p_type"))
+    score = F.greatest(0.7 * search.jaccard(F.col("a.t"), F.col("b.t")), F.when(F.col("a.p_type") == F.col("b.p_type"), 0.15).otherwise(0.0))
+    return a.join(b, same).select(F.col("a.p_brand").alias("brand"), F.col("a.p_name").alias("a"), F.col("b.p_name").alias("b"), F.col("a.p_type").alias("type_a"), F.col("b.p_type").alias("type_b"), F.round(score, 9).alias("similarity"))
+
+
+@query("""SELECT doc_id, CAST(ceil(octet_length(encode(text)) / 4) AS BIGINT) AS tokens FROM documents""")
+def token_estimate(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "documents").select("doc_id", txt.token_cost(F.col("text")).alias("tokens"))
+
+
+# ---------------------------------------------------------------- graphs
+
+_EDGES = """SELECT 'o' || o_orderkey AS src, 'c' || o_custkey AS dst, 'PLACED_BY' AS type FROM orders UNION ALL SELECT 'c' || c_custkey, 'n' || c_nationkey, 'LIVES_IN' FROM customer
+UNION ALL SELECT 's' || s_suppkey, 'n' || s_nationkey, 'BASED_IN' FROM supplier UNION ALL SELECT 'n' || n_nationkey, 'r' || n_regionkey, 'PART_OF' FROM nation"""
+
+
+@query(f"""
+WITH e AS ({_EDGES}), x AS (SELECT src AS node, 0 AS i, 1 AS o FROM e UNION ALL SELECT dst, 1, 0 FROM e)
+SELECT node, CAST(sum(i) AS BIGINT) AS n_in, CAST(sum(o) AS BIGINT) AS n_out FROM x GROUP BY node""")
+def callers_callees(spark: SparkSession, d: str) -> DataFrame:
+    return graph.degrees(star.edges(spark, d))
+
+
+@query("""SELECT 'c' || c_custkey AS src FROM customer WHERE c_nationkey = 3""")
+def definitions_of(spark: SparkSession, d: str) -> DataFrame:
+    return graph.neighbours(star.edges(spark, d), "n3", "LIVES_IN", incoming=True).select("src")
+
+
+@query(f"""
+WITH RECURSIVE e AS ({_EDGES}), b AS (SELECT src, dst FROM e UNION ALL SELECT dst, src FROM e),
+r(node, hop) AS (SELECT 'r1', 0 UNION SELECT b.dst, r.hop + 1 FROM r JOIN b ON b.src = r.node WHERE r.hop < 3)
+SELECT node, min(hop) AS hop FROM r GROUP BY node""")
+def graph_bfs(spark: SparkSession, d: str) -> DataFrame:
+    return graph.levels(star.edges(spark, d), star.seeds(spark, "r1"), 3, both=True)
+
+
+@query(f"""
+WITH RECURSIVE e AS ({_EDGES}), r(node, hop) AS (SELECT 'n4', 0 UNION SELECT e.src, r.hop + 1 FROM r JOIN e ON e.dst = r.node WHERE r.hop < 3 AND type IN ('LIVES_IN', 'PLACED_BY'))
+SELECT node, min(hop) AS hop FROM r GROUP BY node""")
+def impact_reach(spark: SparkSession, d: str) -> DataFrame:
+    return graph.levels(star.edges(spark, d), star.seeds(spark, "n4"), 3, kinds=["LIVES_IN", "PLACED_BY"], reverse=True)
+
+
+@query("""
+SELECT 'r2' AS node, 0 AS hop, 'r2' AS path UNION ALL SELECT 'n' || n_nationkey, 1, 'r2>n' || n_nationkey FROM nation WHERE n_regionkey = 2
+UNION ALL SELECT 's' || s_suppkey, 2, 'r2>n' || n_nationkey || '>s' || s_suppkey FROM nation JOIN supplier ON s_nationkey = n_nationkey WHERE n_regionkey = 2""")
+def bfs_paths(spark: SparkSession, d: str) -> DataFrame:
+    down = star.edges(spark, d, "PART_OF", "BASED_IN").select(F.col("dst").alias("src"), F.col("src").alias("dst"), "id")
+    return graph.paths(down, star.seeds(spark, "r2"), 2).select("node", "hop", F.array_join("path", ">").alias("path"))
+
+
+def _ppr_sql(rounds: int) -> str:
+    """A fixed number of personalized PageRank rounds over suppliers, nations and regions."""
+    steps = [
+        f"""s{k} AS (SELECT t.node, 0.15 * restart + 0.85 * (coalesce(m.moved, 0) + (SELECT coalesce(sum(score), 0) FROM s{k - 1} WHERE node NOT IN (SELECT src FROM p)) * restart) AS score
+FROM t LEFT JOIN (SELECT dst AS node, sum(score * pr) AS moved FROM s{k - 1} JOIN p ON p.src = s{k - 1}.node GROUP BY dst) m ON m.node = t.node)"""
+        for k in range(1, rounds + 1)
+    ]
+    return f"""WITH e AS (SELECT 's' || s_suppkey AS src, 'n' || s_nationkey AS dst, 3.0 AS w FROM supplier UNION ALL SELECT 'n' || n_nationkey, 'r' || n_regionkey, 2.0 FROM nation),
+b AS (SELECT * FROM e UNION ALL SELECT dst, src, w FROM e), p AS (SELECT src, dst, w / sum(w) OVER (PARTITION BY src) AS pr FROM b),
+t AS (SELECT DISTINCT src AS node, CASE WHEN src IN ('n1', 'n7') THEN 0.5 ELSE 0.0 END AS restart FROM b), s0 AS (SELECT node, restart AS score FROM t), {", ".join(steps)}
+SELECT node, round(score, 9) AS score FROM s{rounds} WHERE score > 0"""
+
+
+@query(_ppr_sql(8))
+def ppr_scores(spark: SparkSession, d: str) -> DataFrame:
+    e = star.edges(spark, d, "BASED_IN", "PART_OF").select("src", "dst", F.when(F.col("type") == "BASED_IN", 3.0).otherwise(2.0).alias("weight"))
+    both = e.unionByName(e.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight"))
+    return graph.pagerank_rounds(both, star.seeds(spark, "n1", "n7"), 8).where("score > 0").select("node", F.round("score", 9).alias("score"))
+
+
+@query("""SELECT l_orderkey, l_partkey, l_suppkey, count(*) > 0 AS present FROM lineitem GROUP BY ALL""")
+def edge_dedup(spark: SparkSession, d: str) -> DataFrame:
+    lines = table(spark, d, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey")
+    return graph.dedup_edges(lines, "l_orderkey", "l_partkey", "l_suppkey").withColumn("present", F.lit(True))
+
+
+@query(f"""WITH e AS ({_EDGES}) SELECT type, count(*) AS n, count(DISTINCT dst) AS n_targets FROM e GROUP BY type""")
+def edge_union_types(spark: SparkSession, d: str) -> DataFrame:
+    return star.edges(spark, d).groupBy("type").agg(F.count("*").alias("n"), F.countDistinct("dst").alias("n_targets"))
+
+
+@query(f"""
+WITH e AS ({_EDGES}), v AS (SELECT src AS node FROM e UNION SELECT dst FROM e)
+SELECT CASE substr(node, 1, 1) WHEN 'o' THEN 'order' WHEN 'c' THEN 'customer' WHEN 's' THEN 'supplier' WHEN 'n' THEN 'nation' ELSE 'region' END AS kind, count(*) AS n_nodes FROM v GROUP BY 1""")
+def graph_stats(spark: SparkSession, d: str) -> DataFrame:
+    return star.nodes(star.edges(spark, d)).groupBy(star.kind(F.col("node")).alias("kind")).agg(F.count("*").alias("n_nodes"))
+
+
+@query("""
+WITH c AS (SELECT c_custkey, c_mktsegment AS name, [CASE WHEN c_acctbal > 5000 THEN 'c' || c_custkey END, CASE WHEN c_mktsegment IN ('BUILDING', 'MACHINERY') AND n_nationkey % 2 = 0 THEN 'n' || n_nationkey END, 'r' || n_regionkey] AS s
+FROM customer JOIN nation ON n_nationkey = c_nationkey)
+SELECT c_custkey, name, CASE WHEN s[1] IS NOT NULL THEN 0 WHEN s[2] IS NOT NULL THEN 1 ELSE 2 END AS depth, coalesce(s[1], s[2], s[3]) AS scope FROM c""")
+def nearest_scope_binding(spark: SparkSession, d: str) -> DataFrame:
+    return star.nearest_binding(spark, d)
+
+
+@query(r"""
+WITH p AS (SELECT page_id, regexp_extract(url, '^[a-z]+://([^/?#]*)', 1) AS host, regexp_extract(url, '^[a-z]+://[^/?#]*/([^?#]*)', 1) AS path FROM pages),
+f AS (SELECT host || '/' || path AS file, count(*) AS n FROM p GROUP BY 1),
+c AS (SELECT page_id, unnest([host || '/' || path, host || '/' || split_part(path, '/', 1), host || '/' || path || '/index']) AS file FROM p),
+m AS (SELECT page_id, count(DISTINCT c.file) AS n_found, min(c.file) AS file, sum(n) AS n_files FROM c JOIN f USING (file) GROUP BY page_id)
+SELECT page_id, CAST(n_found AS BIGINT) AS n_found, CASE WHEN n_found = 1 AND n_files = 1 THEN file END AS resolved FROM m""")
+def module_resolution(spark: SparkSession, d: str) -> DataFrame:
+    return star.resolve_modules(table(spark, d, "pages"))
+
+
+# ---------------------------------------------------------------- index runs and views
+
+
+@query("""
+WITH a AS (SELECT o_custkey, arg_max(o_orderkey, (o_orderdate, o_orderkey)) AS k, arg_max(o_orderstatus, (o_orderdate, o_orderkey)) AS s FROM orders WHERE o_orderdate < '1998-01-01' GROUP BY 1),
+b AS (SELECT o_custkey, arg_max(o_orderkey, (o_orderdate, o_orderkey)) AS k, arg_max(o_orderstatus, (o_orderdate, o_orderkey)) AS s FROM orders WHERE o_orderdate < '2000-01-01' GROUP BY 1),
+p AS (SELECT * FROM a WHERE s <> 'F'), c AS (SELECT * FROM b WHERE s <> 'F')
+SELECT coalesce(c.o_custkey, p.o_custkey) AS o_custkey, CASE WHEN p.o_custkey IS NULL THEN 'added' WHEN c.o_custkey IS NULL THEN 'deleted' WHEN p.k = c.k THEN 'reused' ELSE 'changed' END AS state FROM p FULL JOIN c ON p.o_custkey = c.o_custkey""")
+def index_diff(spark: SparkSession, d: str) -> DataFrame:
+    orders = table(spark, d, "orders").withColumn("seq", F.struct("o_orderdate", "o_orderkey"))
+
+    def snapshot(day: str) -> DataFrame:
+        return history.latest_per(orders.where(F.col("o_orderdate") < day), ["o_custkey"], "seq", tombstone=F.col("o_orderstatus") == "F")
+
+    return history.diff_snapshots(snapshot("1998-01-01"), snapshot("2000-01-01"), "o_custkey", ["o_orderkey"])
+
+
+@query("""
+SELECT user_id, count(*) AS seen, count(*) FILTER (WHERE event_type = 'purchase') AS changed, count(*) FILTER (WHERE event_type = 'error') AS deleted, count(*) FILTER (WHERE event_type IN ('view', 'click', 'signup')) AS unchanged, round(sum(value), 4) AS total FROM events GROUP BY user_id""")
+def run_counters(spark: SparkSession, d: str) -> DataFrame:
+    kind = F.col("event_type")
+    return table(spark, d, "events").groupBy("user_id").agg(
+        F.count("*").alias("seen"), F.count_if(kind == "purchase").alias("changed"), F.count_if(kind == "error").alias("deleted"), F.count_if(kind.isin("view", "click", "signup")).alias("unchanged"), F.round(F.sum("value"), 4).alias("total")
+    )
+
+
+@query("""
+SELECT c.category, count(e.event_id) AS n FROM (SELECT unnest(['view', 'click', 'error', 'purchase', 'signup', 'unknown']) AS category) c LEFT JOIN events e ON e.event_type = c.category GROUP BY c.category""")
+def unresolved_histogram(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "events").select(F.col("event_type").alias("category"))
+    return history.histogram(rows, "category", ["view", "click", "error", "purchase", "signup", "unknown"])
+
+
+@query("""
+SELECT p_partkey, p_brand, p_type, count(*) OVER (PARTITION BY p_brand, p_type) AS n_same, row_number() OVER (PARTITION BY p_brand, p_type ORDER BY p_partkey) - 1 AS ordinal FROM part""")
+def overload_ordinals(spark: SparkSession, d: str) -> DataFrame:
+    same = Window.partitionBy("p_brand", "p_type")
+    return table(spark, d, "part").select("p_partkey", "p_brand", "p_type", F.count("*").over(same).alias("n_same"), (F.row_number().over(same.orderBy("p_partkey")) - 1).cast("long").alias("ordinal"))
+
+
+@query("""
+SELECT o_custkey, CASE WHEN o_orderpriority LIKE '1%' THEN 'goals' WHEN o_orderstatus = 'O' THEN 'active_tasks' WHEN o_orderstatus = 'P' THEN 'active_tasks' WHEN o_orderstatus = 'F' AND o_orderpriority LIKE '2%' THEN 'completed_tasks' ELSE 'history' END AS grouped, count(*) AS n, max(o_orderkey) AS last_id FROM orders GROUP BY ALL""")
+def handoff_groups(spark: SparkSession, d: str) -> DataFrame:
+    first, status = F.substring("o_orderpriority", 1, 1), F.col("o_orderstatus")
+    grouped = F.when(first == "1", "goals").when(status.isin("O", "P"), "active_tasks").when((status == "F") & (first == "2"), "completed_tasks").otherwise("history")
+    return table(spark, d, "orders").groupBy("o_custkey", grouped.alias("grouped")).agg(F.count("*").alias("n"), F.max("o_orderkey").alias("last_id"))
+
+
+@query("""
+SELECT o_custkey, o_orderkey, r AS place FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS r FROM orders) WHERE r <= 20""")
+def recent_results(spark: SparkSession, d: str) -> DataFrame:
+    newest = Window.partitionBy("o_custkey").orderBy(F.col("o_orderdate").desc(), F.col("o_orderkey").desc())
+    return table(spark, d, "orders").select("o_custkey", "o_orderkey", F.row_number().over(newest).cast("long").alias("place")).where("place <= 20")
