@@ -101,6 +101,11 @@ def canonical_json(value: Any) -> str:
     return "".join(write(value))
 
 
+def parse(text: str) -> Any:
+    """JSON text as values that have a canonical form: integers beyond 2^53 - 1 are floats."""
+    return json.loads(text, parse_int=lambda s: int(s) if abs(int(s)) <= MAX_SAFE else float(s))
+
+
 def sha256(data: str | bytes) -> str:
     return hashlib.sha256(data.encode() if isinstance(data, str) else data).hexdigest()
 
@@ -128,7 +133,7 @@ def canonical_text(json_text: pd.Series) -> pd.Series:
 
     def one(s: str | None) -> str | None:
         try:
-            return None if s is None else canonical_json(json.loads(s))
+            return None if s is None else canonical_json(parse(s))
         except (CanonicalError, ValueError):
             return None
 

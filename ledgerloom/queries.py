@@ -15,8 +15,11 @@ from pyspark.sql import functions as F
 
 from ledgerloom.functions import canonical as can
 from ledgerloom.functions import text as txt
-from ledgerloom.operators import graph, history, search
-from ledgerloom.plans import star
+from ledgerloom.operators import events, graph, history, search
+from ledgerloom.plans import kernels, star
+from ledgerloom.session import shared_dir
+from ledgerloom.sources import archive
+from ledgerloom.streaming import views
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -484,3 +487,81 @@ SELECT o_custkey, o_orderkey, r AS place FROM (SELECT *, row_number() OVER (PART
 def recent_results(spark: SparkSession, d: str) -> DataFrame:
     newest = Window.partitionBy("o_custkey").orderBy(F.col("o_orderdate").desc(), F.col("o_orderkey").desc())
     return table(spark, d, "orders").select("o_custkey", "o_orderkey", F.row_number().over(newest).cast("long").alias("place")).where("place <= 20")
+
+
+# ---------------------------------------------------------------- event logs, streams, archives, kernels
+
+
+def conversation_log(spark: SparkSession, d: str) -> DataFrame:
+    """Conversations as an event log: a project each, that starts a session, and an event for each turn."""
+    c = table(spark, d, "conversations").where("role in ('user', 'assistant')")
+    project = F.concat(F.lit("00000000-0000-4000-8000-"), F.lpad(F.hex("conv_id"), 12, "0"))
+    turns = history.with_sequence(c, "conv_id", "turn", name="n").select(F.lower(project).alias("project_id"), F.col("n").cast("long").alias("n"), "role", "text")
+    name = F.when(F.col("role") == "user", "conversation.user_message").otherwise("conversation.assistant_message")
+    said = turns.select("project_id", (F.col("n") + 2).alias("sequence"), name.alias("event_type"), F.to_json(F.struct(F.col("text").alias("content"))).alias("raw"))
+    projects = turns.select("project_id").distinct()
+    first = projects.select("project_id", F.lit(1).cast("long").alias("sequence"), F.lit("project.created").alias("event_type"), F.to_json(F.struct(F.col("project_id").alias("name"), F.lit("/").alias("root_path"))).alias("raw"))
+    second = projects.select("project_id", F.lit(2).cast("long").alias("sequence"), F.lit("session.started").alias("event_type"), F.lit("{}").alias("raw"))
+    log = first.unionByName(second).unionByName(said).select("project_id", F.col("project_id").alias("session_id"), "sequence", "event_type", can.canonical_text("raw").alias("payload"), F.lit("2024-01-01T00:00:00.000Z").alias("created_at"))
+    envelope = can.canonical_object(created_at=can.quoted(F.col("created_at")), event_type=can.quoted(F.col("event_type")), payload=F.col("payload"), project_id=can.quoted(F.col("project_id")), sequence=can.integer(F.col("sequence")), session_id=can.quoted(F.col("session_id")))
+    hashed = log.withColumn("content_hash", F.sha2(envelope, 256))
+    return hashed.withColumn("id", can.event_id_column(F.col("content_hash"))).select(*[f.name for f in events.EVENT.fields])
+
+
+_PROJECT = "'00000000-0000-4000-8000-' || lower(lpad(hex(conv_id), 12, '0'))"
+
+
+@query(f"""
+SELECT {_PROJECT} AS project_id, count(*) + 2 AS n_events, count(*) + 2 AS n_valid FROM conversations WHERE role IN ('user', 'assistant') GROUP BY conv_id""")
+def event_log_verify(spark: SparkSession, d: str) -> DataFrame:
+    checked = events.verified(conversation_log(spark, d))
+    return checked.groupBy("project_id").agg(F.count("*").alias("n_events"), F.count_if("valid").alias("n_valid"))
+
+
+@query(f"""
+SELECT {_PROJECT} AS project_id, count(*) + 2 AS last_sequence, 1 AS n_sessions, {_PROJECT} AS active_session_id, CAST(NULL AS VARCHAR) AS error FROM conversations WHERE role IN ('user', 'assistant') GROUP BY conv_id""")
+def project_state_fold(spark: SparkSession, d: str) -> DataFrame:
+    folded = events.fold_projects(conversation_log(spark, d))
+    return folded.select("project_id", "last_sequence", F.col("n_sessions").cast("int").alias("n_sessions"), "active_session_id", "error")
+
+
+@query(f"""
+SELECT {_PROJECT} AS project_id, count(*) + 2 AS n_events, count(*) + 2 AS last_sequence, {_PROJECT} AS active_session_id, CAST(1 AS BIGINT) AS n_sessions FROM conversations WHERE role IN ('user', 'assistant') GROUP BY conv_id""")
+def streaming_project_view(spark: SparkSession, d: str) -> DataFrame:
+    root = f"{shared_dir(spark)}/stream-{can.new_uuid()}"
+    conversation_log(spark, d).write.parquet(f"{root}/log")
+    view = views.ProjectView(spark, f"{root}/view")
+    views.follow(views.read_events(spark, f"{root}/log", files_per_batch=4), view.apply, f"{root}/checkpoint").awaitTermination()
+    return view.view()
+
+
+@query("""SELECT user_id, count(*) AS n_events, CAST(sum(event_id) AS BIGINT) AS id_sum, round(sum(value), 4) AS total FROM events GROUP BY user_id""")
+def archive_roundtrip(spark: SparkSession, d: str) -> DataFrame:
+    path = f"{shared_dir(spark)}/archive-{can.new_uuid()}"
+    table(spark, d, "events").select(F.to_json(F.struct(F.lit("event").alias("type"), F.struct("event_id", "user_id", "event_type", "value").alias("data"))).alias("value")).write.option("compression", "gzip").text(path)
+    back = archive.read_archive_lines(spark, path).select(F.from_json("data", "event_id long, user_id long, event_type string, value double").alias("e")).select("e.*")
+    return back.groupBy("user_id").agg(F.count("*").alias("n_events"), F.sum("event_id").alias("id_sum"), F.round(F.sum("value"), 4).alias("total"))
+
+
+def _best_units(spark: SparkSession, d: str, n: int) -> DataFrame:
+    """The n best documents of a query with their texts, in one partition for the ordered kernels."""
+    docs = table(spark, d, "documents")
+    best = search.top(search.bm25(docs, "doc_id", "text", MULTI), n, "score", "doc_id")
+    top = best.agg(F.min("score").alias("low"))
+    scored = best.crossJoin(F.broadcast(top)).select("doc_id", (F.col("score") / F.col("low")).alias("relevance"))
+    return docs.join(F.broadcast(scored), "doc_id").select("doc_id", "text", "source", "relevance").coalesce(1)
+
+
+@query()
+def mmr_order(spark: SparkSession, d: str) -> DataFrame:
+    return kernels.diversity(_best_units(spark, d, 40))
+
+
+@query()
+def context_pack(spark: SparkSession, d: str) -> DataFrame:
+    return kernels.packed(_best_units(spark, d, 40), 8000, " ".join(MULTI))
+
+
+@query()
+def source_windows(spark: SparkSession, d: str) -> DataFrame:
+    return kernels.windows(table(spark, d, "documents").select("doc_id", "text"), MULTI, 1800)
