@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -34,15 +35,37 @@ def scratch(spark: SparkSession, what: str) -> str:
     return f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, what: str) -> DataFrame:
-    """Write df to the shared folder and read it back: a cut of the lineage that outlives executors."""
+@contextmanager
+def settings(spark: SparkSession, **values: str) -> Iterator[None]:
+    """Session settings that hold inside, by names with `__` for dots."""
+    before = {k: spark.conf.get(k, None) for k in (n.replace("__", ".") for n in values)}
+    for n, v in values.items():
+        spark.conf.set(n.replace("__", "."), v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v) if v is not None else spark.conf.unset(k)
+
+
+def materialize(df: DataFrame, what: str, files: int | None = None) -> DataFrame:
+    """Write df to the shared folder and read it back: a cut of the lineage that outlives executors.
+
+    Small results become few files; `files` is for results whose size is known.
+    """
     path = scratch(df.sparkSession, what)
-    df.write.parquet(path)
+    with settings(df.sparkSession, spark__sql__adaptive__coalescePartitions__parallelismFirst="false"):
+        (df if files is None else df.coalesce(files)).write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Bytes of an Arrow batch on its way to a Python worker; rows may be long.
+BATCH_BYTES = "8m"
+
+
 def nested(df: DataFrame) -> DataFrame:
     """All columns of df as the struct `row`, out of the way of the columns that operators add."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
     return df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"))
 
 

@@ -409,21 +409,21 @@ class PageMaker:
             parts.append(f"<h2 {GOLD}>{self.heading()}</h2>")
         for _ in range(int(self.rng.integers(1, 14))):
             r = self.rng.random()
-            if r < 0.72:
+            if r < 0.62:
                 parts.append(p())
-            elif r < 0.78:
+            elif r < 0.68:
                 parts.append(f"<{(h := self.pick('h2', 'h3', 'h4'))} {GOLD}>{self.heading()}</{h}>")
-            elif r < 0.83:
+            elif r < 0.73:
                 parts.append(f"<ul {GOLD}>" + "".join(f"<li>{self.sentence(2, 9)}</li>" for _ in range(int(self.rng.integers(2, 6)))) + "</ul>")
-            elif r < 0.86:
+            elif r < 0.76:
                 parts.append(f"<blockquote {GOLD}><p>{self.prose()}</p></blockquote>")
-            elif r < 0.88:
+            elif r < 0.78:
                 parts.append(f"<pre {GOLD}>{self.words(3, 20)}</pre>")
-            elif r < 0.91:
+            elif r < 0.81:
                 parts.append(f"<figure {GOLD}><img src=x><figcaption>{self.sentence(3, 9)}</figcaption></figure>")
-            elif r < 0.93:
+            elif r < 0.83:
                 parts.append(f"<table {GOLD}><tr><td>{self.words(1, 3)}</td><td>{self.words(1, 3)}</td></tr><tr><td>{self.words(1, 2)}<td>{self.words(1, 4)}</table>")
-            elif r < 0.95:
+            elif r < 0.85:
                 parts.append(f"<div {GOLD}>{self.prose()}</div>")
             else:
                 parts.append(self.pick(self.ad(), self.share(), self.side(), self.notice(), self.form()))

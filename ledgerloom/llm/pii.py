@@ -26,7 +26,8 @@ KEY = "replace this key"
 MALE = "Mr Herr Monsieur M Sr Señor".split()
 FEMALE = "Mrs Ms Miss Frau Mme Mlle Madame Sra Señora".split()
 NEUTRAL = "Dr Prof".split()
-_TITLE = "(?:" + "|".join(sorted([*MALE[:3], *MALE[4:], *FEMALE, *NEUTRAL], key=len, reverse=True)) + r"|M(?=\.))\.?"
+_LONG = [t for t in (*MALE, *FEMALE, *NEUTRAL) if len(t) > 1]
+_TITLE = "(?:" + "|".join(sorted({*_LONG, *(t.upper() for t in _LONG)}, key=lambda t: (-len(t), t))) + r"|M(?=\.))\.?"
 _WORD = r"\p{Lu}[\p{L}'’\-]{1,40}"
 _LOCAL = r"\p{L}\p{N}._%+\-"
 #: Patterns by kind, in order of precedence.
@@ -168,8 +169,8 @@ def _parts(kind: Column, m: Column) -> Column:
     none = F.lit(None).cast("string")
     title = F.regexp_extract(m, rf"^({_TITLE} )", 1)
     words = F.split(F.substr(m, F.char_length(title) + 1, F.char_length(m)), " ")
-    plain = F.regexp_replace(title, r"[. ]", "")
-    gender = F.when(plain.isin(*MALE), "given-m").when(plain.isin(*FEMALE), "given-f").otherwise("given-n")
+    plain = F.lower(F.regexp_replace(title, r"[. ]", ""))
+    gender = F.when(plain.isin(*map(str.lower, MALE)), "given-m").when(plain.isin(*map(str.lower, FEMALE)), "given-f").otherwise("given-n")
     given, last = F.get(words, F.lit(0)), F.element_at(words, -1)
     surname = part(3, F.lit("surname"), F.lower(last), last)
     full = F.array(part(0, none, none, title), part(1, gender, F.lower(given), given), part(2, none, none, F.lit(" ")), surname)

@@ -14,6 +14,8 @@ its own calibration uses the threshold of all languages.
 
 from __future__ import annotations
 
+import pickle
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -52,13 +54,17 @@ class Vocabulary:
 
     def __init__(self) -> None:
         self.number: dict[bytes, int] = {b"": 0}
-        self.rows: list[tuple[int, int, int, int]] = [(0, 0, 0, 0)]
+        self.flat = array("H", (0, 0, 0, 0))
+
+    @property
+    def rows(self) -> np.ndarray:
+        return np.array(self.flat, np.int64).reshape(-1, 4)
 
     def ids(self, words: list[bytes]) -> np.ndarray:
         number = self.number
         for w in set(words).difference(number):
-            number[w] = len(self.rows)
-            self.rows.append(features(w))
+            number[w] = len(number)
+            self.flat.extend(features(w))
         return np.fromiter(map(number.__getitem__, words), np.int64, len(words))
 
 
@@ -110,6 +116,7 @@ class Model:
                 r = sum(part[k : k + hi - lo, at + k * FILTERS : at + (k + 1) * FILTERS] for k in range(width))
                 response[:, f * FILTERS : (f + 1) * FILTERS] = r
                 at += width * FILTERS
+            response[ids[lo:hi] == 0] = 0  # a window that begins in the padding would reach the next text
             first = int(np.searchsorted(begins, lo, side="right")) - 1
             last = int(np.searchsorted(begins, hi - 1, side="right")) - 1
             edges = np.maximum(begins[first : last + 1] - lo, 0)
@@ -131,22 +138,36 @@ class Model:
 
 
 def train(texts: list[bytes], labels: np.ndarray, langs: list[str | None], epochs: int = EPOCHS) -> Model:
-    """Fit the weights to four fifths of the rows (Adagrad, STEPS batches at least), calibrate thresholds on the others."""
-    model = Model.fresh()
+    """Calibrate thresholds on a fifth of the rows with weights fitted to the others, then fit the weights to all rows."""
     if not len(texts) or labels.min() == labels.max():
+        model = Model.fresh()
         model.weights[:] = 0
         p = 0.5 * PRIOR if not len(texts) or not labels.any() else 1 - 0.5 * PRIOR
         model.offset = float(np.log(p / (1 - p)))
         return model
     vocabulary = Vocabulary()
-    numbered = [padded([t], vocabulary)[0] for t in texts]
-    rows = np.array(vocabulary.rows)
-    rng = np.random.Generator(np.random.PCG64(SEED + 1))
-    order = rng.permutation(len(texts))
-    held = np.sort(order[: len(order) // 5])
-    fit = order[len(order) // 5 :]
-    if labels[fit].min() == labels[fit].max():
-        fit = order
+    numbered = [padded([t], vocabulary)[0].astype(np.int32) for t in texts]
+    rows = vocabulary.rows
+    order = np.random.Generator(np.random.PCG64(SEED + 1)).permutation(len(texts))
+    held, rest = np.sort(order[: len(order) // 5]), order[len(order) // 5 :]
+    model = fit(numbered, rows, labels, order, epochs)
+    if len(held) and labels[rest].min() < labels[rest].max():
+        trial = fit(numbered, rows, labels, rest, epochs)
+        scores = []
+        for lo in range(0, len(held), BATCH):
+            batch = held[lo : lo + BATCH]
+            begins = np.concatenate([[0], np.cumsum([len(numbered[i]) for i in batch])])
+            used, local = np.unique(np.concatenate([[0], *(numbered[i] for i in batch)]), return_inverse=True)
+            scores.append(trial.scores(trial.pooled(local[1:], begins, trial.projected(rows[used]))[0]))
+        calibrate(model, np.concatenate(scores), labels[held], [langs[i] for i in held])
+    return model
+
+
+def fit(numbered: list[np.ndarray], rows: np.ndarray, labels: np.ndarray, which: np.ndarray, epochs: int) -> Model:
+    """Weights for the texts `which`, by Adagrad on batches of them, STEPS at least; both labels weigh the same."""
+    model = Model.fresh()
+    rng = np.random.Generator(np.random.PCG64(SEED + 2))
+    fit = np.array(which)
     share = labels[fit].mean()
     sums = {k: np.full(v.shape, 1e-6, np.float32) for k, v in (("e", model.embeddings), ("b", model.bias), ("w", model.weights), *((f"f{i}", f) for i, f in enumerate(model.filters)))}
     offset_sum = 1e-6
@@ -196,10 +217,6 @@ def train(texts: list[bytes], labels: np.ndarray, langs: list[str | None], epoch
             offset_sum += d.sum() ** 2
             model.offset -= RATE * d.sum() / np.sqrt(offset_sum)
         rng.shuffle(fit)
-    if len(held):
-        ids = np.concatenate([numbered[i] for i in held])
-        begins = np.concatenate([[0], np.cumsum([len(numbered[i]) for i in held])])
-        calibrate(model, model.scores(model.pooled(ids, begins, model.projected(rows))[0]), labels[held], [langs[i] for i in held])
     return model
 
 
@@ -224,26 +241,34 @@ def calibrate(model: Model, scores: np.ndarray, labels: np.ndarray, langs: list[
             model.thresholds[lang] = best_threshold(scores[at], labels[at])
 
 
+def _train_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    rows = [r for b in batches for r in zip(*(b.column(c).to_pylist() for c in ("doc_id", "text", "toxic", "lang")), strict=True)]
+    rows.sort(key=lambda r: xxhash.xxh64_intdigest(str(r[0])))
+    kept, total = [], 0
+    for r in rows:
+        if total + len(r[1] or b"") <= MAX_BYTES:
+            kept.append(r)
+            total += len(r[1] or b"")
+    model = train([r[1] or b"" for r in kept], np.array([r[2] for r in kept], np.int64), [r[3] for r in kept])
+    yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], names=["model"])
+
+
 def fit_sample(docs: DataFrame, labels: DataFrame) -> Model:
-    """Train on a bounded sample of the labelled documents; labels has doc_id and toxic."""
-    flat = labels.where("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    """Train on a bounded sample of the labelled documents; labels has doc_id and toxic.
+
+    The sample is at most MAX_TOXIC + MAX_CLEAN rows, the first by a hash of
+    their id; of these one task takes whole texts up to MAX_BYTES, and trains.
+    """
+    flat = labels.where("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     picks = []
     for value, most in ((1, MAX_TOXIC), (0, MAX_CLEAN)):
         picks.append(flat.where(F.col("toxic") == value).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most))
-    chosen = picks[0].unionByName(picks[1])
-    # at most MAX_TOXIC + MAX_CLEAN ids
-    found = docs.join(F.broadcast(chosen), "doc_id").select("doc_id", "toxic", "lang", F.col("text").cast("binary").alias("text"))
-    sizes = found.select("doc_id", "toxic", F.coalesce(F.octet_length("text"), F.lit(0)).alias("n")).groupBy("doc_id").agg(F.max("n").alias("n")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(MAX_TOXIC + MAX_CLEAN).collect()
-    kept, total = [], 0
-    for r in sizes:
-        if total + r["n"] <= MAX_BYTES:
-            kept.append(r["doc_id"])
-            total += r["n"]
-    spark = docs.sparkSession
-    if len(kept) < len(sizes):
-        found = found.join(F.broadcast(spark.createDataFrame([(k,) for k in kept], "doc_id long")), "doc_id", "left_semi")
-    rows = sorted(((r["doc_id"], bytes(r["text"] or b""), int(r["toxic"]), r["lang"]) for r in found.dropDuplicates(["doc_id"]).collect()), key=lambda r: xxhash.xxh64_intdigest(str(r[0])))
-    return train([r[1] for r in rows], np.array([r[2] for r in rows], np.int64), [r[3] for r in rows])
+    # at most MAX_TOXIC + MAX_CLEAN ids; of rows that share an id the longest text counts
+    lang = F.col("lang") if "lang" in docs.columns else F.lit(None).cast("string").alias("lang")
+    found = docs.select("doc_id", "text", lang).join(F.broadcast(picks[0].unionByName(picks[1])), "doc_id").select("doc_id", "toxic", "lang", F.col("text").cast("binary").alias("text"))
+    one = found.groupBy("doc_id").agg(F.max_by(F.struct("text", "toxic", "lang"), F.struct(F.coalesce(F.octet_length("text"), F.lit(0)), "text")).alias("r"))
+    blob = one.select("doc_id", "r.text", "r.toxic", "r.lang").repartition(1).mapInArrow(_train_task, "model binary").first()
+    return pickle.loads(bytes(blob["model"])) if blob else train([], np.zeros(0, np.int64), [])
 
 
 def _score(shared, field_: str):
@@ -251,12 +276,12 @@ def _score(shared, field_: str):
         model: Model = shared.value
         vocabulary, rows = Vocabulary(), np.zeros((0, FILTERS * sum(WIDTHS)), np.float32)
         for batch, texts in slices(with_text(batches, field_), "_text", 1 << 20):
-            if len(vocabulary.rows) > CACHE:
+            if len(vocabulary.number) > CACHE:
                 vocabulary, rows = Vocabulary(), rows[:0]
             ids, begins = padded(texts, vocabulary)
-            new = vocabulary.rows[len(rows) :]
-            if new:
-                more = model.projected(np.array([(0, 0, 0, 0), *new]))[1:]
+            if len(vocabulary.number) > len(rows):
+                new = np.array(vocabulary.flat[4 * len(rows) :], np.int64).reshape(-1, 4)
+                more = model.projected(np.concatenate([np.zeros((1, 4), np.int64), new]))[1:]
                 if not len(rows):
                     more[0] = 0
                 rows = np.concatenate([rows, more])
