@@ -11,8 +11,9 @@ from __future__ import annotations
 import hashlib
 import json
 import math
+import re
 import uuid
-from collections.abc import Iterator
+from json.encoder import encode_basestring
 from typing import Any
 
 import pandas as pd
@@ -58,47 +59,55 @@ def number_text(x: int | float) -> str:
     return sign + digits[0] + ("." + digits[1:] if n > 1 else "") + "e" + ("+" if e >= 0 else "-") + str(abs(e))
 
 
+_SURROGATE = re.compile("[\ud800-\udfff]")
+
+
 def _string_text(s: str) -> str:
-    text = json.dumps(s, ensure_ascii=False)
-    return "".join(f"\\u{ord(c):04x}" if 0xD800 <= ord(c) <= 0xDFFF else c for c in text) if any(0xD800 <= ord(c) <= 0xDFFF for c in s) else text
+    text = encode_basestring(s)
+    return _SURROGATE.sub(lambda m: f"\\u{ord(m[0]):04x}", text) if _SURROGATE.search(text) else text
 
 
 def canonical_json(value: Any) -> str:
     """The canonical text of a JSON value; anything else is a CanonicalError."""
     open_: set[int] = set()
-
-    def write(v: Any) -> Iterator[str]:
-        if v is None:
-            yield "null"
+    out: list[str] = []
+    add = out.append
+
+    def write(v: Any) -> None:
+        if isinstance(v, str):
+            add(_string_text(v))
+        elif v is None:
+            add("null")
         elif v is True or v is False:
-            yield "true" if v else "false"
-        elif isinstance(v, str):
-            yield _string_text(v)
+            add("true" if v else "false")
         elif isinstance(v, (int, float)):
-            yield number_text(v)
+            add(number_text(v))
         elif isinstance(v, (list, dict)):
             if id(v) in open_:
                 raise CanonicalError("value contains itself")
             open_.add(id(v))
             if isinstance(v, list):
-                yield "["
+                add("[")
                 for k, x in enumerate(v):
-                    yield "," if k else ""
-                    yield from write(x)
-                yield "]"
+                    if k:
+                        add(",")
+                    write(x)
+                add("]")
             else:
                 if not all(isinstance(k, str) for k in v):
                     raise CanonicalError("key is not a string")
-                yield "{"
-                for k, key in enumerate(sorted(v, key=lambda s: s.encode("utf-16-be", "surrogatepass"))):
-                    yield ("," if k else "") + _string_text(key) + ":"
-                    yield from write(v[key])
-                yield "}"
+                keys = sorted(v) if all(map(str.isascii, v)) else sorted(v, key=lambda s: s.encode("utf-16-be", "surrogatepass"))
+                add("{")
+                for k, key in enumerate(keys):
+                    add(("," if k else "") + _string_text(key) + ":")
+                    write(v[key])
+                add("}")
             open_.discard(id(v))
         else:
             raise CanonicalError(f"{type(v).__name__} is not a JSON value")
 
-    return "".join(write(value))
+    write(value)
+    return "".join(out)
 
 
 def parse(text: str) -> Any:

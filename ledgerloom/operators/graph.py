@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Mapping, Sequence
 from dataclasses import dataclass, field
+from operator import attrgetter
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -102,7 +103,7 @@ def bounded_bfs(edges: Iterable[Edge], seeds: Iterable[str], max_hops: int, max_
     source.  The frontier and the edges of a node are taken in order of id, so
     the result does not depend on the order of the input.
     """
-    ordered = sorted(edges)
+    ordered = sorted(edges, key=attrgetter("id"))
     out: dict[str, list[tuple[Edge, str]]] = {}
     for e in ordered:
         if reverse:
@@ -129,7 +130,7 @@ def bounded_bfs(edges: Iterable[Edge], seeds: Iterable[str], max_hops: int, max_
 def personalized_pagerank(edges: Iterable[Edge], seeds: Iterable[str], config: GraphConfig | None = None, reverse: bool = False) -> tuple[dict[str, float], dict[str, tuple[Edge, ...]], int]:
     """Scores (summing to 1) of the nodes that a bounded search reaches, their paths, and the iterations taken."""
     config = config or GraphConfig()
-    edges = sorted(set(edges))
+    edges = sorted({e.id: e for e in edges}.values(), key=attrgetter("id"))
     found = bounded_bfs(edges, seeds, config.max_hops, config.max_candidates, reverse)
     nodes = sorted(found)
     starts = sorted(set(seeds) & set(nodes))

@@ -161,6 +161,36 @@ def test_index_is_incremental(project, spark):
     assert store.blobs(spark).where("not valid").count() == 0
 
 
+def test_projections_follow_appends(project):
+    from ledgerloom.sources.store import Projection
+
+    _, store, e = project
+    counts = Projection("count", lambda events: {"n": len(events)}, lambda old, event: {"n": old["n"] + 1})
+    kinds = Projection("messages", lambda events: [x["payload"]["content"] for x in events if x["event_type"] == "conversation.user_message"], event_types=("conversation.user_message",))
+
+    def refuses(events):
+        if any(x["payload"].get("content") == "bad" for x in events):
+            raise ValueError
+
+    store.projections = {p.name: p for p in (counts, kinds, Projection("strict", refuses))}
+    for k in range(3):
+        e.record("conversation.user_message", {"content": f"m{k}"})
+    e.record("test.result", {"status": "passed", "summary": "s"})
+    with pytest.raises(ValueError):
+        e.record("conversation.user_message", {"content": "bad"})
+    view = lambda n: json.loads((store.root / "views" / f"{n}-{e.project_id}.json").read_text())
+    assert view("count") == {"n": 6} == {"n": len(e.events())} and view("messages") == ["m0", "m1", "m2"]
+    before = view("count")
+    store.rebuild(e.project_id)
+    assert view("count") == before
+    file = store._files(e.project_id)[2]
+    data = file.read_bytes()
+    file.write_bytes(store._files(e.project_id)[3].read_bytes())
+    assert not e.doctor()["healthy"]
+    file.write_bytes(data)
+    assert e.doctor()["healthy"]
+
+
 def test_scan(tmp_path, spark):
     (tmp_path / "node_modules").mkdir()
     (tmp_path / "node_modules/x.ts").write_text("no")
