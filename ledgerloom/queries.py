@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom.functions import canonical as can
 from ledgerloom.functions import text as txt
-from ledgerloom.operators import events, graph, history, search
+from ledgerloom.operators import codegraph, events, extract, graph, history, search
 from ledgerloom.plans import kernels, star
 from ledgerloom.session import shared_dir
 from ledgerloom.sources import archive
@@ -565,3 +565,17 @@ def context_pack(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def source_windows(spark: SparkSession, d: str) -> DataFrame:
     return kernels.windows(table(spark, d, "documents").select("doc_id", "text"), MULTI, 1800)
+
+
+@query("""
+SELECT unnest(['CALLS', 'CONTAINS', 'DEFINES', 'EXPORTS', 'REFERENCES']) AS kind, CAST(unnest([19000, 41000, 20000, 20000, 20000]) AS BIGINT) AS n""")
+def code_graph_stress(spark: SparkSession, d: str) -> DataFrame:
+    """1,000 made files of 20 functions, each calling the one before: extracted in parallel, assembled, counted."""
+    function = F.concat(
+        F.lit("export function work"), "k", F.lit("_"), "j", F.lit("(value: number): number {\n  return "),
+        F.when(F.col("j") == 0, "value + 1").otherwise(F.concat(F.lit("work"), "k", F.lit("_"), F.col("j") - 1, F.lit("(value)"))), F.lit(";\n}\n"),
+    )
+    lines = spark.range(1000).select(F.col("id").alias("k"), F.explode(F.sequence(F.lit(0), F.lit(19))).alias("j")).select("k", "j", function.alias("line"))
+    files = lines.groupBy("k").agg(F.array_join(F.array_sort(F.collect_list(F.struct("j", "line")))["line"], "").alias("text"))
+    files = files.select(F.lit("stress").alias("project_id"), F.concat(F.lit("work"), "k", F.lit(".ts")).alias("path"), F.col("text").cast("binary").alias("content"))
+    return codegraph.assembled(extract.extract_files(files), "edges").groupBy("kind").agg(F.count("*").alias("n"))
