@@ -183,7 +183,7 @@ def op9_warc(spark, sf_dir: str) -> DataFrame:
     write_warc(table(spark, sf_dir, "pages").select("page_id", "url", "html"), path)
     captures = assemble(read_records(spark, path, with_payload=False)).select(
         "capture_id",
-        F.element_at(F.element_at("metadata", 1)["fields"], "pageid").cast("long").alias("page_id"),
+        F.element_at(F.element_at("metadata", 1)["fields"], "pageid").try_cast("long").alias("page_id"),
         F.col("response.payload_bytes").alias("payload_bytes"),
         F.col("response.payload_digest").alias("payload_digest"),
         F.col("response.record_type").alias("record_type"),

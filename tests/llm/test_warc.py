@@ -51,6 +51,14 @@ def test_empty_table_and_base32(spark):
     assert [r.b for r in got] == [base64.b32encode(bytes.fromhex(h)).decode() for h in hexes]
 
 
+def test_query_bears_odd_pages(spark, tmp_path):
+    from ledgerloom.llm.warc import op9_warc
+
+    pages(spark, ROWS).write.parquet(f"{tmp_path}/pages.parquet")
+    got = sorted((str(r.page_id), r.payload_bytes, r.record_type, str(r.refers_to)) for r in op9_warc(spark, str(tmp_path)).collect())
+    assert ("None", 9, "response", "None") in got and ("5", 9, "revisit", "3") in got and ("11", 9, "revisit", "3") in got and ("7", 0, "response", "None") in got and ("8", 0, "revisit", "7") in got
+
+
 def test_damage_is_an_error(spark):
     path = scratch(spark, "warc")
     write_warc(pages(spark, ROWS[:2]), path)
