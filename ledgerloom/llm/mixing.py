@@ -72,6 +72,7 @@ def thresholds(hashed: DataFrame, targets: DataFrame) -> DataFrame:
         sums = sums.withColumn("before", F.sum("tokens").over(order) - F.col("tokens")).withColumnRenamed("source", "source_")
         edge = s.join(sums, F.col("s.source").eqNullSafe(F.col("source_")) & (F.col("before") <= F.col("s.left")) & (F.col("s.left") < F.col("before") + F.col("tokens")), "left")
         state = edge.select("s.source", "source_size", "target", "base", (F.col("left") - F.coalesce("before", F.lit(0))).alias("left"), F.coalesce("k", F.lit(-1)).alias("edge"), F.coalesce("tokens", F.lit(0)).alias("tokens"))
+        state = materialize(state, "mixing-level")  # one row a source; small plans instead of one that nests all levels
     return state.select("source", "source_size", "target", "base", "edge", ((F.col("left") * 2 >= F.col("tokens")) & (F.col("edge") >= 0)).alias("edge_in"))
 
 
@@ -81,7 +82,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST) -
     d = d.select("row", F.col("row.source").alias("source"), n_words(F.col("row.text")).alias("size"), doc_hash(F.col("row.doc_id"), F.col("row.text")).alias("hash"))
     hashed = materialize(d.select("source", "size", "hash"), "mixing-sizes")
     sizes = hashed.groupBy("source").agg(F.sum("size").alias("source_size"))
-    chosen = materialize(thresholds(hashed, source_targets(sizes, weights, most)), "mixing-thresholds").withColumnRenamed("source", "source_")
+    chosen = thresholds(hashed, materialize(source_targets(sizes, weights, most), "mixing-targets")).withColumnRenamed("source", "source_")
     out = d.join(chosen, F.col("source").eqNullSafe(F.col("source_")))
     copies = F.col("base") + ((F.col("hash") < F.col("edge")) | ((F.col("hash") == F.col("edge")) & F.col("edge_in"))).cast("long")
     return out.select("row", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
