@@ -26,6 +26,8 @@ from pyspark.sql import functions as F
 from ledgerloom.llm.common import nested, scratch, table
 
 SHARDS, SEED, BUCKET_BYTES = 8, 20240607, 16 << 20
+#: Buckets at most; beyond, they grow with the data (1 GB at 100 TB), of which a task holds 8 bytes a row.
+MOST_BUCKETS = 100_000
 
 
 def _placed(offsets: list[int], seed: int):
@@ -54,12 +56,13 @@ def shuffle_to_shards(docs: DataFrame, path: str, shards: int = SHARDS, seed: in
     spark = docs.sparkSession
     rows = nested(docs).withColumn("tie", F.xxhash64(F.lit(seed), "row.doc_id", "row.text"))
     total = rows.agg(F.coalesce(F.sum(F.coalesce(F.octet_length("row.text"), F.lit(0)) + 1), F.lit(0))).first()[0]
-    buckets = max(1, math.ceil(total / bucket_bytes))
+    buckets = min(max(1, math.ceil(total / bucket_bytes)), MOST_BUCKETS)
     rows = rows.withColumn("bucket", F.pmod("tie", F.lit(buckets)).cast("int"))
     counts = {r["bucket"]: r["count"] for r in rows.groupBy("bucket").count().collect()}  # one row a bucket
     offsets = np.concatenate([[0], np.cumsum([counts.get(b, 0) for b in range(buckets)])]).astype(np.int64).tolist()
     n = offsets[-1]
-    scattered = rows.repartition("bucket").sortWithinPartitions("bucket", "tie", "row.doc_id", F.xxhash64(F.lit(~seed), "row.text"))
+    # as many partitions as buckets: a task holds a few memory-sized buckets, however many there are
+    scattered = rows.repartition(buckets, "bucket").sortWithinPartitions("bucket", "tie", "row.doc_id", F.xxhash64(F.lit(~seed), "row.text"))
     schema = rows.select("row", F.lit(0).cast("long").alias("place")).schema
     placed = scattered.select("row", "bucket").mapInArrow(_placed(offsets, seed), schema)
     # shard k holds the places from ceil(k * n / shards) on

@@ -103,8 +103,8 @@ class Model:
         e[0] = 0
         return np.concatenate([e @ f[k] for f in self.filters for k in range(len(f))], axis=1)
 
-    def pooled(self, ids: np.ndarray, begins: np.ndarray, table_: np.ndarray, step: int = 1 << 15) -> tuple[np.ndarray, np.ndarray]:
-        """Largest response of each filter in each text, and the position where it is; texts of any length in steps."""
+    def pooled(self, ids: np.ndarray, begins: np.ndarray, table_: np.ndarray, step: int = 1 << 15, track: bool = False) -> tuple[np.ndarray, np.ndarray]:
+        """Largest response of each filter in each text, and (if tracked) the position where it is; texts of any length in steps."""
         n, count = len(begins) - 1, FILTERS * len(WIDTHS)
         best, where = np.full((n, count), -np.inf, np.float32), np.zeros((n, count), np.int64)
         over = max(WIDTHS) - 1
@@ -122,7 +122,7 @@ class Model:
             edges = np.maximum(begins[first : last + 1] - lo, 0)
             top = np.maximum.reduceat(response, edges, axis=0)
             better = top > best[first : last + 1]
-            if self._track:
+            if track:
                 for d in range(first, last + 1):
                     block = response[edges[d - first] : (edges[d - first + 1] if d < last else hi - lo)]
                     pos = block.argmax(axis=0) + edges[d - first] + lo
@@ -130,8 +130,6 @@ class Model:
             best[first : last + 1] = np.maximum(best[first : last + 1], top)
         return best, where
 
-    _track = False
-
     def scores(self, best: np.ndarray) -> np.ndarray:
         hidden = np.maximum(best.astype(np.float64) + self.bias, 0)
         return 1 / (1 + np.exp(-np.clip(hidden @ self.weights.astype(np.float64) + self.offset, -30, 30)))
@@ -183,9 +181,7 @@ def fit(numbered: list[np.ndarray], rows: np.ndarray, labels: np.ndarray, which:
             begins = np.concatenate([[0], np.cumsum([len(numbered[i]) for i in batch])])
             used, local = np.unique(np.concatenate([[0], ids]), return_inverse=True)
             local = local[1:]
-            model._track = True
-            best, where = model.pooled(local, begins, model.projected(rows[used]))
-            model._track = False
+            best, where = model.pooled(local, begins, model.projected(rows[used]), track=True)
             y = labels[batch]
             hidden = np.maximum(best + model.bias, 0)
             p = 1 / (1 + np.exp(-(hidden @ model.weights + model.offset)))

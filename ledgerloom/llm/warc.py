@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom.llm.common import scratch, table
 
+#: Payload bytes of a file, which a task parses in memory; larger for large crawls, so that files stay countable.
 FILE_BYTES = 24 << 20
 DATE = "2024-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
