@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+import json
 import re
-from collections.abc import Callable, Iterable, Iterator, Mapping
+from collections.abc import Callable, Iterable, Mapping
 from dataclasses import dataclass
 from datetime import UTC, datetime
 from typing import Any
@@ -239,20 +240,18 @@ STATE = "project_id string, last_sequence long, active_session_id string, n_sess
 def fold_projects(events: DataFrame) -> DataFrame:
     """The state of each project, by an ordered fold: a checkpoint hashes the whole state before it.
 
-    One history goes to one task, as batches in order of sequence; the state is
-    small beside it.
+    One history goes to one task; the state is small beside it.
     """
-    import json
-
-    def fold(groups: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in groups:
-            state, error = ProjectState(), None
-            for r in pdf.sort_values("sequence").to_dict("records"):
-                try:
-                    state = apply_event(state, {**r, "sequence": int(r["sequence"]), "payload": json.loads(r["payload"])})
-                except EventError as e:
-                    error = f"{int(r['sequence'])}: {e}"
-                    break
-            yield pd.DataFrame([{"project_id": pdf["project_id"].iloc[0], "last_sequence": state.last_sequence, "active_session_id": state.active_session_id, "n_sessions": len(state.sessions), "n_checkpoints": len(state.checkpoints), "state_hash": state.hash, "error": error}])
-
-    return events.groupBy("project_id").applyInPandas(lambda pdf: next(fold(iter([pdf]))), STATE)
+
+    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
+        state, error = ProjectState(), None
+        for r in pdf.sort_values("sequence").to_dict("records"):
+            try:
+                state = apply_event(state, {**r, "sequence": int(r["sequence"]), "payload": json.loads(r["payload"])})
+            except EventError as e:
+                error = f"{int(r['sequence'])}: {e}"
+                break
+        row = (pdf["project_id"].iloc[0], state.last_sequence, state.active_session_id, len(state.sessions), len(state.checkpoints), state.hash, error)
+        return pd.DataFrame([row], columns=[c.split(" ")[0] for c in STATE.split(", ")])
+
+    return events.groupBy("project_id").applyInPandas(fold, STATE)

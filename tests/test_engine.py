@@ -10,6 +10,7 @@ import pytest
 from ledgerloom import cli
 from ledgerloom.operators import memory as mem
 from ledgerloom.operators.events import EventError
+from ledgerloom.operators.history import TRANSITIONS
 from ledgerloom.operators.packing import recall
 from ledgerloom.plans.engine import Engine, replay_code
 from ledgerloom.plans.tools import TOOLS, Tools
@@ -107,7 +108,7 @@ def test_memory_lifecycle_and_time_travel(project):
         with pytest.raises(EventError):
             bad()
     assert len(e.events()) == n
-    for kind in mem.__dict__["check_transition"].__globals__["TRANSITIONS"]:
+    for kind in TRANSITIONS:
         e.promote(kind, f"a {kind}", [src])
     for relation in ("PART_OF", "DEPENDS_ON", "BLOCKS", "RESOLVES", "PRODUCED", "VERIFIED_BY", "RELATED_TO"):
         e.link(task, new, relation, [src])
