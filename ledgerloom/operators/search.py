@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerloom.functions.text import search_tokens, terms_of
+from ledgerloom.session import cut
 
 K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
 
@@ -29,8 +30,8 @@ def term_statistics(posted: DataFrame) -> DataFrame:
 def bm25(docs: DataFrame, doc_id: str, text: str, terms: Sequence[str]) -> DataFrame:
     """(doc_id, score): score is lower for better documents, as a search engine's `bm25()` has it.
 
-    One pass counts the query's terms and the length of each document; only
-    documents with a hit leave it, and the statistics are one row.
+    One pass over the texts leaves a slim table of lengths and counts, from
+    which the statistics (one row) and the scores come.
     """
     terms = list(dict.fromkeys(terms))
     if not terms:
@@ -38,10 +39,10 @@ def bm25(docs: DataFrame, doc_id: str, text: str, terms: Sequence[str]) -> DataF
     tokens = docs.select(F.col(doc_id).alias("doc_id"), search_tokens(F.coalesce(F.col(text), F.lit(""))).alias("tokens"))
 
     def occurrences(word: str) -> Column:
-        return F.size(F.filter("tokens", lambda t: t == word)).cast("double")
+        return (F.size("tokens") - F.size(F.array_remove("tokens", word))).cast("double")
 
     counts = [occurrences(w) for w in terms]
-    counted = tokens.select("doc_id", F.size("tokens").cast("double").alias("dl"), F.array(*counts).alias("f"))
+    counted = cut(tokens.select("doc_id", F.size("tokens").cast("double").alias("dl"), F.array(*counts).alias("f")))
     total = counted.agg(F.count("*").cast("double").alias("docs"), F.avg("dl").alias("avgdl"), *[F.sum((F.get("f", F.lit(i)) > 0).cast("double")).alias(f"n{i}") for i in range(len(terms))])
 
     def part(i: int) -> Column:
