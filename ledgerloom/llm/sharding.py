@@ -25,9 +25,10 @@ from pyspark.sql import functions as F
 
 from ledgerloom.llm.common import nested, scratch, table
 
-SHARDS, SEED, BUCKET_BYTES = 8, 20240607, 16 << 20
+SHARDS, SEED, BUCKET_BYTES = 8, 20240607, 4 << 20
 #: Buckets at most; beyond, they grow with the data (1 GB at 100 TB), of which a task holds 8 bytes a row.
 MOST_BUCKETS = 100_000
+BUCKETS_A_TASK = 4
 
 
 def _placed(offsets: list[int], seed: int):
@@ -61,8 +62,8 @@ def shuffle_to_shards(docs: DataFrame, path: str, shards: int = SHARDS, seed: in
     counts = {r["bucket"]: r["count"] for r in rows.groupBy("bucket").count().collect()}  # one row a bucket
     offsets = np.concatenate([[0], np.cumsum([counts.get(b, 0) for b in range(buckets)])]).astype(np.int64).tolist()
     n = offsets[-1]
-    # as many partitions as buckets: a task holds a few memory-sized buckets, however many there are
-    scattered = rows.repartition(buckets, "bucket").sortWithinPartitions("bucket", "tie", "row.doc_id", F.xxhash64(F.lit(~seed), "row.text"))
+    # a task takes a few buckets one after another; several of them even out
+    scattered = rows.repartition(math.ceil(buckets / BUCKETS_A_TASK), "bucket").sortWithinPartitions("bucket", "tie", "row.doc_id", F.xxhash64(F.lit(~seed), "row.text"))
     schema = rows.select("row", F.lit(0).cast("long").alias("place")).schema
     placed = scattered.select("row", "bucket").mapInArrow(_placed(offsets, seed), schema)
     # shard k holds the places from ceil(k * n / shards) on
