@@ -35,7 +35,7 @@ PRIOR = 0.1
 #: Rows of a language that its own threshold needs, of either label.
 LEAST_ROWS = 12
 #: Words whose projections a worker keeps.
-CACHE = 150_000
+CACHE = 80_000
 
 FOLD = bytes(b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 
@@ -271,7 +271,7 @@ def _score(shared, field_: str):
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model: Model = shared.value
         vocabulary, rows = Vocabulary(), np.zeros((0, FILTERS * sum(WIDTHS)), np.float32)
-        for batch, texts in slices(with_text(batches, field_), "_text", 1 << 20):
+        for batch, texts in slices(with_text(batches, field_), "_text"):
             if len(vocabulary.number) > CACHE:
                 vocabulary, rows = Vocabulary(), rows[:0]
             ids, begins = padded(texts, vocabulary)
