@@ -22,7 +22,7 @@ import math
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerloom.llm.common import scratch, table
@@ -73,10 +73,12 @@ def write_warc(pages: DataFrame, path: str, least: int = 0, file_bytes: int = FI
     # who comes first is found on slim rows; the pages themselves move once, evenly
     slim = page.where((F.col("bytes") >= least) & F.col("page_id").isNotNull()).select("page_id", "sha").distinct()
     firsts = slim.join(slim.groupBy("sha").agg(F.min("page_id").alias("first_id")), "sha")
-    page = page.repartition(files, "page_id", "sha").join(firsts.repartition(files, "page_id", "sha").hint("merge"), ["page_id", "sha"], "left")
+    # pages equal in page_id and payload are told apart by their number; number 1 is the one that revisits name
+    nth = F.row_number().over(Window.partitionBy("page_id", "sha").orderBy("url"))
+    page = page.repartition(files, "page_id", "sha").withColumn("nth", nth).join(firsts.repartition(files, "page_id", "sha").hint("merge"), ["page_id", "sha"], "left")
     revisit = F.coalesce((F.col("bytes") >= least) & (F.col("page_id") != F.col("first_id")), F.lit(False))
     uri = F.regexp_replace(F.regexp_replace("url", "\r", "%0D"), "\n", "%0A")
-    key = [F.col("page_id"), F.col("sha")]
+    key = [F.col("page_id"), F.col("sha"), F.col("nth")]
     answer = _urn("response", *key)
     digest = F.concat(F.lit("sha1:"), base32_of_hex(F.col("sha")))
     http = F.concat(F.lit(f"HTTP/1.1 200 OK{CRLF}Content-Type: text/html; charset=utf-8{CRLF}Content-Length: "), F.col("bytes").cast("string"), F.lit(CRLF + CRLF))
@@ -87,7 +89,7 @@ def write_warc(pages: DataFrame, path: str, least: int = 0, file_bytes: int = FI
         _record(
             F.when(revisit, "revisit").otherwise("response"),
             answer,
-            [("WARC-Target-URI", uri), ("WARC-Payload-Digest", digest), ("WARC-Refers-To", F.when(revisit, _urn("response", F.col("first_id"), F.col("sha")))), ("WARC-Profile", F.when(revisit, PROFILE)), ("Content-Type", F.lit("application/http;msgtype=response"))],
+            [("WARC-Target-URI", uri), ("WARC-Payload-Digest", digest), ("WARC-Refers-To", F.when(revisit, _urn("response", F.col("first_id"), F.col("sha"), F.lit(1)))), ("WARC-Profile", F.when(revisit, PROFILE)), ("Content-Type", F.lit("application/http;msgtype=response"))],
             F.when(revisit, http).otherwise(F.concat(http, F.col("html"))),
         ),
         _record("metadata", _urn("metadata", *key), [("WARC-Target-URI", uri), ("WARC-Concurrent-To", answer), ("Content-Type", F.lit("application/warc-fields"))], F.concat(F.lit("pageId: "), F.coalesce(F.col("page_id").cast("string"), F.lit("")), F.lit(CRLF))),

@@ -67,3 +67,25 @@ def test_damage_is_an_error(spark):
     for bad in (data[:-3], data[:-5], b"x" + data, data.replace(b"Content-Length: ", b"Content-Length: 9", 1)):
         with pytest.raises((ValueError, KeyError)):
             list(parse_warc(bad))
+
+
+def test_every_page_is_a_capture_of_its_own(spark, tmp_path):
+    from ledgerloom.llm.warc import op9_warc
+
+    rows = [*ROWS, (5, "http://other.example/", "<p>é</p>"), (3, "http://b.example/again", "<p>é</p>"), (7, "not null", None), (None, None, None), (None, "v", None), (None, "n", "<p>é</p>")]
+    path = scratch(spark, "warc")
+    write_warc(pages(spark, rows), path, file_bytes=2000)
+    captures = assemble(read_records(spark, path)).collect()
+    assert all(len(c.requests) == len(c.metadata) == 1 for c in captures)
+    got = [(c.metadata[0].fields["pageid"], c.response.payload_bytes, (c.response.target_uri or "").replace("%0D%0A", "\r\n")) for c in captures]
+    assert sorted(got) == sorted((str(i) if i is not None else "", len((h or "").encode()), u or "") for i, u, h in rows)
+    ids = [c.response.record_id for c in captures if c.response.record_type == "response"]
+    assert len(ids) == len(set(ids)) and {c.response.refers_to_id for c in captures if c.response.record_type == "revisit"} <= set(ids)
+
+    pages(spark, rows).write.parquet(f"{tmp_path}/pages.parquet")
+    found = sorted((str(r.page_id), r.payload_bytes, r.record_type, str(r.refers_to)) for r in op9_warc(spark, str(tmp_path)).collect())
+    first = {}
+    for i, _, h in rows:
+        if i is not None:
+            first[h or ""] = min(first.get(h or "", i), i)
+    assert found == sorted((str(i), len((h or "").encode()), "revisit", str(first[h or ""])) if i is not None and first[h or ""] != i else (str(i), len((h or "").encode()), "response", "None") for i, _, h in rows)
