@@ -29,6 +29,8 @@ from ledgerloom.llm.linking import bridged, components, shared_buckets
 
 SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS = 25, 5
+#: By so much a sum of floats may miss the similarity that it stands for.
+ROUNDING = 1e-9
 NO_ID = np.iinfo(np.int64).max
 
 
@@ -93,6 +95,14 @@ def probability_jaccard(ha: np.ndarray, wa: np.ndarray, hb: np.ndarray, wb: np.n
     return float(np.sum(1.0 / ((only_a + sum_a[below]) / a + (only_b + sum_b[-1] - sum_b[below]) / b)))
 
 
+def is_similar(ha: np.ndarray, wa: np.ndarray, hb: np.ndarray, wb: np.ndarray, threshold: float) -> bool:
+    """Whether the probability Jaccard is the threshold or more; by counts where no shingle repeats, as the quotient of two counts rounds right."""
+    if (wa == 1).all() and (wb == 1).all():
+        shared = len(np.intersect1d(ha, hb, assume_unique=True))
+        return shared > 0 and shared / (len(ha) + len(hb) - shared) >= threshold
+    return probability_jaccard(ha, wa, hb, wb) >= threshold - ROUNDING
+
+
 def _bands(bands: int, rows: int):
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rolling = Rolling(SHINGLE, 0xC2B2AE3D27D4EB4F)
@@ -142,7 +152,7 @@ def _similar(threshold: float):
                 return cache[node]
 
             for i, (x, y) in enumerate(zip(a.tolist(), b.tolist(), strict=True)):
-                keep[i] = probability_jaccard(*of(x, ta, i), *of(y, tb, i)) >= threshold
+                keep[i] = is_similar(*of(x, ta, i), *of(y, tb, i), threshold)
             yield pa.RecordBatch.from_arrays([pa.array(a[keep]), pa.array(b[keep])], names=["a", "b"])
 
     return scan
@@ -175,10 +185,10 @@ def _across(threshold: float):
             seen = mine[ids]
             bound = np.minimum(np.add.reduceat(seen, begin) / total[q], np.add.reduceat(weights * (seen > 0), begin) / total[members])
             mine[number[own]] = 0
-            for k in np.flatnonzero((bound >= threshold - 1e-9) & (cls[members] != cls[q])).tolist():
+            for k in np.flatnonzero((bound >= threshold - 2 * ROUNDING) & (cls[members] != cls[q])).tolist():
                 m = members[k]
                 other = slice(starts[m], starts[m + 1])
-                if probability_jaccard(h[own], w[own], h[other], w[other]) >= threshold:
+                if is_similar(h[own], w[own], h[other], w[other], threshold):
                     out.append((int(node[q]), int(node[m])))
         return pa.table({"a": pa.array([min(x) for x in out], pa.int64()), "b": pa.array([max(x) for x in out], pa.int64())})
 

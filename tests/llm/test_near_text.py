@@ -3,12 +3,13 @@ import math
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from ledgerloom.llm.common import Rolling
 from ledgerloom.llm.linking import components
-from ledgerloom.llm.near_text import keep_one, near_duplicates, probability_jaccard, shingle_weights, signatures
+from ledgerloom.llm.near_text import _across, is_similar, keep_one, near_duplicates, probability_jaccard, shingle_weights, signatures
 from tests.llm.conftest import odd_rows
 
 
@@ -117,3 +118,21 @@ def test_hot_group_loses_no_link(docs, words):
     rows = [(k, " ".join(t)) for k, t in enumerate(chain)]
     found = near_duplicates(docs(rows)).select(F.col("row.doc_id").alias("d"), "class_id").collect()
     assert sorted((str(r.d), r.class_id) for r in found) == brute(rows)
+
+
+def test_a_similarity_of_exactly_the_threshold_is_a_link(docs):
+    one = lambda *ids: (np.array(ids, np.uint64), np.ones(len(ids)))
+    for m in range(1, 200):
+        a = one(*range(4 * m + m // 2))
+        b = one(*range(4 * m), *range(10_000, 10_000 + m - m // 2))
+        assert is_similar(*a, *b, 0.8) and not is_similar(*a, *one(*b[0].tolist(), 20_000), 0.8), m
+        twice = [(h, w + math.log(2)) for h, w in (a, b)]  # all shingles occur twice: still 4m of 5m
+        assert is_similar(*twice[0], *twice[1], 0.8), m
+    assert not is_similar(*one(1), *one(2), 0.0)
+
+    a = [f"a{k}" for k in range(19)]  # 15 shingles, of which the other has the first 12
+    rows = [(1, " ".join(a)), (2, " ".join(a[:16]))]
+    group = pa.table({"node": [1, 2], "class": [1, 2], "side": [0, 1], "text": [t for _, t in rows]})
+    assert _across(0.8)(group).to_pylist() == [{"a": 1, "b": 2}]
+    found = near_duplicates(docs(rows))
+    assert {r.class_id for r in found.collect()} == {1} and keep_one(found).count() == 1
