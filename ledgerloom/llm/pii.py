@@ -30,11 +30,13 @@ _LONG = [t for t in (*MALE, *FEMALE, *NEUTRAL) if len(t) > 1]
 _TITLE = "(?:" + "|".join(sorted({*_LONG, *(t.upper() for t in _LONG)}, key=lambda t: (-len(t), t))) + r"|M(?=\.))\.?"
 _WORD = r"\p{Lu}[\p{L}'’\-]{1,40}"
 _LOCAL = r"\p{L}\p{N}._%+\-"
+#: A secret in hex digits; it is the same in either case.
+HEX = "^[0-9A-Fa-f]{32,}$"
 #: Patterns by kind, in order of precedence.
 PATTERNS = {
     "name": rf"(?<!\p{{L}}){_TITLE} {_WORD}(?: {_WORD})?",
-    "email": rf"(?<![{_LOCAL}])[{_LOCAL}]{{1,128}}+@[A-Za-z0-9\-]{{1,63}}+(?:\.[A-Za-z0-9\-]{{1,63}}+)+",
-    "secret": r"(?<![\p{L}\p{N}])(?:AKIA[A-Z0-9]{16}|[0-9a-f]{32,128})(?![\p{L}\p{N}])|(?<=(?:token|secret|password|passwd|api_key|apikey|api-key) ?[=:] ?[\"']?)[A-Za-z0-9+/_\-]{8,}+",
+    "email": rf"(?<![{_LOCAL}])[{_LOCAL}]++@[A-Za-z0-9\-]++(?:\.[A-Za-z0-9\-]++)++",
+    "secret": r"(?<![\p{L}\p{N}])(?:AKIA[A-Z0-9]{16}|[0-9A-Fa-f]{32,}+)(?![\p{L}\p{N}])|(?<=[=: \"'])(?<=(?i:token|secret|password|passwd|api_key|apikey|api-key) ?[=:] ?[\"']?)[A-Za-z0-9+/_\-]{8,}+",
     "ipv6": r"(?<![0-9A-Fa-f:])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![0-9A-Fa-f:])",
     "mac": r"(?<![0-9A-Fa-f:])(?:[0-9A-Fa-f]{2}:){5}[0-9A-Fa-f]{2}(?![0-9A-Fa-f:])",
     "iban": r"(?<![\p{L}\p{N}])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![\p{L}\p{N}])",
@@ -45,7 +47,7 @@ PATTERNS = {
 }
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
 #: What a text needs to have a mention at all; cheaper than ANY.
-TRIGGER = rf"[0-9@]|[0-9a-f]{{32}}|[=:] ?[\"']?[A-Za-z0-9+/_\-]{{8}}|{_TITLE} \p{{Lu}}"
+TRIGGER = rf"[0-9@]|[0-9A-Fa-f]{{32}}|AKIA|[=:] ?[\"']?[A-Za-z0-9+/_\-]{{8}}|{_TITLE} \p{{Lu}}"
 
 #: Syllables of made-up names by script, and endings by gender.
 SYLLABLES = {
@@ -149,11 +151,12 @@ def rendered(kind: Column, raw: Column, core: Column) -> Column:
     cased = F.array_join(F.transform(F.split(core, ""), lambda c, i: F.when(F.substr(raw, i + 1, F.lit(1)).rlike(r"\p{Lu}"), F.upper(c)).otherwise(c)), "")
     spaced = F.array_join(F.transform(F.split(raw, ""), lambda c, i: F.when(c == " ", c).otherwise(F.substr(core, F.char_length(F.regexp_replace(F.substr(raw, F.lit(1), i + 1), " ", "")), F.lit(1)))), "")
     person = F.when((F.upper(raw) == raw) & (F.char_length(raw) > 1), F.upper(core)).otherwise(F.initcap(core))
-    return F.when(kind.isin("phone", "card", "ssn"), placed).when(kind.isin("email", "ipv6", "mac"), cased).when(kind == "iban", spaced).when(kind.isin("ipv4", "secret"), core).otherwise(person)
+    hexes = F.when(raw.rlike("[A-F]") & ~raw.rlike("[a-f]"), F.upper(core)).otherwise(cased)
+    return F.when((kind == "secret") & raw.rlike(HEX), hexes).when(kind.isin("phone", "card", "ssn"), placed).when(kind.isin("email", "ipv6", "mac"), cased).when(kind == "iban", spaced).when(kind.isin("ipv4", "secret"), core).otherwise(person)
 
 
 def _kind(mention: Column) -> Column:
-    found = F.when(mention.rlike("@"), "email")
+    found = F.when(mention.rlike("@"), "email").when(mention.rlike(HEX), "secret")
     for kind in ("ipv6", "mac", "ipv4", "ssn"):
         found = found.when(mention.rlike(f"^(?:{PATTERNS[kind]})$"), kind)
     found = found.when(mention.rlike(rf"^{_TITLE} \p{{Lu}}"), "name").when(mention.rlike(r"^[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?$") & ~mention.startswith("AKIA"), "iban")
@@ -176,7 +179,7 @@ def _parts(kind: Column, m: Column) -> Column:
     full = F.array(part(0, none, none, title), part(1, gender, F.lower(given), given), part(2, none, none, F.lit(" ")), surname)
     short = F.array(part(0, none, none, title), surname)
     norm = F.when(kind == "phone", F.concat(F.when(m.startswith("+"), "+").otherwise(""), F.regexp_replace(m, "[^0-9]", ""))).when(kind.isin("card", "ssn"), F.regexp_replace(m, "[^0-9]", ""))
-    norm = norm.when(kind.isin("email", "ipv6", "mac"), F.lower(m)).when(kind == "iban", F.regexp_replace(m, " ", "")).otherwise(m)
+    norm = norm.when(kind.isin("email", "ipv6", "mac"), F.lower(m)).when((kind == "secret") & m.rlike(HEX), F.lower(m)).when(kind == "iban", F.regexp_replace(m, " ", "")).otherwise(m)
     return F.when(kind == "name", F.when(F.size(words) > 1, full).otherwise(short)).otherwise(F.array(part(0, kind, norm, m)))
 
 

@@ -58,3 +58,28 @@ def test_odd_rows_and_empty_table(docs):
     assert replace_entities(docs([])).count() == 0
     twice = replace_entities(docs([(1, "a@b.example.com"), (1, "a@b.example.com"), (None, "a@b.example.com")])).collect()
     assert len({r.text for r in twice}) == 1 and len(twice) == 3
+
+
+def test_secrets_in_any_case_and_of_any_length(docs):
+    token, letters, mixed = "9233a8ecf7c5b09fe5949719b6b82bc439e9329b", "abcdefab" * 4, "aB3dEf01" * 5
+    local, iban_like = "n" * 200, "AB12" + "C3D4" * 7
+    rows = [
+        (1, f'token = "{token}"'),
+        (2, f'TOKEN = "{token.upper()}" AND Api_Key: Zq9xWv_77TtR'),
+        (3, letters.upper()),
+        (4, "see AKIA" + "QWERTYUIOPASDFGH"),
+        (5, f"{'0f' * 100} and {'F0' * 100}"),
+        (6, f"{local}@example.com and a@{'h' * 70}.com"),
+        (7, f"{mixed} {iban_like} {'7' * 40}"),
+    ]
+    got = run(docs(rows))
+    assert {k: (r.n_entities, r.kinds) for k, r in got.items()} == {1: (1, ["secret"]), 2: (2, ["secret"]), 3: (1, ["secret"]), 4: (1, ["secret"]), 5: (2, ["secret"]), 6: (2, ["email"]), 7: (3, ["secret"])}
+    low = re.fullmatch(r'token = "([0-9a-f]{40})"', got[1].text)[1]
+    up = re.fullmatch(r'TOKEN = "([0-9A-F]{40})" AND Api_Key: ([A-Z][a-z]\d[a-z][A-Z][a-z]_\d\d[A-Z][a-z][A-Z])', got[2].text)
+    assert low != token and up[1] == low.upper() and up[2] != "Zq9xWv_77TtR"
+    assert re.fullmatch("[0-9A-F]{32}", got[3].text) and got[3].text != letters.upper()
+    assert re.fullmatch("see AKIA[A-Z]{16}", got[4].text) and "QWERTY" not in got[4].text
+    a, b = got[5].text.split(" and ")
+    assert re.fullmatch("[0-9a-f]{200}", a) and re.fullmatch("[0-9A-F]{200}", b) and a != "0f" * 100 and b != "F0" * 100
+    assert re.fullmatch(r"[a-z]{200}@[a-z]{7}\.com and [a-z]@[a-z]{70}\.com", got[6].text) and local not in got[6].text and "h" * 70 not in got[6].text
+    assert [len(x) for x in got[7].text.split()] == [40, 32, 40] and not {mixed, iban_like, "7" * 40} & set(got[7].text.split())
