@@ -8,7 +8,9 @@ leave room for the window on both sides (positional and length bounds), and
 the words are then compared one by one.
 
 Defined results: a null text has no words; an item without words is never
-found; equal items are all reported; equal document rows are judged alike.
+found; equal items are all reported; equal document rows are judged alike;
+items without an id hit words as others do, and all of them are one null in
+`items`, which n_items counts as one and items_sha256 leaves out.
 Other columns of the documents travel in the struct `row`, so their names
 cannot clash.
 """
@@ -38,17 +40,22 @@ def folded_words(text: bytes | None) -> list[bytes]:
     return text.translate(FOLD).split() if text else []
 
 
+def _order(item: str | None) -> tuple[bool, str]:
+    """Item ids in order, a missing one last."""
+    return item is None, item or ""
+
+
 class ItemIndex:
     """The windows of a block of items, by the ids of their words."""
 
     def __init__(self, items: list[tuple[str | None, bytes | None]], window: int = WINDOW) -> None:
         self.vocabulary: dict[bytes, int] = {}
-        self.items = sorted({i for i, _ in items if i is not None})
+        self.items = sorted({i for i, _ in items}, key=_order)
         number = {x: k for k, x in enumerate(self.items)}
         found: dict[tuple[int, ...], set[int]] = {}
         for item, text in items:
             ids = [self.vocabulary.setdefault(w, len(self.vocabulary)) for w in folded_words(text)]
-            if item is not None and ids:
+            if ids:
                 size = min(window, len(ids))
                 for s in range(len(ids) - size + 1):
                     found.setdefault(tuple(ids[s : s + size]), set()).add(number[item])
@@ -168,7 +175,7 @@ def _find(shared, out: pa.Schema | None = None):
             edges = np.zeros(len(ids) + 1, np.int64)
             np.add.at(edges, s, 1)
             np.add.at(edges, s + index.sizes[w], -1)
-            items_by: dict[int, set[str]] = {}
+            items_by: dict[int, set[str | None]] = {}
             spans_by: dict[int, list[tuple[int, int]]] = {}
             if len(s):
                 doc = np.searchsorted(begins, s, side="right") - 1
@@ -185,7 +192,7 @@ def _find(shared, out: pa.Schema | None = None):
             spans, items = [], []
             for i in range(len(texts)):
                 spans.append(_merged(spans_by.get(i, []), old_spans[i].as_py() if old_spans[i].is_valid else []))
-                items.append(sorted(items_by.get(i, set()) | set(old_items[i].as_py() or [])))
+                items.append(sorted(items_by.get(i, set()) | set(old_items[i].as_py() or []), key=_order))
             columns = {"row": batch.column("row"), "n_words": pa.array(counts), "spans": pa.array(spans, batch.schema.field("spans").type), "items": pa.array(items, batch.schema.field("items").type)}
             yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
 

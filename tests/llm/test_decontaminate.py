@@ -53,3 +53,17 @@ def test_empty_tables(spark, docs):
     assert got(decontaminate(docs([(1, "a b")]), bench)) == [("1", 2, 0, ())]
     assert got(decontaminate(docs([]), bench)) == []
     assert decontaminate(docs([(1, "a b")]), bench).first().row["spans"] == "own spans"
+
+
+@pytest.mark.parametrize("block_bytes", [1 << 20, 40])
+def test_items_without_an_id_hit_words(spark, docs, tmp_path, block_bytes):
+    from ledgerloom.llm.decontaminate import op10_decontaminate
+
+    items = [(None, "p q r"), (None, "s t u v"), (3, "q r s"), (None, None)]
+    rows = [(1, "x p q r s t u v y"), (2, "p q r"), (3, "x y z")]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    assert [(d, n, h, tuple(i)) for d, n, h, i in got(decontaminate(docs(rows), bench, block_bytes=block_bytes))] == [("1", 9, 7, ("3", None)), ("2", 3, 3, (None,)), ("3", 3, 0, ())]
+    docs(rows, clash=False).write.parquet(f"{tmp_path}/documents.parquet")
+    bench.write.parquet(f"{tmp_path}/benchmark.parquet")
+    found = sorted((r.doc_id, r.n_hit, r.n_items, r.contaminated) for r in op10_decontaminate(spark, str(tmp_path)).collect())
+    assert found == [(1, 7, 2, True), (2, 3, 1, True), (3, 0, 0, False)]  # as OP10_SQL counts
