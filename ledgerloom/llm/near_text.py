@@ -21,7 +21,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom.llm.common import Rolling, materialize, nested, ranges, remix, slices, split_words, table, word_hashes
@@ -234,12 +234,16 @@ def near_classes(texts: DataFrame, threshold: float = SIMILARITY, bands: int = B
     return components(bridged(first, more))
 
 
+def has_words() -> Column:
+    return F.coalesce(F.col("row.text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+
+
 def near_duplicates(docs: DataFrame, threshold: float = SIMILARITY) -> DataFrame:
     """Per document: `row` (its columns), node, class_id (smallest doc_id of its class), kept (it stands for the class).
 
     Of equal rows that would all stand for a class, each says kept; keep_one leaves one.
     """
-    worded = F.coalesce(F.col("row.text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    worded = has_words()
     rows = nested(docs).withColumn("doc", F.coalesce(F.col("row.doc_id").cast("long"), F.lit(NO_ID)))
     rows = rows.withColumn("node", F.when(worded, F.xxhash64("row.text")).otherwise(F.xxhash64(F.lit("no words"), "row.doc_id")))
     texts = rows.where(worded).select("node", F.col("row.text").alias("text"))
@@ -254,8 +258,8 @@ def near_duplicates(docs: DataFrame, threshold: float = SIMILARITY) -> DataFrame
 
 
 def keep_one(found: DataFrame) -> DataFrame:
-    """The `row` of one document of each class; only rows that occur again are brought together."""
-    again = materialize(found.where("kept").groupBy("node").count().where("count > 1").select("node"), "repeated")
+    """The `row` of one document of each class; only rows that occur again are brought together, and rows without words all stay."""
+    again = materialize(found.where("kept").where(has_words()).groupBy("node").count().where("count > 1").select("node"), "repeated")
     kept = found.where("kept")
     single = kept.join(again, "node", "left_anti").select("row")
     return single.unionByName(kept.join(again, "node", "left_semi").dropDuplicates(["node"]).select("row"))

@@ -136,3 +136,9 @@ def test_a_similarity_of_exactly_the_threshold_is_a_link(docs):
     assert _across(0.8)(group).to_pylist() == [{"a": 1, "b": 2}]
     found = near_duplicates(docs(rows))
     assert {r.class_id for r in found.collect()} == {1} and keep_one(found).count() == 1
+
+
+def test_rows_without_words_all_stay(docs):
+    rows = [(None, None), (None, None), (None, ""), (7, " \n"), (7, " \n"), (7, None), (8, "one"), (8, "one")]
+    kept = keep_one(near_duplicates(docs(rows))).select("row.doc_id", "row.text").collect()
+    assert sorted((str(r.doc_id), str(r.text)) for r in kept) == sorted((str(d), str(t)) for d, t in rows[:7])
