@@ -29,7 +29,9 @@ from ledgerloom.llm.common import nested, slices, table, with_fields, with_text
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|([^<]+|<)", re.S)
 ATTRIBUTE = re.compile(r"([^\s=\"'/>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 
-RAW = frozenset("script style template iframe noembed noframes svg math canvas object textarea select noscript title".split())
+RAW = frozenset("script style template iframe noembed noframes svg canvas object textarea select noscript title".split())
+#: Raw elements that, without an end tag, lose only their start tag; others take the rest of the page.
+OPEN = frozenset("svg canvas object select template".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCK = frozenset(
     "address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup option p pre search section summary table tbody td tfoot th thead tr ul".split()
@@ -74,6 +76,19 @@ def _names(attributes: str) -> str:
     return " ".join(found)
 
 
+def closed(html: str, tag: str) -> dict[int, int]:
+    """Where the elements of this tag that have an end tag begin and end; each end tag ends the nearest open one."""
+    found: dict[int, int] = {}
+    begun: list[int] = []
+    for m in re.finditer(rf"<!--.*?(?:-->|\Z)|<(script|style)\b.*?(?:</\1\b|\Z)|<(/?){tag}(?=[\s/>])([^>]*)>", html, re.S | re.I):
+        if m[2] == "/":
+            if begun:
+                found[begun.pop()] = m.end()
+        elif m[2] is not None and not m[3].rstrip().endswith("/"):
+            begun.append(m.start())
+    return found
+
+
 def leaf_blocks(html: str) -> list[Block]:
     """The blocks of a page with any text, in page order."""
     blocks: list[Block] = []
@@ -110,10 +125,11 @@ def leaf_blocks(html: str) -> list[Block]:
         return -1
 
     at, size = 0, len(html)
+    ends: dict[str, dict[int, int]] = {}
     scan = TOKEN.match
     while at < size:
         m = scan(html, at)
-        at = m.end()
+        begin, at = at, m.end()
         text = m[7]
         if text is not None:
             if "&" in text:
@@ -142,7 +158,11 @@ def leaf_blocks(html: str) -> list[Block]:
                 flush()
             continue
         if tag in RAW:
-            if not attributes.rstrip().endswith("/"):
+            if tag in OPEN:
+                if tag not in ends:
+                    ends[tag] = closed(html, tag)
+                at = max(at, ends[tag].get(begin, at))
+            elif not attributes.rstrip().endswith("/"):
                 end = re.compile(rf"</{tag}\b[^>]*>", re.I).search(html, at)
                 at = end.end() if end else size
             parts.append(" ")

@@ -47,3 +47,16 @@ def test_in_spark(spark, chain):
     got = extract_text(df, chain).collect()
     assert len(got) == 5 and {r.row["text"] for r in got} == {"own"} and sum(r.text.startswith("A title here") for r in got) == 2 and {r.text for r in got if r.row["page_id"] in (2, 3)} == {""}
     assert extract_text(df.limit(0), chain).count() == 0
+
+
+@pytest.mark.parametrize("tag", ["svg", "canvas", "object", "select", "template"])
+def test_an_unclosed_element_loses_only_its_tag(tag):
+    texts = lambda html: [b.text for b in leaf_blocks(html)]
+    assert texts(f"<p>one<{tag} a='b'>two</p><p>three</p>") == ["one two", "three"]
+    assert texts(f"<p>one<{tag}>two</p><p>three<{tag}>no</{tag}>four</p>") == ["one two", "three four"]
+    assert texts(f"<p>one<{tag}>no<{tag}>no</{tag}>no<!-- <{tag}> --></{tag}>two</p><{tag}/><p>three") == ["one two", "three"]
+    assert texts(f"<{tag}>" * 20_000 + "end") == ["end"]
+
+
+def test_text_of_math_stays():
+    assert [b.text for b in leaf_blocks("<p>where <math><mi>x</mi><mo>=</mo><mn>1</mn></math> holds</p><p>and <math><mi>y</p><p>too</p>")] == ["where x=1 holds", "and y", "too"]
