@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -11,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -24,9 +25,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one where no cluster names any."""
+    """The folder that driver and executors share; a temporary one on a local master where none is named."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not named:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir names no folder that the executors share")
         spark.sparkContext.setCheckpointDir(named := tempfile.mkdtemp(prefix="ledgerloom-"))
     return named.rstrip("/")
 
@@ -69,6 +72,32 @@ def nested(df: DataFrame) -> DataFrame:
     return df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"))
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """The name, with as many underscores behind it as make it no column of df."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+#: Unequal values that share their first hash; 10^10 values have some 3 such pairs.
+MOST_CLASHES = 100_000
+
+
+def unique_key(df: DataFrame, *parts: Column | str) -> Column:
+    """A 64-bit key for the rows of df that equal parts share and that 128 bits of hash tell apart.
+
+    Values whose first hash clashes (one in billions) get a key from both
+    hashes; only such keys reach the driver, and MOST_CLASHES bounds them.
+    """
+    one, two = F.xxhash64(*parts), F.xxhash64(F.lit(0x9E3779B9), *parts)
+    seen = df.select(one.alias("one"), two.alias("two")).groupBy("one").agg(F.min("two").alias("low"), F.max("two").alias("top"))
+    clashes = [r["one"] for r in seen.where("low < top").select("one").limit(MOST_CLASHES + 1).collect()]
+    if len(clashes) > MOST_CLASHES:
+        raise ValueError("too many hashes clash")
+    return F.when(one.isin(clashes), F.xxhash64(two, one)).otherwise(one) if clashes else one
+
+
 def with_fields(row: T.StructType | T.DataType, *fields: tuple[str, str]) -> T.StructType:
     added = T.StructType.fromDDL(", ".join(f"{n} {t}" for n, t in fields))
     return T.StructType([T.StructField("row", row), *added])

@@ -12,7 +12,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerloom.llm.common import materialize
@@ -43,17 +43,17 @@ def components(edges: DataFrame) -> DataFrame:
     while not _stars(e):
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select("u", "v", "m")
-        e = materialize(small.select("u", F.col("m").alias("v")).unionByName(small.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))).distinct(), "edges", files)
+        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        small = large.withColumn("m", F.min("v").over(Window.partitionBy("u")))
+        to_least = F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))
+        e = materialize(small.select(F.explode(to_least).alias("x")).select("x.u", "x.v").where("u <> v").distinct(), "edges", files)
     return e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
 
 
 def _stars(e: DataFrame) -> bool:
     """Whether every node has one smaller neighbour at most, and that one has none."""
     ends = e.select("u", F.lit(1).alias("n"), F.lit(0).alias("m")).unionByName(e.select(F.col("v").alias("u"), F.lit(0).alias("n"), F.lit(1).alias("m")))
-    return ends.groupBy("u").agg(F.sum("n").alias("n"), F.max("m").alias("m")).where("n > 1 or (n > 0 and m > 0)").isEmpty()
+    return ends.groupBy("u").agg(F.sum("n").alias("n"), F.max("m").alias("m")).where("n > 1 or (n > 0 and m > 0)").count() == 0
 
 
 def bridged(first: DataFrame, more: DataFrame) -> DataFrame:

@@ -11,7 +11,7 @@ every candidate pair is verified with the exact probability Jaccard.
 
 Defined results: texts without words (null too) are classes of their own; equal
 texts are one class; a class is named by its smallest doc_id (a missing one
-counts as largest).  Texts are told apart by a 64-bit hash.
+counts as largest).  Texts are told apart by 128 bits of hash.
 """
 
 from __future__ import annotations
@@ -21,10 +21,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.common import Rolling, materialize, nested, ranges, remix, slices, split_words, table, word_hashes
+from ledgerloom.llm.common import Rolling, materialize, nested, remix, slices, split_words, table, unique_key, word_hashes
 from ledgerloom.llm.linking import bridged, components, shared_buckets
 
 SHINGLE, SIMILARITY = 5, 0.8
@@ -158,80 +158,70 @@ def _similar(threshold: float):
     return scan
 
 
-def _across(threshold: float):
-    """Links between queries (side 0) and members (side 1) of other classes.
+def _shares(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(node, h, share): each distinct shingle of a text, with its share of the text's weight."""
+    rolling = Rolling(SHINGLE, 0xC2B2AE3D27D4EB4F)
+    for batch, texts in slices(batches, "text"):
+        node = np.asarray(batch.column("node"))
+        doc, h, w = shingle_weights(texts, rolling)
+        share = w / np.bincount(doc, w, len(texts))[doc] if len(h) else w
+        for lo in range(0, len(h), ROWS_A_BATCH):
+            at = slice(lo, lo + ROWS_A_BATCH)
+            yield pa.RecordBatch.from_arrays([pa.array(node[doc[at]]), pa.array(h[at].view(np.int64)), pa.array(share[at])], names=["node", "h", "share"])
 
-    Members stand in one long list of shingles; a query marks its own, and sums
-    over the list bound its similarity with every member from above: each term
-    of the probability Jaccard is at most the shingle's share in either set.
-    """
 
-    def compare(group: pa.Table) -> pa.Table:
-        node, cls, side = (np.asarray(group.column(c)) for c in ("node", "class", "side"))
-        rolling = Rolling(SHINGLE, 0xC2B2AE3D27D4EB4F)
-        doc, h, w = shingle_weights(group.column("text").combine_chunks().cast(pa.binary()).to_pylist(), rolling)
-        starts = np.searchsorted(doc, np.arange(len(node) + 1))
-        total = np.add.reduceat(np.concatenate([w, [0.0]]), starts[:-1]) * (np.diff(starts) > 0)
-        _, number = np.unique(h, return_inverse=True)
-        members = np.flatnonzero((side == 1) & (np.diff(starts) > 0))
-        at = ranges(starts[members], np.diff(starts)[members])
-        ids, weights = number[at], w[at]
-        begin = np.cumsum(np.diff(starts)[members]) - np.diff(starts)[members]
-        mine = np.zeros(number.max() + 1 if len(number) else 1)
-        out: list[tuple[int, int]] = []
-        for q in np.flatnonzero((side == 0) & (np.diff(starts) > 0)).tolist() if len(members) else []:
-            own = slice(starts[q], starts[q + 1])
-            mine[number[own]] = w[own]
-            seen = mine[ids]
-            bound = np.minimum(np.add.reduceat(seen, begin) / total[q], np.add.reduceat(weights * (seen > 0), begin) / total[members])
-            mine[number[own]] = 0
-            for k in np.flatnonzero((bound >= threshold - 2 * ROUNDING) & (cls[members] != cls[q])).tolist():
-                m = members[k]
-                other = slice(starts[m], starts[m + 1])
-                if is_similar(h[own], w[own], h[other], w[other], threshold):
-                    out.append((int(node[q]), int(node[m])))
-        return pa.table({"a": pa.array([min(x) for x in out], pa.int64()), "b": pa.array([max(x) for x in out], pa.int64())})
-
-    return compare
-
-
-#: Text bytes of queries and of members that meet in one task.
-QUERY_BYTES, MEMBER_BYTES = 512 << 10, 4 << 20
+ROWS_A_BATCH = 1 << 16
+
+
+def across_classes(nodes: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
+    """Pairs (a, b) of nodes of different classes that can be similar, and all that are; nodes has node and class, texts node and text.
+
+    A prefix-filtered join.  What two similar texts share has at least the
+    threshold of the weight of either, as each term of the probability Jaccard
+    is at most the shingle's share in either.  So with the shingles of every
+    text in order of rarity, the first one that they share stands, in both,
+    where that much weight is still to come: among the rarest ones, whose
+    shares add up to 1 - threshold before it.  Shingles that many texts have
+    come last and bring few candidates; those of one class bring none, and of
+    the others the largest class of a shingle is not compared with itself.
+    """
+    shares = materialize(nodes.select("node").join(texts, "node").mapInArrow(_shares, "node long, h long, share double"), "shingles")
+    df = shares.groupBy("h").agg(F.count("*").alias("df"))
+    order = Window.partitionBy("node").orderBy("df", "h").rowsBetween(Window.unboundedPreceding, -1)
+    before = F.coalesce(F.sum("share").over(order), F.lit(0.0))
+    prefix = shares.join(df, "h").withColumn("before", before).where(F.col("before") <= 1 - threshold + ROUNDING)
+    prefix = materialize(prefix.select("node", "h").join(nodes, "node").select("h", "node", "class"), "prefixes")
+    by_class = prefix.groupBy("h", "class").agg(F.count("*").alias("n")).groupBy("h").agg(F.count("*").alias("classes"), F.max(F.struct("n", "class"))["class"].alias("largest"))
+    several = prefix.join(by_class.where("classes > 1").select("h", "largest"), "h")
+    x, y = several.where("class <> largest").alias("x"), several.alias("y")
+    once = (F.col("y.class") == F.col("y.largest")) | (F.col("x.node") < F.col("y.node"))
+    across = x.join(y, (F.col("x.h") == F.col("y.h")) & (F.col("x.class") != F.col("y.class")) & once)
+    return across.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
 
 
 def near_classes(texts: DataFrame, threshold: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """(node, component) of the texts that are near others; texts has node (the hash of the text) and text.
+    """(node, component) of the texts that are near others; texts has node (a key of the text) and text.
 
-    Stars first: each node is compared with the pivots of its buckets.  Buckets
-    that still hold several classes join these into clusters, and within a
-    cluster all nodes outside its largest class are compared with all nodes of
-    other classes, in blocks.
+    Stars first: each node is compared with the pivots of its buckets.  The
+    nodes of buckets that still hold several classes are then compared across
+    classes, with candidates from a prefix-filtered join.
     """
     found = materialize(texts.mapInArrow(_bands(bands, rows), "key long, node long").withColumn("main", F.lit(True)), "bands")
     shared = shared_buckets(found)
     needed = shared.select("node").distinct()
     once = materialize(texts.hint("merge").join(needed, "node", "left_semi").dropDuplicates(["node"]), "texts")
-    stars = materialize(shared.where("node <> pivot").select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct(), "pairs")
-    ta, tb = once.select(F.col("node").alias("a"), F.col("text").alias("ta")), once.select(F.col("node").alias("b"), F.col("text").alias("tb"))
-    both = stars.hint("merge").join(tb, "b").hint("merge").join(ta, "a").select("a", "b", "ta", "tb")
-    linked = materialize(both.mapInArrow(_similar(threshold), "a long, b long"), "links")
-    first = components(linked)
 
+    def verified(pairs: DataFrame) -> DataFrame:
+        ta, tb = once.select(F.col("node").alias("a"), F.col("text").alias("ta")), once.select(F.col("node").alias("b"), F.col("text").alias("tb"))
+        both = pairs.hint("merge").join(tb, "b").hint("merge").join(ta, "a").select("a", "b", "ta", "tb")
+        return materialize(both.mapInArrow(_similar(threshold), "a long, b long"), "links")
+
+    stars = shared.where("node <> pivot").select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct()
+    first = components(verified(stars))
     classed = shared.join(first, "node", "left").select("key", "node", F.coalesce("component", "node").alias("class"))
-    mixed = classed.groupBy("key").agg(F.min("class").alias("low"), F.max("class").alias("top")).where("low < top").select("key", "low")
-    open_ = materialize(classed.join(mixed, "key"), "open")
-    clusters = components(open_.select(F.col("class").alias("a"), F.col("low").alias("b")))
-    nodes = open_.select("node", "class").distinct().join(clusters.select(F.col("node").alias("class"), F.col("component").alias("cluster")), "class")
-    nodes = materialize(nodes.join(once, "node").withColumn("n", F.octet_length("text") + 64), "clusters")
-    sizes = nodes.groupBy("cluster", "class").agg(F.sum("n").alias("n"))
-    plan = sizes.groupBy("cluster").agg(F.max(F.struct("n", "class")).alias("largest"), F.sum("n").alias("n"))
-    plan = plan.select("cluster", F.col("largest.class").alias("largest"), F.ceil(F.col("n") / MEMBER_BYTES).cast("int").alias("ms"), F.ceil((F.col("n") - F.col("largest.n")) / QUERY_BYTES).cast("int").alias("qs"))
-    placed = nodes.join(plan, "cluster")
-    h = F.xxhash64("node", F.lit(3))
-    query = placed.where("class <> largest").select("cluster", "node", "class", "text", F.lit(0).alias("side"), F.pmod(h, F.col("qs")).cast("int").alias("q"), F.explode(F.sequence(F.lit(0), F.col("ms") - 1)).alias("m"))
-    member = placed.select("cluster", "node", "class", "text", F.lit(1).alias("side"), F.explode(F.sequence(F.lit(0), F.col("qs") - 1)).alias("q"), F.pmod(h, F.col("ms")).cast("int").alias("m"))
-    more = materialize(query.unionByName(member).groupBy("cluster", "q", "m").applyInArrow(_across(threshold), "a long, b long"), "links")
-    return components(bridged(first, more))
+    mixed = classed.groupBy("key").agg(F.min("class").alias("low"), F.max("class").alias("top")).where("low < top").select("key")
+    open_ = materialize(classed.join(mixed, "key", "left_semi").select("node", "class").distinct(), "open")
+    return components(bridged(first, verified(across_classes(open_, once, threshold))))
 
 
 def has_words() -> Column:
@@ -239,30 +229,30 @@ def has_words() -> Column:
 
 
 def near_duplicates(docs: DataFrame, threshold: float = SIMILARITY) -> DataFrame:
-    """Per document: `row` (its columns), node, class_id (smallest doc_id of its class), kept (it stands for the class).
+    """Per document: `row` (its columns), node, class_id (smallest doc_id of its class), kept (it stands for the class), ties.
 
-    Of equal rows that would all stand for a class, each says kept; keep_one leaves one.
+    Of the `ties` equal rows that would all stand for a class, each says kept; keep_one leaves one.
     """
     worded = has_words()
     rows = nested(docs).withColumn("doc", F.coalesce(F.col("row.doc_id").cast("long"), F.lit(NO_ID)))
-    rows = rows.withColumn("node", F.when(worded, F.xxhash64("row.text")).otherwise(F.xxhash64(F.lit("no words"), "row.doc_id")))
+    key = unique_key(rows.where(worded), F.col("row.text"))
+    rows = rows.withColumn("node", F.when(worded, key).otherwise(F.xxhash64(F.lit("no words"), "row.doc_id")))
     texts = rows.where(worded).select("node", F.col("row.text").alias("text"))
     classes = near_classes(texts, threshold)
-    least = materialize(rows.groupBy("node").agg(F.min("doc").alias("doc")), "nodes")
-    named = least.join(classes, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    heads = named.groupBy("component").agg(F.min(F.struct("doc", "node")).alias("head"))
+    least = rows.groupBy("node", "doc").agg(F.count("*").alias("ties")).groupBy("node").agg(F.min(F.struct("doc", "ties")).alias("least")).select("node", "least.*")
+    named = materialize(least.join(classes, "node", "left").withColumn("component", F.coalesce("component", "node")), "nodes")
+    heads = named.groupBy("component").agg(F.min(F.struct("doc", "node", "ties")).alias("head"))
     of_node = materialize(named.join(heads, "component").select(F.col("node").alias("node_"), "head"), "classes")
     out = rows.join(of_node, F.col("node") == F.col("node_"))
     kept = (F.col("node") == F.col("head.node")) & (F.col("doc") == F.col("head.doc"))
-    return out.select("row", "node", F.when(F.col("head.doc") != NO_ID, F.col("head.doc")).alias("class_id"), kept.alias("kept"))
+    return out.select("row", "node", F.when(F.col("head.doc") != NO_ID, F.col("head.doc")).alias("class_id"), kept.alias("kept"), F.col("head.ties").alias("ties"))
 
 
 def keep_one(found: DataFrame) -> DataFrame:
     """The `row` of one document of each class; only rows that occur again are brought together, and rows without words all stay."""
-    again = materialize(found.where("kept").where(has_words()).groupBy("node").count().where("count > 1").select("node"), "repeated")
     kept = found.where("kept")
-    single = kept.join(again, "node", "left_anti").select("row")
-    return single.unionByName(kept.join(again, "node", "left_semi").dropDuplicates(["node"]).select("row"))
+    again = has_words() & (F.col("ties") > 1)
+    return kept.where(~again).select("row").unionByName(kept.where(again).dropDuplicates(["node"]).select("row"))
 
 
 def op3_near_dedup(spark, sf_dir: str) -> DataFrame:

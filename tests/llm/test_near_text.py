@@ -3,13 +3,13 @@ import math
 import random
 
 import numpy as np
-import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.common import Rolling
+from ledgerloom.llm import common
+from ledgerloom.llm.common import Rolling, unique_key
 from ledgerloom.llm.linking import components
-from ledgerloom.llm.near_text import _across, is_similar, keep_one, near_duplicates, probability_jaccard, shingle_weights, signatures
+from ledgerloom.llm.near_text import across_classes, is_similar, keep_one, near_duplicates, probability_jaccard, shingle_weights, signatures
 from tests.llm.conftest import odd_rows
 
 
@@ -132,8 +132,6 @@ def test_a_similarity_of_exactly_the_threshold_is_a_link(docs):
 
     a = [f"a{k}" for k in range(19)]  # 15 shingles, of which the other has the first 12
     rows = [(1, " ".join(a)), (2, " ".join(a[:16]))]
-    group = pa.table({"node": [1, 2], "class": [1, 2], "side": [0, 1], "text": [t for _, t in rows]})
-    assert _across(0.8)(group).to_pylist() == [{"a": 1, "b": 2}]
     found = near_duplicates(docs(rows))
     assert {r.class_id for r in found.collect()} == {1} and keep_one(found).count() == 1
 
@@ -142,3 +140,28 @@ def test_rows_without_words_all_stay(docs):
     rows = [(None, None), (None, None), (None, ""), (7, " \n"), (7, " \n"), (7, None), (8, "one"), (8, "one")]
     kept = keep_one(near_duplicates(docs(rows))).select("row.doc_id", "row.text").collect()
     assert sorted((str(r.doc_id), str(r.text)) for r in kept) == sorted((str(d), str(t)) for d, t in rows[:7])
+
+
+def test_prefixes_find_every_pair_across_classes(spark, words):
+    rng = random.Random(13)
+    passage = words(45, 10**6)  # all texts share it; it must bring no candidates by itself
+    texts = [t for size, change in ((60, 0.015), (25, 0.01), (9, 0.05)) for t in family(words, rng, 12, size, change)]
+    texts += [" ".join([*passage, *words(40, 10**6)]) for _ in range(12)]
+    texts += [texts[0].replace(" ", " "), " ".join([texts[1]] * 2), texts[12] + " " + " ".join(texts[12].split()[:8])]
+    nodes = list(dict.fromkeys(texts))
+    classes = [rng.randrange(20) for _ in nodes]
+    sets = [weights(t) for t in nodes]
+    want = {(i, j) for i in range(len(nodes)) for j in range(i + 1, len(nodes)) if classes[i] != classes[j] and similarity(sets[i], sets[j]) >= 0.8}
+    of_class = spark.createDataFrame([(k, 1000 + c) for k, c in enumerate(classes)], "node long, class long")
+    got = {(r.a, r.b) for r in across_classes(of_class, spark.createDataFrame(list(enumerate(nodes)), "node long, text string"), 0.8).collect()}
+    assert want and want <= got and all(classes[i] != classes[j] for i, j in got)
+    shared = [k for k, t in enumerate(nodes) if t.startswith(" ".join(passage))]
+    assert not got & {(i, j) for i in shared for j in shared}
+
+
+def test_texts_whose_hashes_clash_stay_apart(docs, spark, monkeypatch):
+    rows = spark.createDataFrame([("a",), ("b",), ("a",), (None,)], "t string")
+    real = F.xxhash64
+    monkeypatch.setattr(common.F, "xxhash64", lambda *parts: F.lit(7).cast("long") if len(parts) == 1 else real(*parts))
+    keys = [r.k for r in rows.select("t", unique_key(rows, F.col("t")).alias("k")).orderBy("t").collect()]
+    assert keys[1] == keys[2] and len(set(keys)) == 3
