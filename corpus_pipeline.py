@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.common import scratch, table
+from ledgerloom.llm.common import free_name, scratch, table
 from ledgerloom.llm.decontaminate import decontaminate
 from ledgerloom.llm.mixing import mix
 from ledgerloom.llm.near_text import keep_one, near_duplicates
@@ -41,8 +41,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents in random order in shards of equal row counts; adds the struct `place` (shard, slot)."""
-    return shuffle_to_shards(docs, scratch(spark, "shards")).select("row.*", F.struct("shard", "slot").alias("place"))
+    """All documents in random order in shards of equal row counts; adds the struct `place` (shard, slot), or `place_` and so on where that name is taken."""
+    return shuffle_to_shards(docs, scratch(spark, "shards")).select("row.*", F.struct("shard", "slot").alias(free_name(docs, "place")))
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
