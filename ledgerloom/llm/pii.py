@@ -9,9 +9,14 @@ of their kind; those that collide are drawn again, so different entities stay
 different.  The same entity has the same surrogate in every document, however
 its mentions are written.
 
-Only documents with mentions are shuffled.  Defined results: a null text stays
-null; equal mentions get equal surrogates; a text without mentions is returned
-unchanged.
+Whoever has the key can compute the surrogates again: name a secret one in
+the setting `spark.ledgerloom.pii.key` (KEY is for tests and trials).
+
+Texts are searched once; only documents with mentions are shuffled.  Defined
+results: a null text stays null; equal mentions get equal surrogates; a text
+without mentions is returned unchanged.  After WIDEN draws the surrogates of
+kinds of any length grow, so they cannot run out; where all surrogates of a
+kind of fixed length are taken, MOST_DRAWS rounds end in an error.
 """
 
 from __future__ import annotations
@@ -21,14 +26,16 @@ from pyspark.sql import functions as F
 
 from ledgerloom.llm.common import materialize, nested, table
 
-KEY = "replace this key"
+KEY, KEY_SETTING = "replace this key", "spark.ledgerloom.pii.key"
+#: Draws after which surrogates grow where their kind allows it, and draws after which a kind counts as exhausted.
+WIDEN, MOST_DRAWS = 4, 100
 
 MALE = "Mr Herr Monsieur M Sr Señor".split()
 FEMALE = "Mrs Ms Miss Frau Mme Mlle Madame Sra Señora".split()
 NEUTRAL = "Dr Prof".split()
 _LONG = [t for t in (*MALE, *FEMALE, *NEUTRAL) if len(t) > 1]
 _TITLE = "(?:" + "|".join(sorted({*_LONG, *(t.upper() for t in _LONG)}, key=lambda t: (-len(t), t))) + r"|M(?=\.))\.?"
-_WORD = r"\p{Lu}[\p{L}'’\-]{1,40}"
+_WORD = r"\p{Lu}[\p{L}'’\-]++"
 _LOCAL = r"\p{L}\p{N}._%+\-"
 #: A secret in hex digits; it is the same in either case.
 HEX = "^[0-9A-Fa-f]{32,}$"
@@ -36,7 +43,7 @@ HEX = "^[0-9A-Fa-f]{32,}$"
 PATTERNS = {
     "name": rf"(?<!\p{{L}}){_TITLE} {_WORD}(?: {_WORD})?",
     "email": rf"(?<![{_LOCAL}])[{_LOCAL}]++@[A-Za-z0-9\-]++(?:\.[A-Za-z0-9\-]++)++",
-    "secret": r"(?<![\p{L}\p{N}])(?:AKIA[A-Z0-9]{16}|[0-9A-Fa-f]{32,}+)(?![\p{L}\p{N}])|(?<=[=: \"'])(?<=(?i:token|secret|password|passwd|api_key|apikey|api-key) ?[=:] ?[\"']?)[A-Za-z0-9+/_\-]{8,}+",
+    "secret": r"(?<![\p{L}\p{N}])(?:AKIA[A-Z0-9]{16}|[0-9A-Fa-f]{32,}+)(?![\p{L}\p{N}])|(?<=[=: \"'])(?=[A-Za-z0-9+/_\-]{8})(?<=(?i:token|secret|password|passwd|api_key|apikey|api-key) ?[=:] ?[\"']?)[A-Za-z0-9+/_\-]{8,}+",
     "ipv6": r"(?<![0-9A-Fa-f:])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![0-9A-Fa-f:])",
     "mac": r"(?<![0-9A-Fa-f:])(?:[0-9A-Fa-f]{2}:){5}[0-9A-Fa-f]{2}(?![0-9A-Fa-f:])",
     "iban": r"(?<![\p{L}\p{N}])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![\p{L}\p{N}])",
@@ -45,7 +52,9 @@ PATTERNS = {
     "card": r"(?<![\p{L}\p{N}])(?:[0-9]{13,19}|[0-9]{4}-[0-9]{4}-[0-9]{4}-[0-9]{1,7}|[0-9]{4} [0-9]{4} [0-9]{4} [0-9]{1,7}|3[0-9]{3}[ \-][0-9]{6}[ \-][0-9]{5})(?![\p{L}\p{N}])",
     "phone": r"\+[0-9]{1,3}[ .\-]?(?:\([0-9]{1,4}\)[ .\-]?)?[0-9]{2,4}(?:[ .\-]?[0-9]{2,4}){1,4}(?![0-9])|(?<![0-9])\([0-9]{3}\) ?[0-9]{3}[\- ][0-9]{4}(?![0-9])|(?<![0-9\-.])[0-9]{3}[\-. ][0-9]{3}[\-. ][0-9]{4}(?![0-9\-])",
 }
-ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
+#: Where a mention can begin: at a digit, + or (, not after a letter, or before a colon; a cheap test that most places fail.
+BEGIN = r"(?=[0-9+(]|(?<!\p{L})|[0-9A-Fa-f]{1,4}:)"
+ANY = f"{BEGIN}(?:" + "|".join(f"(?:{p})" for p in PATTERNS.values()) + ")"
 #: What a text needs to have a mention at all; cheaper than ANY.
 TRIGGER = rf"[0-9@]|[0-9A-Fa-f]{{32}}|AKIA|[=:] ?[\"']?[A-Za-z0-9+/_\-]{{8}}|{_TITLE} \p{{Lu}}"
 
@@ -54,10 +63,12 @@ SYLLABLES = {
     "latin": "ba be bo da de do fa fe ga go ka ke ko la le lo ma me mo na ne no pa po ra re ro sa se ta te vo".split(),
     "cyrillic": "ба бе бо да де до фа фе га го ка ке ко ла ле ло ма ме мо на не но па по ра ре ро са се та те во".split(),
     "greek": "βα βε βο δα δε δο φα φε γα γο κα κε κο λα λε λο μα με μο να νε νο πα πο ρα ρε ρο σα σε τα τε χο".split(),
+    "armenian": "բա բե բո գա գե գո դա դե դո զա զե կա կե կո լա լե լո մա մե մո նա նե նո պա պո ռա ռե ռո սա սե տա տո".split(),
 }
 ENDINGS = {
     ("latin", "m"): "n ldo rt nus".split(), ("latin", "f"): "lia na ra ssa".split(), ("latin", "n"): "n l r s".split(),
     ("cyrillic", "m"): "н лд рт с".split(), ("cyrillic", "f"): "лия на ра са".split(), ("cyrillic", "n"): "н л р с".split(),
+    ("armenian", "m"): "ն կ մ ր".split(), ("armenian", "f"): "նա րա սա լա".split(), ("armenian", "n"): "ն լ ր ս".split(),
     ("greek", "m"): "ς νος ρος λος".split(), ("greek", "f"): "λια να ρα σα".split(), ("greek", "n"): "ν λι ρι ς".split(),
 }
 
@@ -80,6 +91,15 @@ def _pick(options: str, n: Column) -> Column:
     return F.substr(F.lit(options), F.pmod(n, F.lit(len(options))) + 1, F.lit(1))
 
 
+def _drawn(options: str, stream: Column, n: Column) -> Column:
+    """n characters of options."""
+    return F.when(n > 0, F.array_join(F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda k: _pick(options, _byte(stream, 127 - k))), "")).otherwise("")
+
+
+#: Parts of a name: runs of letters, and the marks between them.
+NAME_PARTS = r"['’\-]+|[^'’\-]+"
+
+
 def _swapped(norm: Column, stream: Column, keep: Column, letters_hex: bool = False) -> Column:
     """Every character of norm from number `keep` on replaced by one of its class."""
 
@@ -115,27 +135,45 @@ def surrogate(key: str, kind: Column, norm: Column, attempt: Column) -> Column:
     n = F.char_length(norm)
     card = F.substr(_swapped(norm, s, F.lit(1)), F.lit(1), n - 1)
     ipv4 = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(3)), lambda i: (F.lit(1) + F.pmod(_byte(s, i), F.lit(254))).cast("string")), ".")
+    wider = F.greatest(attempt - WIDEN, F.lit(0))
+    more_letters = _drawn("abcdefghijklmnopqrstuvwxyz", s, wider)
+    more_digits = _drawn("0123456789", s, wider)
     tail = F.char_length(F.regexp_extract(norm, r"(\.[^.]*)$", 1))
-    email = F.concat(_swapped(F.substr(norm, F.lit(1), n - tail), s, F.lit(0)), F.substr(norm, n - tail + 1, tail))
-    script = F.when(norm.rlike(r"\p{IsCyrillic}"), "cyrillic").when(norm.rlike(r"\p{IsGreek}"), "greek").otherwise("latin")
+    email = F.concat(more_letters, _swapped(F.substr(norm, F.lit(1), n - tail), s, F.lit(0)), F.substr(norm, n - tail + 1, tail))
+    hexes = F.concat(_swapped(norm, s, F.lit(0), letters_hex=True), more_digits)
 
-    def name(of: str, ending: str | None) -> Column:
+    def piece(of: str | None, part: Column, i: Column, ending: str | None, last: Column) -> Column:
+        """A made-up word for one part of a name."""
+        start = i * 11
         length = (2 if ending else 3) + F.least(attempt, F.lit(20))
-        syllables = F.array_join(F.transform(F.sequence(F.lit(0), length - 1), lambda i: F.get(_array(SYLLABLES[of]), F.pmod(_byte(s, i), F.lit(32)))), "")
-        return F.concat(syllables, F.get(_array(ENDINGS[of, ending]), F.pmod(_byte(s, F.lit(60)), F.lit(4)))) if ending else syllables
+        if of is None:  # a script without syllables here: the part's own letters, drawn anew
+            return F.array_join(F.transform(F.sequence(F.lit(1), F.greatest(F.char_length(part), F.lit(3)) + attempt), lambda k: F.substr(part, F.pmod(_byte(s, start + k), F.char_length(part)) + 1, F.lit(1))), "")
+        syllables = F.array_join(F.transform(F.sequence(F.lit(0), length - 1), lambda k: F.get(_array(SYLLABLES[of]), F.pmod(_byte(s, start + k), F.lit(32)))), "")
+        return F.concat(syllables, F.when(last, F.get(_array(ENDINGS[of, ending]), F.pmod(_byte(s, F.lit(60)), F.lit(4)))).otherwise("")) if ending else syllables
 
     def by_script(ending: str | None) -> Column:
-        return F.when(script == "cyrillic", name("cyrillic", ending)).when(script == "greek", name("greek", ending)).otherwise(name("latin", ending))
+        parts = F.regexp_extract_all(norm, F.lit(NAME_PARTS), F.lit(0))
+        n_parts = F.size(parts)
+        longer = F.exists(parts, lambda y: y.rlike(r"^\p{L}{2}"))
+
+        def one(x: Column, i: Column) -> Column:
+            last = i == n_parts - 1
+            made = F.when(x.rlike(r"^['’\-]+$") | (x.rlike(r"^\p{L}$") & longer), x)  # marks, and particles of one letter
+            for script, name in (("IsCyrillic", "cyrillic"), ("IsGreek", "greek"), ("IsArmenian", "armenian"), ("IsLatin", "latin")):
+                made = made.when(x.rlike(rf"^\p{{{script}}}"), piece(name, x, i, ending, last))
+            return made.otherwise(piece(None, x, i, ending, last))
+
+        return F.array_join(F.transform(parts, one), "")
 
     return (
         F.when(kind == "email", email)
         .when(kind == "ipv4", ipv4)
         .when(kind == "card", F.concat(card, F.pmod(luhn(norm) - luhn(F.concat(card, F.lit("0"))), F.lit(10)).cast("string")))
-        .when(kind == "phone", F.when(norm.startswith("+"), _digits(norm, s, F.when(norm.rlike(r"^\+[17]"), 2).otherwise(3))).otherwise(_digits(norm, s, F.lit(0))))
+        .when(kind == "phone", F.concat(F.when(norm.startswith("+"), _digits(norm, s, F.when(norm.rlike(r"^\+[17]"), 2).otherwise(3))).otherwise(_digits(norm, s, F.lit(0))), more_digits))
         .when(kind == "ssn", _digits(norm, s, F.lit(0)))
         .when(kind.isin("ipv6", "mac"), _swapped(norm, s, F.lit(0), letters_hex=True))
-        .when((kind == "secret") & norm.rlike("^[0-9a-f]+$"), _swapped(norm, s, F.lit(0), letters_hex=True))
-        .when(kind == "secret", _swapped(norm, s, F.when(norm.startswith("AKIA"), 4).otherwise(0)))
+        .when((kind == "secret") & norm.rlike("^[0-9a-f]+$"), hexes)
+        .when(kind == "secret", F.concat(_swapped(norm, s, F.when(norm.startswith("AKIA"), 4).otherwise(0)), more_letters))
         .when(kind == "iban", _swapped(norm, s, F.lit(2)))
         .when(kind == "given-m", by_script("m"))
         .when(kind == "given-f", by_script("f"))
@@ -147,10 +185,14 @@ def surrogate(key: str, kind: Column, norm: Column, attempt: Column) -> Column:
 def rendered(kind: Column, raw: Column, core: Column) -> Column:
     """A surrogate in the format of a mention: its separators and its case."""
     digits = F.regexp_replace(core, "[^0-9]", "")
+    n_digits = F.char_length(F.regexp_replace(raw, "[^0-9]", ""))
     placed = F.array_join(F.transform(F.split(raw, ""), lambda c, i: F.when(c.rlike("[0-9]"), F.substr(digits, F.char_length(F.regexp_replace(F.substr(raw, F.lit(1), i + 1), "[^0-9]", "")), F.lit(1))).otherwise(c)), "")
+    placed = F.concat(placed, F.substr(digits, n_digits + 1, F.char_length(digits)))
     cased = F.array_join(F.transform(F.split(core, ""), lambda c, i: F.when(F.substr(raw, i + 1, F.lit(1)).rlike(r"\p{Lu}"), F.upper(c)).otherwise(c)), "")
     spaced = F.array_join(F.transform(F.split(raw, ""), lambda c, i: F.when(c == " ", c).otherwise(F.substr(core, F.char_length(F.regexp_replace(F.substr(raw, F.lit(1), i + 1), " ", "")), F.lit(1)))), "")
-    person = F.when((F.upper(raw) == raw) & (F.char_length(raw) > 1), F.upper(core)).otherwise(F.initcap(core))
+    of_raw = F.regexp_extract_all(raw, F.lit(NAME_PARTS), F.lit(0))
+    capital = lambda x, i: F.when(F.coalesce(F.get(of_raw, i), F.lit("A")).rlike(r"^\p{Lu}"), F.concat(F.upper(F.substring(x, 1, 1)), F.substr(x, F.lit(2), F.char_length(x)))).otherwise(x)
+    person = F.when((F.upper(raw) == raw) & (F.char_length(raw) > 1), F.upper(core)).otherwise(F.array_join(F.transform(F.regexp_extract_all(core, F.lit(NAME_PARTS), F.lit(0)), capital), ""))
     hexes = F.when(raw.rlike("[A-F]") & ~raw.rlike("[a-f]"), F.upper(core)).otherwise(cased)
     return F.when((kind == "secret") & raw.rlike(HEX), hexes).when(kind.isin("phone", "card", "ssn"), placed).when(kind.isin("email", "ipv6", "mac"), cased).when(kind == "iban", spaced).when(kind.isin("ipv4", "secret"), core).otherwise(person)
 
@@ -189,7 +231,7 @@ def resolve(entities: DataFrame, key: str = KEY) -> DataFrame:
     originals = materialize(entities.distinct(), "entities")
     pending = originals.withColumn("attempt", F.lit(0))
     done: DataFrame | None = None
-    while True:
+    for _ in range(MOST_DRAWS):
         drawn = pending.withColumn("core", surrogate(key, F.col("kind"), F.col("norm"), F.col("attempt")))
         first = drawn.groupBy("kind", "core").agg(F.min("norm").alias("first"))
         free = first.join(originals.select("kind", F.col("norm").alias("core")), ["kind", "core"], "left_anti")
@@ -201,24 +243,28 @@ def resolve(entities: DataFrame, key: str = KEY) -> DataFrame:
         pending = tried.where("not fits").select("kind", "norm", (F.col("attempt") + 1).alias("attempt"))
         if pending.isEmpty():
             return done
+    raise ValueError("the surrogates of a kind are exhausted")
 
 
-def replace_entities(docs: DataFrame, key: str = KEY) -> DataFrame:
+def replace_entities(docs: DataFrame, key: str | None = None) -> DataFrame:
     """Per document: `row` (its columns), text (with surrogates), n_entities, kinds (of its mentions, sorted)."""
+    key = key or docs.sparkSession.conf.get(KEY_SETTING, KEY)
     rows = nested(docs)
     text = F.col("row.text")
-    found = rows.withColumn("mentions", F.when(text.rlike(TRIGGER), F.regexp_extract_all(text, F.lit(ANY), F.lit(0))))
-    none = (F.size(F.coalesce("mentions", F.array().cast("array<string>"))) == 0)
-    hit = materialize(found.where(~none).withColumn("gaps", F.split(text, ANY, -1)).withColumn("rid", F.monotonically_increasing_id()), "mentions")
-    mentions = hit.select("rid", F.posexplode("mentions").alias("i", "m")).withColumn("kind", _kind(F.col("m")))
-    parts = mentions.select("rid", "i", F.col("kind").alias("of"), F.explode(_parts(F.col("kind"), F.col("m"))).alias("x")).select("rid", "i", "of", "x.*")
+    mentions = F.when(text.rlike(TRIGGER), F.regexp_extract_all(text, F.lit(ANY), F.lit(0)))
+    found = rows.withColumn("mentions", mentions).withColumn("rid", F.monotonically_increasing_id())
+    found = materialize(found, "mentions")  # so that texts are searched once; a second search would cost more than this table
+    some = F.coalesce(F.size("mentions"), F.lit(0)) > 0
+    hit = found.where(some)
+    kinds = hit.select("rid", F.posexplode("mentions").alias("i", "m")).withColumn("kind", _kind(F.col("m")))
+    parts = kinds.select("rid", "i", F.col("kind").alias("of"), F.explode(_parts(F.col("kind"), F.col("m"))).alias("x")).select("rid", "i", "of", "x.*")
     surrogates = resolve(parts.where("kind is not null").select("kind", "norm"), key)
     pieces = parts.join(surrogates, ["kind", "norm"], "left").withColumn("piece", F.when(F.col("kind").isNull(), F.col("raw")).otherwise(rendered(F.col("kind"), F.col("raw"), F.col("core"))))
     per_mention = pieces.groupBy("rid", "i").agg(F.array_sort(F.collect_list(F.struct("p", "piece"))).alias("x"), F.first("of").alias("of"))
     per_doc = per_mention.groupBy("rid").agg(F.array_sort(F.collect_list(F.struct("i", F.array_join("x.piece", "").alias("piece")))).alias("y"), F.array_sort(F.collect_set("of")).alias("kinds"))
-    joined = F.array_join(F.transform("gaps", lambda g, i: F.concat(g, F.coalesce(F.get(F.col("y"), i)["piece"], F.lit("")))), "")
+    joined = F.array_join(F.transform(F.split(text, ANY, -1), lambda g, i: F.concat(g, F.coalesce(F.get(F.col("y"), i)["piece"], F.lit("")))), "")
     changed = hit.join(per_doc, "rid").select("row", joined.alias("text"), F.size("mentions").cast("long").alias("n_entities"), "kinds")
-    same = found.where(none).select("row", text.alias("text"), F.lit(0).cast("long").alias("n_entities"), F.expr("cast(array() as array<string>)").alias("kinds"))
+    same = found.where(~some).select("row", text.alias("text"), F.lit(0).cast("long").alias("n_entities"), F.expr("cast(array() as array<string>)").alias("kinds"))
     return same.unionByName(changed)
 
 

@@ -1,5 +1,7 @@
+import random
 import re
 
+import pytest
 from pyspark.sql import functions as F
 
 from ledgerloom.llm import pii
@@ -83,3 +85,83 @@ def test_secrets_in_any_case_and_of_any_length(docs):
     assert re.fullmatch("[0-9a-f]{200}", a) and re.fullmatch("[0-9A-F]{200}", b) and a != "0f" * 100 and b != "F0" * 100
     assert re.fullmatch(r"[a-z]{200}@[a-z]{7}\.com and [a-z]@[a-z]{70}\.com", got[6].text) and local not in got[6].text and "h" * 70 not in got[6].text
     assert [len(x) for x in got[7].text.split()] == [40, 32, 40] and not {mixed, iban_like, "7" * 40} & set(got[7].text.split())
+
+
+def test_names_keep_marks_and_script_at_any_length(docs):
+    long = "W" + "a" * 90
+    rows = [
+        (1, "Mr Jean-Luc O'Brien, Mrs Anna D'Arcy-Smith, MR JEAN-LUC O'BRIEN"),
+        (2, "Mr Արամ Խաչատրյան and Frau Μαρία Παππάς"),
+        (3, f"Dr {long} {long} and then, Mr D- X'"),
+        (4, "Dr Ⴀⴁⴂⴃ Ⴄⴅⴆ"),
+    ]
+    got = {k: r.text for k, r in run(docs(rows)).items()}
+    m = re.fullmatch(r"Mr ([A-Z][a-z]+)-([A-Z][a-z]+) O'([A-Z][a-z]+), Mrs ([A-Z][a-z]+) D'([A-Z][a-z]+)-([A-Z][a-z]+), MR ([A-Z]+-[A-Z]+) O'([A-Z]+)", got[1])
+    assert m and m[7] == f"{m[1]}-{m[2]}".upper() and m[8] == m[3].upper() and not {"Jean", "Luc", "Brien", "Anna", "Arcy", "Smith"} & set(m.groups())
+    assert re.fullmatch(r"Mr [Ա-Ֆ][ա-ֆ]+ [Ա-Ֆ][ա-ֆ]+ and Frau [Α-Ω][α-ως]+ [Α-Ω][α-ως]+", got[2]) and "Արամ" not in got[2] and "Μαρ" not in got[2]
+    assert "aaaaa" not in got[3] and re.fullmatch(r"Dr [A-Z][a-z]+ [A-Z][a-z]+ and then, Mr [A-Z]+- [A-Z]+'", got[3])
+    assert re.fullmatch(r"Dr [Ⴀ-Ⴥ][ⴀ-ⴥ]+ [Ⴀ-Ⴥ][ⴀ-ⴥ]+", got[4]) and got[4] != rows[3][1]
+
+
+def test_surrogates_grow_or_end_in_an_error(spark, monkeypatch):
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    full = [("email", f"{a}@{b}.co") for a in letters for b in letters] + [("phone", f"+49{k:02d}") for k in range(100)]
+    got = resolve(spark.createDataFrame(full, "kind string, norm string")).collect()
+    assert len(got) == len(full) == len({(r.kind, r.core) for r in got}) and not {(r.kind, r.core) for r in got} & set(full)
+    assert all(re.fullmatch(r"[a-z]+@[a-z]\.co" if r.kind == "email" else r"\+49[0-9]+", r.core) for r in got)
+    monkeypatch.setattr(pii, "surrogate", lambda key, kind, norm, attempt: F.lit("20"))
+    monkeypatch.setattr(pii, "MOST_DRAWS", 3)
+    with pytest.raises(ValueError):
+        resolve(spark.createDataFrame([("ssn", "20")], "kind string, norm string"))
+
+
+def test_the_key_comes_from_the_settings(spark, docs):
+    rows = [(1, "write to someone@example.com")]
+    plain = run(docs(rows))[1].text
+    spark.conf.set(pii.KEY_SETTING, "a secret one")
+    try:
+        assert run(docs(rows))[1].text != plain and run(docs(rows))[1].text == run(docs(rows), key="a secret one")[1].text
+    finally:
+        spark.conf.unset(pii.KEY_SETTING)
+
+
+#: What a mention and its surrogate both look like, by kind; upper and lower case, digits and marks in the same places.
+LOOKS = {
+    "email": r"[a-z]+\.[a-z0-9]+@[a-z]+\.[a-z]+", "ipv4": r"\d+\.\d+\.\d+\.\d+", "ssn": r"\d{3}-\d\d-\d{4}", "card": r"\d{4} \d{4} \d{4} \d{4}", "phone": r"\+49 \d{3} \d{3} \d{4}",
+    "mac": r"(?:[0-9a-f]{2}:){5}[0-9a-f]{2}", "ipv6": r"(?:[0-9a-f]{4}:){7}[0-9a-f]{4}", "iban": r"DE\d\d(?: \d{4}){4} \d\d", "secret": r"[0-9a-f]{40,400}",
+}
+
+
+def made(kind, rng):
+    digits = lambda n: "".join(rng.choice("0123456789") for _ in range(n))
+    hexes = lambda n: "".join(rng.choice("0123456789abcdef") for _ in range(n))
+    word = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n))
+    return {
+        "email": lambda: f"{word(rng.randrange(3, 200))}.{word(2)}{digits(2)}@{word(rng.randrange(4, 60))}.org", "ipv4": lambda: ".".join(str(rng.randrange(1, 255)) for _ in range(4)), "ssn": lambda: f"{digits(3)}-{digits(2)}-{digits(4)}",
+        "card": lambda: " ".join(digits(4) for _ in range(4)), "phone": lambda: f"+49 {digits(3)} {digits(3)} {digits(4)}", "mac": lambda: ":".join(hexes(2) for _ in range(6)), "ipv6": lambda: ":".join(hexes(4) for _ in range(8)),
+        "iban": lambda: f"DE{digits(2)} {digits(4)} {digits(4)} {digits(4)} {digits(4)} {digits(2)}", "secret": lambda: hexes(rng.randrange(40, 400)),
+    }[kind]()
+
+
+def test_every_kind_by_a_replacement_in_python(docs):
+    rng = random.Random(21)
+    pool = [(kind, made(kind, rng)) for kind in LOOKS for _ in range(12)]
+    filler = "the old house and its garden lay quiet below hills".split()
+    rows, plan = [], {}
+    for k in range(120):
+        chosen = [rng.choice(pool) for _ in range(rng.randrange(0, 6))]
+        gaps = [" ".join(rng.choice(filler) for _ in range(rng.randrange(1, 6))) for _ in range(len(chosen) + 1)]
+        plan[k] = (chosen, gaps)
+        rows.append((k, gaps[0] + "".join(f" ({m}) {g}" for (_, m), g in zip(chosen, gaps[1:], strict=True))))
+    got, of = run(docs(rows)), {}
+    for k, (chosen, gaps) in plan.items():
+        assert got[k].n_entities == len(chosen) and got[k].kinds == sorted({kind for kind, _ in chosen}), rows[k]
+        pattern = re.escape(gaps[0]) + "".join(rf" \(({LOOKS[kind]})\) {re.escape(g)}" for (kind, _), g in zip(chosen, gaps[1:], strict=True))
+        pieces = re.fullmatch(pattern, got[k].text)
+        assert pieces, (rows[k], got[k].text)
+        for mention, piece in zip(chosen, pieces.groups(), strict=True):
+            assert of.setdefault(mention, piece) == piece
+    originals = {m for _, m in pool}
+    assert len(set(of.values())) == len(of) and not originals & set(of.values())
+    assert not any(m in got[k].text for k, (chosen, _) in plan.items() for _, m in chosen)
+    assert all(luhn_sum(p.replace(" ", "")) == luhn_sum(m.replace(" ", "")) and p[0] == m[0] for (kind, m), p in of.items() if kind == "card")
