@@ -106,12 +106,12 @@ class Model:
     def pooled(self, ids: np.ndarray, begins: np.ndarray, table_: np.ndarray, step: int = 1 << 15, track: bool = False) -> tuple[np.ndarray, np.ndarray]:
         """Largest response of each filter in each text, and (if tracked) the position where it is; texts of any length in steps."""
         n, count = len(begins) - 1, FILTERS * len(WIDTHS)
-        best, where = np.full((n, count), -np.inf, np.float32), np.zeros((n, count), np.int64)
+        best, where = np.full((n, count), -np.inf, table_.dtype), np.zeros((n, count), np.int64)
         over = max(WIDTHS) - 1
         for lo in range(0, len(ids), step):
             hi = min(lo + step, len(ids))
             part = table_[np.concatenate([ids[lo : min(hi + over, len(ids))], np.zeros(over, np.int64)])]
-            response, at = np.empty((hi - lo, count), np.float32), 0
+            response, at = np.empty((hi - lo, count), table_.dtype), 0
             for f, width in enumerate(WIDTHS):
                 r = sum(part[k : k + hi - lo, at + k * FILTERS : at + (k + 1) * FILTERS] for k in range(width))
                 response[:, f * FILTERS : (f + 1) * FILTERS] = r
@@ -135,83 +135,117 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(hidden @ self.weights.astype(np.float64) + self.offset, -30, 30)))
 
 
-def train(texts: list[bytes], labels: np.ndarray, langs: list[str | None], epochs: int = EPOCHS) -> Model:
-    """Calibrate thresholds on a fifth of the rows with weights fitted to the others, then fit the weights to all rows."""
-    if not len(texts) or labels.min() == labels.max():
+@dataclass
+class Sample:
+    """Numbered texts of the training rows, in an order that a seed fixes; the first fifth calibrates."""
+
+    numbered: list[np.ndarray]
+    rows: np.ndarray
+    labels: np.ndarray
+    langs: list[str | None]
+    order: np.ndarray
+
+    @staticmethod
+    def of(texts: list[bytes], labels: np.ndarray, langs: list[str | None]) -> Sample:
+        vocabulary = Vocabulary()
+        numbered = [padded([t], vocabulary)[0].astype(np.int32) for t in texts]
+        return Sample(numbered, vocabulary.rows, labels, langs, np.random.Generator(np.random.PCG64(SEED + 1)).permutation(len(texts)))
+
+    @property
+    def one_sided(self) -> bool:
+        return not len(self.labels) or self.labels.min() == self.labels.max()
+
+
+def fitted(sample: Sample, epochs: int = EPOCHS) -> Model:
+    """Weights fitted to all rows; of one label alone, the prior."""
+    if sample.one_sided:
         model = Model.fresh()
         model.weights[:] = 0
-        p = 0.5 * PRIOR if not len(texts) or not labels.any() else 1 - 0.5 * PRIOR
+        p = 0.5 * PRIOR if not len(sample.labels) or not sample.labels.any() else 1 - 0.5 * PRIOR
         model.offset = float(np.log(p / (1 - p)))
         return model
-    vocabulary = Vocabulary()
-    numbered = [padded([t], vocabulary)[0].astype(np.int32) for t in texts]
-    rows = vocabulary.rows
-    order = np.random.Generator(np.random.PCG64(SEED + 1)).permutation(len(texts))
-    held, rest = np.sort(order[: len(order) // 5]), order[len(order) // 5 :]
-    model = fit(numbered, rows, labels, order, epochs)
-    if len(held) and labels[rest].min() < labels[rest].max():
-        trial = fit(numbered, rows, labels, rest, epochs)
-        scores = []
-        for lo in range(0, len(held), BATCH):
-            batch = held[lo : lo + BATCH]
-            begins = np.concatenate([[0], np.cumsum([len(numbered[i]) for i in batch])])
-            used, local = np.unique(np.concatenate([[0], *(numbered[i] for i in batch)]), return_inverse=True)
-            scores.append(trial.scores(trial.pooled(local[1:], begins, trial.projected(rows[used]))[0]))
-        calibrate(model, np.concatenate(scores), labels[held], [langs[i] for i in held])
+    return fit(sample.numbered, sample.rows, sample.labels, sample.order, epochs)
+
+
+def calibrated(sample: Sample, epochs: int = EPOCHS) -> tuple[float, dict[str, float]]:
+    """The threshold of all rows and those by language, from a fifth of the rows scored with weights fitted to the others."""
+    held, rest = np.sort(sample.order[: len(sample.order) // 5]), sample.order[len(sample.order) // 5 :]
+    if sample.one_sided or not len(held) or sample.labels[rest].min() == sample.labels[rest].max():
+        return 0.5, {}
+    trial = fit(sample.numbered, sample.rows, sample.labels, rest, epochs)
+    scores = []
+    for lo in range(0, len(held), BATCH):
+        batch = held[lo : lo + BATCH]
+        begins = np.concatenate([[0], np.cumsum([len(sample.numbered[i]) for i in batch])])
+        used, local = np.unique(np.concatenate([[0], *(sample.numbered[i] for i in batch)]), return_inverse=True)
+        scores.append(trial.scores(trial.pooled(local[1:], begins, trial.projected(sample.rows[used]))[0]))
+    return calibrate(np.concatenate(scores), sample.labels[held], [sample.langs[i] for i in held])
+
+
+def train(texts: list[bytes], labels: np.ndarray, langs: list[str | None], epochs: int = EPOCHS) -> Model:
+    """Calibrate thresholds on a fifth of the rows with weights fitted to the others, then fit the weights to all rows."""
+    sample = Sample.of(texts, labels, langs)
+    model = fitted(sample, epochs)
+    model.threshold, model.thresholds = calibrated(sample, epochs)
     return model
 
 
+def gradients(model: Model, local: np.ndarray, begins: np.ndarray, rows: np.ndarray, y: np.ndarray, of_text: np.ndarray) -> dict[str, np.ndarray]:
+    """Gradients of the weighted log loss of a batch: f0.. (filters), b, w, o (offset), e (mean embedding of each row of `rows`).
+
+    `local` numbers the words by their row, row 0 is the padding; `of_text` weighs the texts.
+    """
+    best, where = model.pooled(local, begins, model.projected(rows), track=True)
+    hidden = np.maximum(best + model.bias, 0)
+    p = 1 / (1 + np.exp(-(hidden @ model.weights + model.offset)))
+    d = (p - y) * of_text
+    d_hidden = d[:, None] * model.weights[None, :] * (hidden > 0)
+    words = np.zeros((len(rows), DIM), model.embeddings.dtype)
+    e = model.embeddings[rows].mean(axis=1)
+    e[0] = 0
+    found = {}
+    for f, width in enumerate(WIDTHS):
+        g = d_hidden[:, f * FILTERS : (f + 1) * FILTERS]
+        w = where[:, f * FILTERS : (f + 1) * FILTERS]
+        found[f"f{f}"] = np.zeros_like(model.filters[f])
+        for k in range(width):
+            u = local[np.minimum(w + k, len(local) - 1)]
+            found[f"f{f}"][k] = np.einsum("bfd,bf->df", e[u], g)
+            np.add.at(words, u, g[:, :, None] * model.filters[f][k].T[None, :, :])
+    words[0] = 0
+    return found | {"b": d_hidden.sum(0).astype(model.bias.dtype), "w": (d[:, None] * hidden).sum(0).astype(model.weights.dtype), "o": d.sum(), "e": words}
+
+
 def fit(numbered: list[np.ndarray], rows: np.ndarray, labels: np.ndarray, which: np.ndarray, epochs: int) -> Model:
     """Weights for the texts `which`, by Adagrad on batches of them, STEPS at least; both labels weigh the same."""
     model = Model.fresh()
     rng = np.random.Generator(np.random.PCG64(SEED + 2))
     fit = np.array(which)
     share = labels[fit].mean()
-    sums = {k: np.full(v.shape, 1e-6, np.float32) for k, v in (("e", model.embeddings), ("b", model.bias), ("w", model.weights), *((f"f{i}", f) for i, f in enumerate(model.filters)))}
+    weights = {"b": model.bias, "w": model.weights, **{f"f{i}": f for i, f in enumerate(model.filters)}}
+    sums = {k: np.full(v.shape, 1e-6, np.float32) for k, v in weights.items()}
+    e_sums = np.full(model.embeddings.shape, 1e-6, np.float32)
     offset_sum = 1e-6
-
-    def step(name: str, value: np.ndarray, grad: np.ndarray, rate: float) -> None:
-        sums[name] += grad * grad
-        value -= rate * grad / np.sqrt(sums[name])
-
     for _ in range(max(epochs, -(-STEPS * BATCH // len(fit)))):
         for lo in range(0, len(fit), BATCH):
             batch = rng.permutation(fit)[:BATCH] if lo + BATCH > len(fit) else fit[lo : lo + BATCH]
             ids = np.concatenate([numbered[i] for i in batch])
             begins = np.concatenate([[0], np.cumsum([len(numbered[i]) for i in batch])])
             used, local = np.unique(np.concatenate([[0], ids]), return_inverse=True)
-            local = local[1:]
-            best, where = model.pooled(local, begins, model.projected(rows[used]), track=True)
             y = labels[batch]
-            hidden = np.maximum(best + model.bias, 0)
-            p = 1 / (1 + np.exp(-(hidden @ model.weights + model.offset)))
-            d = (p - y) * np.where(y == 1, 0.5 / share, 0.5 / (1 - share)) / len(batch)
-            d_hidden = d[:, None] * model.weights[None, :] * (hidden > 0)
-            grads_e = np.zeros((len(used), DIM), np.float32)
-            e = model.embeddings[rows[used]].mean(axis=1)
-            e[0] = 0
-            for f, width in enumerate(WIDTHS):
-                g = d_hidden[:, f * FILTERS : (f + 1) * FILTERS]
-                w = where[:, f * FILTERS : (f + 1) * FILTERS]
-                grad_f = np.zeros_like(model.filters[f])
-                for k in range(width):
-                    u = local[np.minimum(w + k, len(local) - 1)]
-                    grad_f[k] = np.einsum("bfd,bf->df", e[u], g)
-                    np.add.at(grads_e, u, g[:, :, None] * model.filters[f][k].T[None, :, :])
-                step(f"f{f}", model.filters[f], grad_f, RATE)
-            grads_e[0] = 0
-            touched = np.flatnonzero(np.abs(grads_e).sum(1))
+            g = gradients(model, local[1:], begins, rows[used], y, np.where(y == 1, 0.5 / share, 0.5 / (1 - share)) / len(batch))
+            for name, value in weights.items():
+                sums[name] += g[name] * g[name]
+                value -= RATE * g[name] / np.sqrt(sums[name])
+            touched = np.flatnonzero(np.abs(g["e"]).sum(1))
             flat = rows[used[touched]].ravel()
-            g = np.repeat(grads_e[touched] / rows.shape[1], rows.shape[1], axis=0)
             at, inverse = np.unique(flat, return_inverse=True)
             total = np.zeros((len(at), DIM), np.float32)
-            np.add.at(total, inverse, g)
-            sums["e"][at] += total * total
-            model.embeddings[at] -= 2 * RATE * total / np.sqrt(sums["e"][at])
-            step("b", model.bias, d_hidden.sum(0).astype(np.float32), RATE)
-            step("w", model.weights, (d[:, None] * hidden).sum(0).astype(np.float32), RATE)
-            offset_sum += d.sum() ** 2
-            model.offset -= RATE * d.sum() / np.sqrt(offset_sum)
+            np.add.at(total, inverse, np.repeat(g["e"][touched] / rows.shape[1], rows.shape[1], axis=0))
+            e_sums[at] += total * total
+            model.embeddings[at] -= 2 * RATE * total / np.sqrt(e_sums[at])
+            offset_sum += g["o"] ** 2
+            model.offset -= RATE * g["o"] / np.sqrt(offset_sum)
         rng.shuffle(fit)
     return model
 
@@ -227,33 +261,44 @@ def best_threshold(scores: np.ndarray, labels: np.ndarray) -> float:
     return best[2]
 
 
-def calibrate(model: Model, scores: np.ndarray, labels: np.ndarray, langs: list[str | None]) -> None:
-    if labels.min() < labels.max():
-        model.threshold = best_threshold(scores, labels)
+def calibrate(scores: np.ndarray, labels: np.ndarray, langs: list[str | None]) -> tuple[float, dict[str, float]]:
+    """The best threshold, and that of each language with rows enough."""
+    overall, by_lang = best_threshold(scores, labels) if labels.min() < labels.max() else 0.5, {}
     by = np.array([x or "" for x in langs])
     for lang in sorted(set(by.tolist())):
         at = by == lang
         if lang and min(labels[at].sum(), (1 - labels[at]).sum()) >= LEAST_ROWS:
-            model.thresholds[lang] = best_threshold(scores[at], labels[at])
+            by_lang[lang] = best_threshold(scores[at], labels[at])
+    return overall, by_lang
+
+
+#: What a training task does; Spark's hash sends these numbers to different ones of two partitions.
+FIT, CALIBRATE = 0, 2
 
 
 def _train_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    rows = [r for b in batches for r in zip(*(b.column(c).to_pylist() for c in ("doc_id", "text", "toxic", "lang")), strict=True)]
-    rows.sort(key=lambda r: xxhash.xxh64_intdigest(str(r[0])))
-    kept, total = [], 0
-    for r in rows:
-        if total + len(r[1] or b"") <= MAX_BYTES:
-            kept.append(r)
-            total += len(r[1] or b"")
-    model = train([r[1] or b"" for r in kept], np.array([r[2] for r in kept], np.int64), [r[3] for r in kept])
-    yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], names=["model"])
+    """Fit or calibrate on the rows of a part; the rows of each part are the whole sample."""
+    by_part: dict[int, list[tuple]] = {}
+    for b in batches:
+        for part, *r in zip(*(b.column(c).to_pylist() for c in ("part", "doc_id", "text", "toxic", "lang")), strict=True):
+            by_part.setdefault(part, []).append(tuple(r))
+    for part, rows in by_part.items():
+        rows.sort(key=lambda r: xxhash.xxh64_intdigest(str(r[0])))
+        kept, total = [], 0
+        for r in rows:
+            if total + len(r[1] or b"") <= MAX_BYTES:
+                kept.append(r)
+                total += len(r[1] or b"")
+        sample = Sample.of([r[1] or b"" for r in kept], np.array([r[2] for r in kept], np.int64), [r[3] for r in kept])
+        yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([pickle.dumps(fitted(sample) if part == FIT else calibrated(sample))], pa.binary())], names=["part", "result"])
 
 
 def fit_sample(docs: DataFrame, labels: DataFrame) -> Model:
     """Train on a bounded sample of the labelled documents; labels has doc_id and toxic.
 
     The sample is at most MAX_TOXIC + MAX_CLEAN rows, the first by a hash of
-    their id; of these one task takes whole texts up to MAX_BYTES, and trains.
+    their id; of these whole texts up to MAX_BYTES go to two tasks, one that
+    fits the weights and one that calibrates the thresholds.
     """
     flat = labels.where("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     picks = []
@@ -263,8 +308,13 @@ def fit_sample(docs: DataFrame, labels: DataFrame) -> Model:
     lang = F.col("lang") if "lang" in docs.columns else F.lit(None).cast("string").alias("lang")
     found = docs.select("doc_id", "text", lang).join(F.broadcast(picks[0].unionByName(picks[1])), "doc_id").select("doc_id", "toxic", "lang", F.col("text").cast("binary").alias("text"))
     one = found.groupBy("doc_id").agg(F.max_by(F.struct("text", "toxic", "lang"), F.struct(F.coalesce(F.octet_length("text"), F.lit(0)), "text")).alias("r"))
-    blob = one.select("doc_id", "r.text", "r.toxic", "r.lang").repartition(1).mapInArrow(_train_task, "model binary").first()
-    return pickle.loads(bytes(blob["model"])) if blob else train([], np.zeros(0, np.int64), [])
+    twice = one.select(F.explode(F.array(F.lit(FIT), F.lit(CALIBRATE))).alias("part"), "doc_id", "r.text", "r.toxic", "r.lang").repartition(2, "part")
+    results = {r["part"]: pickle.loads(bytes(r["result"])) for r in twice.mapInArrow(_train_task, "part int, result binary").collect()}
+    if not results:
+        return train([], np.zeros(0, np.int64), [])
+    model = results[FIT]
+    model.threshold, model.thresholds = results[CALIBRATE]
+    return model
 
 
 def _score(shared, field_: str):
@@ -307,5 +357,5 @@ def op2_toxicity(spark, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     labels = table(spark, sf_dir, "labels").select("doc_id", "toxic")
     model = fit_sample(docs, labels.where(~held_out(F.col("doc_id"))))
-    scored = toxicity(docs.select("doc_id", "text"), model)
-    return scored.select(F.col("row.doc_id").alias("doc_id"), held_out(F.col("row.doc_id")).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+    scored = toxicity(docs, model)
+    return scored.select(F.col("row.doc_id").alias("doc_id"), held_out(F.col("row.doc_id")).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"), "threshold", "toxic")

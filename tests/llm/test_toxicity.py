@@ -66,3 +66,50 @@ def test_fit_from_tables_is_bounded_and_repeatable(spark, docs, monkeypatch):
     got = tox.toxicity(docs(odd_rows()), empty).collect()
     assert len(got) == 9 and {round(r.score, 6) for r in got} == {0.05} and not any(r.toxic for r in got) and got[0].row["score"] == "own score"
     assert tox.toxicity(docs([]), a).count() == 0 and len(tox.toxicity(docs(odd_rows()), a).collect()) == 9
+
+
+def test_gradients_against_differences(model):
+    rows = [(t.encode(), y) for _, t, _, y in sample(12, 7)]
+    v = tox.Vocabulary()
+    ids, begins = tox.padded([t for t, _ in rows], v)
+    used, local = np.unique(np.concatenate([[0], ids]), return_inverse=True)
+    local, y = local[1:], np.array([y for _, y in rows])
+    of_text = np.linspace(0.5, 1.5, len(y))
+    doubled = tox.Model(model.embeddings.astype(np.float64), [f.astype(np.float64) for f in model.filters], model.bias.astype(np.float64), model.weights.astype(np.float64), -0.3)
+
+    def loss():
+        best, _ = doubled.pooled(local, begins, doubled.projected(v.rows[used]))
+        z = np.maximum(best + doubled.bias, 0) @ doubled.weights + doubled.offset
+        return float((of_text * (np.logaddexp(0, z) - y * z)).sum())
+
+    g = tox.gradients(doubled, local, begins, v.rows[used], y, of_text)
+    assert g["o"] == pytest.approx(difference(loss, doubled, "offset"), rel=1e-4, abs=1e-6)
+    rng = np.random.default_rng(1)
+    for name, value in (("b", doubled.bias), ("w", doubled.weights), *((f"f{i}", f) for i, f in enumerate(doubled.filters))):
+        for _ in range(6):
+            at = tuple(rng.integers(s) for s in value.shape)
+            assert g[name][at] == pytest.approx(slope(loss, value, at), rel=1e-4, abs=1e-6), (name, at)
+    features = np.zeros_like(doubled.embeddings)
+    np.add.at(features, v.rows[used].ravel(), np.repeat(g["e"] / 4, 4, axis=0))
+    for at in np.argwhere(np.abs(features) > 0.05)[:8]:
+        assert features[tuple(at)] == pytest.approx(slope(loss, doubled.embeddings, tuple(at)), rel=1e-4, abs=1e-6)
+
+
+def slope(loss, value, at, step=1e-6):
+    kept = value[at]
+    value[at] = kept + step
+    up = loss()
+    value[at] = kept - step
+    down = loss()
+    value[at] = kept
+    return (up - down) / (2 * step)
+
+
+def difference(loss, model, name, step=1e-6):
+    kept = getattr(model, name)
+    setattr(model, name, kept + step)
+    up = loss()
+    setattr(model, name, kept - step)
+    down = loss()
+    setattr(model, name, kept)
+    return (up - down) / (2 * step)
