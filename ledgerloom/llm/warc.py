@@ -27,8 +27,8 @@ from pyspark.sql import functions as F
 
 from ledgerloom.llm.common import scratch, table
 
-#: Payload bytes of a file, which a task parses in memory; larger for large crawls, so that files stay countable.
-FILE_BYTES = 24 << 20
+#: Payload bytes of a file on average, which a task parses in memory, and tasks that write at most; beyond, a task writes several files.
+FILE_BYTES, WRITERS = 24 << 20, 20_000
 DATE = "2024-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 CRLF = "\r\n"
@@ -61,21 +61,24 @@ def _record(kind: Column | str, record_id: Column, headers: list[tuple[str, Colu
     return F.concat(F.concat_ws(CRLF, *lines), F.lit(CRLF + CRLF), block)
 
 
-def write_warc(pages: DataFrame, path: str, least: int = 0, file_bytes: int = FILE_BYTES) -> None:
+def write_warc(pages: DataFrame, path: str, least: int = 0, file_bytes: int = FILE_BYTES, writers: int = WRITERS) -> None:
     """Write a transaction of three records for each page (page_id, url, html) to gzip files at path.
 
     Payloads of at least `least` bytes that an earlier page has are revisits of it.
+    At most `writers` tasks write, each as many files as its records need.
     """
     page = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html"))
     page = page.withColumn("bytes", F.octet_length("html").cast("long")).withColumn("sha", F.sha1(F.col("html").cast("binary")))
-    total = pages.agg(F.coalesce(F.sum(F.coalesce(F.octet_length("html"), F.lit(0)) + 1500), F.lit(0))).first()[0]
+    total, n = pages.agg(F.coalesce(F.sum(F.coalesce(F.octet_length("html"), F.lit(0)) + 1500), F.lit(0)), F.count("*")).first()
     files = max(1, math.ceil(total / file_bytes))
+    tasks = min(files, writers)
+    a_file = 0 if files <= writers else max(3, 3 * n // files)  # records; 0: all of a task's
     # who comes first is found on slim rows; the pages themselves move once, evenly
     slim = page.where((F.col("bytes") >= least) & F.col("page_id").isNotNull()).select("page_id", "sha").distinct()
     firsts = slim.join(slim.groupBy("sha").agg(F.min("page_id").alias("first_id")), "sha")
     # pages equal in page_id and payload are told apart by their number; number 1 is the one that revisits name
     nth = F.row_number().over(Window.partitionBy("page_id", "sha").orderBy("url"))
-    page = page.repartition(files, "page_id", "sha").withColumn("nth", nth).join(firsts.repartition(files, "page_id", "sha").hint("merge"), ["page_id", "sha"], "left")
+    page = page.repartition(tasks, "page_id", "sha").withColumn("nth", nth).join(firsts.repartition(tasks, "page_id", "sha").hint("merge"), ["page_id", "sha"], "left")
     revisit = F.coalesce((F.col("bytes") >= least) & (F.col("page_id") != F.col("first_id")), F.lit(False))
     uri = F.regexp_replace(F.regexp_replace("url", "\r", "%0D"), "\n", "%0A")
     key = [F.col("page_id"), F.col("sha"), F.col("nth")]
@@ -94,8 +97,7 @@ def write_warc(pages: DataFrame, path: str, least: int = 0, file_bytes: int = FI
         ),
         _record("metadata", _urn("metadata", *key), [("WARC-Target-URI", uri), ("WARC-Concurrent-To", answer), ("Content-Type", F.lit("application/warc-fields"))], F.concat(F.lit("pageId: "), F.coalesce(F.col("page_id").cast("string"), F.lit("")), F.lit(CRLF))),
     )
-    # a file holds file_bytes on average
-    page.select(F.explode(records).alias("value")).write.option("lineSep", CRLF + CRLF).option("compression", "gzip").text(path)
+    page.select(F.explode(records).alias("value")).write.option("lineSep", CRLF + CRLF).option("compression", "gzip").option("maxRecordsPerFile", a_file).text(path)
 
 
 def _headers(block: bytes) -> dict[str, str]:

@@ -59,6 +59,20 @@ def test_query_bears_odd_pages(spark, tmp_path):
     assert ("None", 9, "response", "None") in got and ("5", 9, "revisit", "3") in got and ("11", 9, "revisit", "3") in got and ("7", 0, "response", "None") in got and ("8", 0, "revisit", "7") in got
 
 
+def test_few_writers_roll_their_files(spark):
+    rows = [(k, f"http://h.example/{k}", f"<p>{k % 40}</p>" * 30) for k in range(200)]
+    whole, rolled = scratch(spark, "warc"), scratch(spark, "warc")
+    write_warc(pages(spark, rows), whole)
+    write_warc(pages(spark, rows), rolled, file_bytes=20_000, writers=2)
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(rolled).select("content").collect()
+    assert len(files) > 10 and max(len(gzip.decompress(bytes(f.content))) for f in files) < 60_000
+
+    def captures(path):
+        return sorted((c.metadata[0].fields["pageid"], c.response.payload_digest, c.response.record_type, str(c.response.refers_to_id), len(c.requests)) for c in assemble(read_records(spark, path)).collect())
+
+    assert captures(rolled) == captures(whole) and len(captures(whole)) == 200
+
+
 def test_damage_is_an_error(spark):
     path = scratch(spark, "warc")
     write_warc(pages(spark, ROWS[:2]), path)
