@@ -8,14 +8,16 @@ labelled pages, which `labelled_pages` builds from many layouts, and decoded by
 Viterbi.
 
 Defined results: a null or empty page has the text ""; scripts, styles and
-other raw elements are never text; a page is whatever its tags say, however
-broken, and nothing of it is dropped for its length.
+other raw elements are never text, fallbacks (noscript, object, canvas) and the
+text of math and svg are; a page is whatever its tags say, however broken, and
+nothing of it is dropped for its length.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from dataclasses import dataclass
 from functools import lru_cache
 from html import unescape
 
@@ -26,12 +28,15 @@ from pyspark.sql import functions as F
 
 from ledgerloom.llm.common import nested, slices, table, with_fields, with_text
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|([^<]+|<)", re.S)
+NAME = re.compile(r"(/?)([a-zA-Z][^\s/>]*)")
+#: What stands before the end of a tag or a quoted value; only after = does a quote begin one.
+UNQUOTED = re.compile(r"[^>=]*(?:=\s*)?")
 ATTRIBUTE = re.compile(r"([^\s=\"'/>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 
-RAW = frozenset("script style template iframe noembed noframes svg canvas object textarea select noscript title".split())
-#: Raw elements that, without an end tag, lose only their start tag; others take the rest of the page.
-OPEN = frozenset("svg canvas object select template".split())
+#: Elements whose text is never shown as text of the page.
+RAW = frozenset("script style iframe noembed noframes textarea title".split())
+#: Such elements that without an end tag lose only their start tag; the others take the rest of the page.
+OPEN = frozenset("select template".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCK = frozenset(
     "address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup option p pre search section summary table tbody td tfoot th thead tr ul".split()
@@ -48,20 +53,59 @@ ENDS = {
 }
 #: A start tag of one of these ends an open paragraph.
 ENDS_P = BLOCK - frozenset(["button", "caption", "tbody", "td", "tfoot", "th", "thead", "tr", "li", "option", "body", "html", "head"])
-SCOPE = frozenset(["button", "table", "td", "th", "caption", "html"])
+PARAGRAPH, SCOPE = frozenset(["p"]), frozenset(["button", "table", "td", "th", "caption", "html"])
+SECTIONS = frozenset("article main nav header footer aside form".split())
+NO_KINDS: frozenset[str] = frozenset()
 NAME_WORD = re.compile(r"[a-z]+")
 END_MARKS = ".!?…。！？:;\"'”’)»"
 GOLD = "data-gold"
 
 
+class Node:
+    """A block-level element, with what it and its ancestors tell; ancestors are shared, not copied."""
+
+    __slots__ = ("up", "tag", "kinds", "known", "inner", "depth")
+
+    def __init__(self, up: Node | None, tag: str = "", names: str = "") -> None:
+        self.up, self.tag, self.depth = up, tag, up.depth + 1 if up else 0
+        self.kinds: frozenset[str] = NO_KINDS
+        self.known: frozenset[str] = up.known if up else NO_KINDS
+        self.inner = tag if tag in SECTIONS else up.inner if up else ""
+        if names:
+            words = names.split()
+            self.kinds = frozenset(k for w in words for k in OF_WORD.get(w, ()))
+            own = {f"named:{k}" for k in self.kinds} | ({"hidden"} if "hidden" in words else set())
+            if not own <= self.known:
+                self.known |= own
+        if tag in TAGS and (feature := f"in:{tag}") not in self.known:
+            self.known |= {feature}
+
+    def key(self) -> tuple:
+        """Nodes with the same key have the same features."""
+        up = self.up or self
+        return self.known, self.tag, self.kinds, up.tag, up.kinds, self.inner, min(self.depth, 8) // 2
+
+    def features(self) -> list[str]:
+        """Features of the element and its ancestors; those of the parent and its parent count once more."""
+        found = set(self.known)
+        if self.tag in TAGS:
+            found.add(f"parent:{self.tag}")
+        if self.up and self.up.tag in TAGS:
+            found.add(f"grand:{self.up.tag}")
+        found.update(f"near:{k}" for k in (*self.kinds, *(self.up.kinds if self.up else ())))
+        if self.inner:
+            found.add(f"inner:{self.inner}")  # the innermost sectioning element tells more than those around it
+        found.add(f"depth:{min(self.depth, 8) // 2}")
+        return sorted(found)
+
+
 class Block:
-    __slots__ = ("gold", "path", "text", "linked")
+    __slots__ = ("gold", "node", "text", "linked")
 
-    def __init__(self, path: tuple[str, ...], text: str, linked: int, gold: bool) -> None:
-        self.path, self.text, self.linked, self.gold = path, text, linked, gold
+    def __init__(self, node: Node, text: str, linked: int, gold: bool) -> None:
+        self.node, self.text, self.linked, self.gold = node, text, linked, gold
 
 
-@lru_cache(maxsize=20_000)
 def _names(attributes: str) -> str:
     """The words of class, id and role, and whether the element is marked as main text (for training)."""
     found = []
@@ -76,11 +120,14 @@ def _names(attributes: str) -> str:
     return " ".join(found)
 
 
+_kept_names = lru_cache(maxsize=20_000)(_names)
+
+
 def closed(html: str, tag: str) -> dict[int, int]:
     """Where the elements of this tag that have an end tag begin and end; each end tag ends the nearest open one."""
     found: dict[int, int] = {}
     begun: list[int] = []
-    for m in re.finditer(rf"<!--.*?(?:-->|\Z)|<(script|style)\b.*?(?:</\1\b|\Z)|<(/?){tag}(?=[\s/>])([^>]*)>", html, re.S | re.I):
+    for m in re.finditer(rf"<!--.*?(?:-->|\Z)|<(script|style)\b.*?(?:</\1\b|\Z)|<(/?){tag}(?=[\s/>])([^>]*)(?:>|\Z)", html, re.S | re.I):
         if m[2] == "/":
             if begun:
                 found[begun.pop()] = m.end()
@@ -89,97 +136,176 @@ def closed(html: str, tag: str) -> dict[int, int]:
     return found
 
 
-def leaf_blocks(html: str) -> list[Block]:
-    """The blocks of a page with any text, in page order."""
-    blocks: list[Block] = []
-    stack: list[str] = []  # tags
-    path: list[str] = []  # tag and its names, of the block-level elements and links on the stack
-    parts: list[str] = []
-    links = 0
-    linked = 0
-
-    def flush() -> None:
-        nonlocal linked
-        if parts:
-            text = " ".join("".join(parts).split())
+@lru_cache(maxsize=64)
+def _end_tag(tag: str) -> re.Pattern[str]:
+    return re.compile(rf"</{tag}(?=[\s/>])", re.I)
+
+
+class _Tags:
+    """Where tags end: at the first > outside quoted values.
+
+    Where quotes do not pair up, tags before that place end at their first >,
+    so no part of a page is looked through more than twice.
+    """
+
+    def __init__(self, html: str) -> None:
+        self.html, self.last, self.unpaired = html, html.rfind(">"), 0
+
+    def end(self, at: int) -> int:
+        """The place of the > of a tag whose attributes begin at `at`; -1 if there is none."""
+        html = self.html
+        if at > self.last:
+            return -1
+        j = at
+        while at >= self.unpaired:
+            j = UNQUOTED.match(html, j).end()
+            if j > self.last:
+                self.unpaired = j
+                break
+            c = html[j]
+            if c == ">":
+                return j
+            if c in "\"'":
+                close = html.find(c, j + 1)
+                if close < 0:
+                    self.unpaired = j + 1
+                    break
+                j = close + 1
+            # else an unquoted value begins here, or another = follows
+        return html.find(">", at)
+
+
+class _Page:
+    """The open elements of a page and the blocks found so far."""
+
+    def __init__(self) -> None:
+        self.blocks: list[Block] = []
+        self.stack: list[tuple[str, Node, bool]] = []  # tag, innermost block-level element, whether it is marked
+        self.places: dict[str, list[int]] = {}  # of each tag in the stack
+        self.block_places: list[int] = []
+        self.root = self.node = Node(None)
+        self.parts: list[str] = []
+        self.links = self.linked = self.marked = 0
+
+    def text(self, text: str) -> None:
+        if "&" in text:
+            text = unescape(text)
+        self.parts.append(text)
+        if self.links > 0:
+            self.linked += len(text.strip())
+
+    def flush(self) -> None:
+        if self.parts:
+            text = " ".join("".join(self.parts).split())
             if text:
-                gold = any(GOLD in p for p in path)
-                blocks.append(Block(tuple(p for p in path), text, min(linked, len(text)), gold))
-            parts.clear()
-            linked = 0
+                self.blocks.append(Block(self.node, text, min(self.linked, len(text)), self.marked > 0))
+            self.parts.clear()
+            self.linked = 0
 
-    def close(n: int) -> None:
+    def open(self, tag: str, names: str) -> None:
+        place = len(self.stack)
+        if tag in BLOCK:
+            self.block_places.append(place)
+            self.node = Node(self.node, tag, names)
+        elif tag == "a":
+            self.links += 1
+        marked = GOLD in names
+        self.marked += marked
+        self.places.setdefault(tag, []).append(place)
+        self.stack.append((tag, self.node, marked))
+
+    def close(self, n: int) -> None:
         """Leave the elements from number n on."""
-        nonlocal links
-        if any(t in BLOCK for t in stack[n:]):
-            flush()
-        links -= stack[n:].count("a")
-        del stack[n:], path[n:]
-
-    def nearest(tags: frozenset[str] | set[str], stop: frozenset[str]) -> int:
-        for k in range(len(stack) - 1, -1, -1):
-            if stack[k] in tags:
-                return k
-            if stack[k] in stop:
-                return -1
-        return -1
+        if self.block_places and self.block_places[-1] >= n:
+            self.flush()
+        while len(self.stack) > n:
+            tag, _, marked = self.stack.pop()
+            self.places[tag].pop()
+            self.marked -= marked
+            self.links -= tag == "a"
+        while self.block_places and self.block_places[-1] >= n:
+            self.block_places.pop()
+        self.node = self.stack[-1][1] if self.stack else self.root
+
+    def last(self, tags: frozenset[str]) -> int:
+        return max((self.places[t][-1] for t in tags if self.places.get(t)), default=-1)
+
+    def end(self, tag: str) -> None:
+        if self.places.get(tag):
+            k = self.places[tag][-1]
+            if tag in BLOCK or not self.block_places or self.block_places[-1] < k:
+                self.close(k)
+        elif tag in BLOCK:
+            self.flush()
+
+    def implied_ends(self, tag: str) -> None:
+        """Leave what the start of a block-level element ends."""
+        self.flush()
+        if tag in ENDS_P and (k := self.last(PARAGRAPH)) > self.last(SCOPE):
+            self.close(k)
+        if tag in ENDS and (k := self.last(ENDS[tag][0])) > self.last(ENDS[tag][1]):
+            self.close(k)
+
 
+def leaf_blocks(html: str) -> list[Block]:
+    """The blocks of a page with any text, in page order; takes time in proportion to the page."""
+    page, tags = _Page(), _Tags(html)
+    closings: dict[str, dict[int, int]] = {}
     at, size = 0, len(html)
-    ends: dict[str, dict[int, int]] = {}
-    scan = TOKEN.match
     while at < size:
-        m = scan(html, at)
-        begin, at = at, m.end()
-        text = m[7]
-        if text is not None:
-            if "&" in text:
-                text = unescape(text)
-            parts.append(text)
-            if links > 0:
-                linked += len(text.strip())
+        begin = html.find("<", at)
+        if begin != at:
+            page.text(html[at : begin if begin >= 0 else size])
+            if begin < 0:
+                break
+        if html.startswith("<!--", begin):
+            end = html.find("-->", begin + 4)
+            at = end + 3 if end >= 0 else size
             continue
-        tag = m[2] or m[5]
-        if tag is None:
+        if html.startswith(("<!", "<?"), begin):
+            end = html.find(">", begin)
+            at = end + 1 if end >= 0 else size
             continue
-        tag = tag.lower()
-        if m[1] or m[4]:
-            if tag in stack:
-                k = len(stack) - 1 - stack[::-1].index(tag)
-                if tag in BLOCK or not any(t in BLOCK for t in stack[k:]):
-                    close(k)
-            elif tag in BLOCK:
-                flush()
+        m = NAME.match(html, begin + 1)
+        end = tags.end(m.end()) if m else -1
+        if end < 0:
+            page.text("<")
+            at = begin + 1
+            continue
+        at = end + 1
+        tag = m[2].lower()
+        if m[1]:
+            page.end(tag)
             continue
-        attributes = m[3] if m[2] else m[6]
         if tag in VOID:
             if tag == "br":
-                parts.append(" ")
+                page.parts.append(" ")
             elif tag == "hr":
-                flush()
+                page.flush()
+            continue
+        if tag in OPEN:
+            if tag not in closings:
+                closings[tag] = closed(html, tag)
+            at = max(at, closings[tag].get(begin, at))
+            page.parts.append(" ")
             continue
         if tag in RAW:
-            if tag in OPEN:
-                if tag not in ends:
-                    ends[tag] = closed(html, tag)
-                at = max(at, ends[tag].get(begin, at))
-            elif not attributes.rstrip().endswith("/"):
-                end = re.compile(rf"</{tag}\b[^>]*>", re.I).search(html, at)
-                at = end.end() if end else size
-            parts.append(" ")
+            if html[end - 1] != "/":
+                found = _end_tag(tag).search(html, at)
+                close = html.find(">", found.end()) if found else -1
+                at = close + 1 if close >= 0 else size
+            page.parts.append(" ")
             continue
         if tag in BLOCK:
-            flush()
-            if tag in ENDS_P and (k := nearest({"p"}, SCOPE)) >= 0:
-                close(k)
-            if tag in ENDS and (k := nearest(*ENDS[tag])) >= 0:
-                close(k)
-        elif tag == "a":
-            links += 1
-        stack.append(tag)
-        names = _names(attributes) if "=" in attributes or "hidden" in attributes or GOLD in attributes else ""
-        path.append(f"{tag} {names}" if names else tag)
-    flush()
-    return blocks
+            page.implied_ends(tag)
+        names = ""
+        if end > m.end():
+            attributes = html[m.end() : end]
+            if "=" in attributes or "hidden" in attributes or GOLD in attributes:
+                names = _kept_names(attributes) if len(attributes) < 500 else _names(attributes)
+        page.open(tag, names)
+    page.flush()
+    return page.blocks
 
 
 #: Words in names of elements, by what they tell.
@@ -203,33 +329,6 @@ for _kind, _words in HINTS.items():
 TAGS = frozenset("nav header footer aside article main section form table td th ul ol li dl dt dd h1 h2 h3 h4 h5 h6 p blockquote pre figure figcaption button label fieldset details summary address div menu dialog".split())
 
 
-@lru_cache(maxsize=50_000)
-def path_features(path: tuple[str, ...]) -> tuple[str, ...]:
-    """Features of the ancestors, nearest first for the parent's own."""
-    found = set()
-    blocks = [p for p in path if p.split(" ", 1)[0] in BLOCK]
-    for depth, p in enumerate(reversed(blocks)):
-        tag, _, names = p.partition(" ")
-        if tag in TAGS:
-            found.add(f"in:{tag}")
-            if depth == 0:
-                found.add(f"parent:{tag}")
-            elif depth == 1:
-                found.add(f"grand:{tag}")
-        for word in names.split():
-            if word == "hidden":
-                found.add("hidden")
-            for kind in OF_WORD.get(word, ()):
-                found.add(f"named:{kind}")
-                if depth <= 1:
-                    found.add(f"near:{kind}")
-        # the innermost sectioning element tells more than those around it
-        if tag in ("article", "main", "nav", "header", "footer", "aside", "form") and not any(f.startswith("inner:") for f in found):
-            found.add(f"inner:{tag}")
-    found.add("depth:" + str(min(len(blocks), 8) // 2))
-    return tuple(sorted(found))
-
-
 def text_features(b: Block, k: int, n: int) -> list[str]:
     text = b.text
     words = text.count(" ") + 1
@@ -259,29 +358,36 @@ class Chain:
 
     def __init__(self, index: dict[str, int], weights: np.ndarray, transitions: np.ndarray, start: np.ndarray) -> None:
         self.index, self.weights, self.transitions, self.start = index, weights, transitions, start
-        self._paths: dict[tuple[str, ...], float] = {}
+        self._nodes: dict[tuple, float] = {}
         # only the difference between the states matters
         self._margin = {f: float(weights[k, 1] - weights[k, 0]) for f, k in index.items()}
 
-    def _path(self, path: tuple[str, ...]) -> float:
-        found = self._paths.get(path)
-        if found is None:
-            if len(self._paths) > 50_000:
-                self._paths.clear()
-            found = self._paths[path] = sum(self._margin.get(f, 0.0) for f in path_features(path))
-        return found
+    def emissions(self, blocks: list[Block]) -> list[float]:
+        """What the features of each block add to the score of 'main'."""
+        margin, out, n = self._margin, [], len(blocks)
+        node, of_node = None, 0.0
+        for k, block in enumerate(blocks):
+            if block.node is not node:
+                node = block.node
+                key = node.key()
+                found = self._nodes.get(key)
+                if found is None:
+                    if len(self._nodes) > 50_000:
+                        self._nodes.clear()
+                    found = self._nodes[key] = sum(margin.get(f, 0.0) for f in node.features())
+                of_node = found
+            out.append(of_node + sum(margin.get(f, 0.0) for f in text_features(block, k, n)))
+        return out
 
     def decode(self, blocks: list[Block]) -> list[bool]:
         """The most likely states (Viterbi)."""
         n = len(blocks)
         if not n:
             return []
-        margin = self._margin
         (t00, t01), (t10, t11) = self.transitions.tolist()
         back: list[tuple[int, int]] = []
         a, b = 0.0, 0.0
-        for k, block in enumerate(blocks):
-            e = self._path(block.path) + sum(margin.get(f, 0.0) for f in text_features(block, k, n))
+        for k, e in enumerate(self.emissions(blocks)):
             if k == 0:
                 a, b = float(self.start[0]), float(self.start[1]) + e
                 continue
@@ -296,50 +402,68 @@ class Chain:
         return out[::-1]
 
 
-def train_chain(pages: list[list[Block]], rounds: int = 150, decay: float = 1e-3) -> Chain:
-    """Maximum likelihood with an L2 penalty, by Adam on all pages; forward and backward sums run over pages at once."""
+@dataclass(frozen=True)
+class TrainingData:
+    """The blocks of labelled pages as rows of features."""
+
+    index: dict[str, int]
+    x: np.ndarray  # row by feature
+    page: np.ndarray  # of each row
+    place: np.ndarray  # of each row in its page
+    gold: np.ndarray
+    mask: np.ndarray  # page by place
+
+
+def training_data(pages: list[list[Block]]) -> TrainingData:
     index: dict[str, int] = {}
-    rows: list[list[int]] = []
-    for blocks in pages:
-        for k, b in enumerate(blocks):
-            rows.append([index.setdefault(f, len(index)) for f in (*path_features(b.path), *text_features(b, k, len(blocks)))])
+    rows = [[index.setdefault(f, len(index)) for f in (*b.node.features(), *text_features(b, k, len(blocks)))] for blocks in pages for k, b in enumerate(blocks)]
     x = np.zeros((len(rows), len(index)))
     for r, fs in enumerate(rows):
         x[r, fs] = 1
     lengths = np.array([len(p) for p in pages])
-    longest, n = int(lengths.max()), len(pages)
-    page = np.repeat(np.arange(n), lengths)
     place = np.arange(len(rows)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
     gold = np.array([int(b.gold) for p in pages for b in p])
-    mask = np.arange(longest)[None, :] < lengths[:, None]
-    w, t, s = np.zeros((len(index), 2)), np.zeros((2, 2)), np.zeros(2)
-    state = [(np.zeros_like(v), np.zeros_like(v)) for v in (w, t, s)]
-    gold_t = np.zeros((2, 2))
+    return TrainingData(index, x, np.repeat(np.arange(len(pages)), lengths), place, gold, np.arange(int(lengths.max()))[None, :] < lengths[:, None])
+
+
+def loss_and_gradients(data: TrainingData, w: np.ndarray, t: np.ndarray, s: np.ndarray, decay: float) -> tuple[float, list[np.ndarray]]:
+    """The negative log likelihood a row, with the L2 penalty, and its gradients in the weights, transitions and start; sums run over all pages at once."""
+    n, longest = data.mask.shape
+    page, place, gold, mask, rows = data.page, data.place, data.gold, data.mask, len(data.gold)
+    e = np.zeros((n, longest, 2))
+    e[page, place] = data.x @ w
+    forward, backward = np.zeros((n, longest, 2)), np.zeros((n, longest, 2))
+    forward[:, 0] = s + e[:, 0]
+    for k in range(1, longest):
+        step = np.logaddexp.reduce(forward[:, k - 1, :, None] + t[None], axis=1) + e[:, k]
+        forward[:, k] = np.where(mask[:, k, None], step, forward[:, k - 1])
+    for k in range(longest - 2, -1, -1):
+        step = np.logaddexp.reduce(t[None] + (e[:, k + 1] + backward[:, k + 1])[:, None, :], axis=2)
+        backward[:, k] = np.where(mask[:, k + 1, None], step, 0)
+    total = np.logaddexp.reduce(forward[:, -1], axis=1)
+    p = np.exp(forward + backward - total[:, None, None])[page, place]
+    pair = np.exp(forward[:, :-1, :, None] + t[None, None] + (e + backward)[:, 1:, None, :] - total[:, None, None, None])
+    p_t = (pair * mask[:, 1:, None, None]).sum((0, 1))
     follow = np.flatnonzero(place > 0)
+    gold_t, gold_s = np.zeros((2, 2)), np.bincount(gold[place == 0], minlength=2)
     np.add.at(gold_t, (gold[follow - 1], gold[follow]), 1)
-    gold_s = np.bincount(gold[place == 0], minlength=2)
-    onehot = np.eye(2)[gold]
+    scored = e[page, place][np.arange(rows), gold].sum() + (gold_t * t).sum() + (gold_s * s).sum()
+    loss = (total.sum() - scored) / rows + decay / 2 * sum(float((v * v).sum()) for v in (w, t, s))
+    return loss, [data.x.T @ (p - np.eye(2)[gold]) / rows + decay * w, (p_t - gold_t) / rows + decay * t, (p[place == 0].sum(0) - gold_s) / rows + decay * s]
+
+
+def train_chain(pages: list[list[Block]], rounds: int = 150, decay: float = 1e-3) -> Chain:
+    """Maximum likelihood with an L2 penalty, by Adam on all pages."""
+    data = training_data(pages)
+    w, t, s = np.zeros((len(data.index), 2)), np.zeros((2, 2)), np.zeros(2)
+    state = [(np.zeros_like(v), np.zeros_like(v)) for v in (w, t, s)]
     for step in range(1, rounds + 1):
-        e = np.zeros((n, longest, 2))
-        e[page, place] = x @ w
-        forward, backward = np.zeros((n, longest, 2)), np.zeros((n, longest, 2))
-        forward[:, 0] = s + e[:, 0]
-        for k in range(1, longest):
-            step_ = np.logaddexp.reduce(forward[:, k - 1, :, None] + t[None], axis=1) + e[:, k]
-            forward[:, k] = np.where(mask[:, k, None], step_, forward[:, k - 1])
-        for k in range(longest - 2, -1, -1):
-            step_ = np.logaddexp.reduce(t[None] + (e[:, k + 1] + backward[:, k + 1])[:, None, :], axis=2)
-            backward[:, k] = np.where(mask[:, k + 1, None], step_, 0)
-        total = np.logaddexp.reduce(forward[:, -1], axis=1)
-        p = np.exp(forward + backward - total[:, None, None])[page, place]
-        pair = np.exp(forward[:, :-1, :, None] + t[None, None] + (e + backward)[:, 1:, None, :] - total[:, None, None, None])
-        p_t = (pair * mask[:, 1:, None, None]).sum((0, 1))
-        grads = [x.T @ (p - onehot) / len(rows) + decay * w, (p_t - gold_t) / len(rows) + decay * t, (p[place == 0].sum(0) - gold_s) / len(rows) + decay * s]
+        _, grads = loss_and_gradients(data, w, t, s, decay)
         for value, grad, (m1, m2) in zip((w, t, s), grads, state, strict=True):
             m1 += 0.1 * (grad - m1)
             m2 += 0.01 * (grad * grad - m2)
             value -= 0.1 * (m1 / (1 - 0.9**step)) / (np.sqrt(m2 / (1 - 0.99**step)) + 1e-8)
-    return Chain(index, w, t, s)
+    return Chain(data.index, w, t, s)
 
 
 SYLLABLES = "ra len to mi sa ver on the di ku pe al or in st ma ne vo lu ter an ci go fa be no us tri".split()
