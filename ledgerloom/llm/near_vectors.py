@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.common import materialize, remix, table
+from ledgerloom.llm.common import materialize, remix, table, unique_key
 from ledgerloom.llm.linking import link
 
 COSINE, TABLES, PROBES, SEED = 0.95, 12, 8, 7
@@ -159,7 +159,7 @@ def near_vectors(vectors: DataFrame, cosine: float = COSINE, tables: int = TABLE
     v = F.transform("embedding", lambda x: x.cast("double"))
     fine = F.col("v").isNotNull() & ~F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) & F.exists("v", lambda x: x != 0)
     rows = vectors.select("vec_id", "embedding", v.alias("v")).withColumn("fine", F.coalesce(fine, F.lit(False)))
-    rows = rows.withColumn("node", F.when(F.col("fine"), F.xxhash64("v")))
+    rows = rows.withColumn("node", F.when(F.col("fine"), unique_key(rows.where("fine"), "v")))
     good = rows.where("fine")
     ids = materialize(rows.select("vec_id", "node"), "vector-ids")
     nodes = materialize(ids.where("node is not null").groupBy("node").agg(F.count("*").alias("copies"), F.min("vec_id").alias("least")), "nodes")

@@ -26,7 +26,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.common import Rolling, nested, ranges, record_batch, remix, slices, split_words, table, with_fields, with_text, word_hashes
+from ledgerloom.llm.common import Rolling, nested, ranges, record_batch, remix, slices, split_words, table, unique_key, with_fields, with_text, word_hashes
 
 WINDOW = 50
 #: A perfect difference cover: every residue is a difference of two of these modulo the period.
@@ -210,7 +210,8 @@ def repeated_spans(rows: DataFrame, window: int = WINDOW) -> DataFrame:
 
 def drop_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """Per document: `row` (its columns), n_words, n_removed, kept (the words left, one space apart), removed (word spans)."""
-    rows = nested(docs).withColumn("rk", F.xxhash64("row.doc_id", "row.text"))
+    rows = nested(docs)
+    rows = rows.withColumn("rk", unique_key(rows, "row.doc_id", "row.text"))
     out = with_fields(rows.schema["row"].dataType, ("n_words", "long"), ("n_removed", "long"), ("kept", "string"), ("removed", "array<struct<start:long,end:long>>"))
     return rows.join(repeated_spans(rows, window), "rk", "left").select("row", "spans").mapInArrow(_cut(window), out)
 

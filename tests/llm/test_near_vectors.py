@@ -1,6 +1,6 @@
 import numpy as np
 
-from ledgerloom.llm.near_vectors import bucket_keys, hadamard, near_vectors, unit
+from ledgerloom.llm.near_vectors import PROBES, TABLES, bucket_keys, hadamard, near_vectors, unit
 
 
 def brute(rows, cosine=0.95):
@@ -78,3 +78,16 @@ def test_large_class_is_counted_in_blocks(spark, monkeypatch):
     rows = [(k, [float(x) for x in np.float32(base + 0.01 * rng.normal(size=16))]) for k in range(40)] + [(100, [float(x) for x in np.float32(base)])] * 3
     got = near_vectors(frame(spark, rows)).collect()
     assert {r.n_links for r in got} == {42} and {r.component_id for r in got} == {0}
+
+
+def test_recall_of_candidates_with_three_to_five_functions():
+    """Shares of random pairs at the threshold that meet in a bucket; the number of functions grows with the table."""
+    rng = np.random.default_rng(17)
+    x = unit(rng.normal(size=(1500, 64)))
+    noise = rng.normal(size=x.shape)
+    noise = unit(noise - (noise * x).sum(1, keepdims=True) * x)
+    y = 0.951 * x + np.sqrt(1 - 0.951**2) * noise
+    for functions in (3, 4, 5):
+        a, b = bucket_keys(x, TABLES, functions, PROBES), bucket_keys(y, TABLES, functions, PROBES)
+        met = (a[:, :, :1] == b).any((1, 2)) | (b[:, :, :1] == a).any((1, 2))
+        assert met.mean() >= 0.98, functions
