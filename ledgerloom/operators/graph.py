@@ -79,7 +79,7 @@ def levels(edges: DataFrame, seeds: DataFrame, hops: int, both: bool = False, ki
     frontier = found = seeds.select("node").distinct().withColumn("hop", F.lit(0))
     for hop in range(1, hops + 1):
         reached = frontier.select(F.col("node").alias("src")).join(steps, "src").select(F.col("dst").alias("node")).distinct()
-        frontier = reached.join(found, "node", "left_anti").withColumn("hop", F.lit(hop))
+        frontier = cut(reached.join(found, "node", "left_anti").withColumn("hop", F.lit(hop)))
         found = found.unionByName(frontier)
     return found
 
@@ -91,7 +91,7 @@ def paths(edges: DataFrame, seeds: DataFrame, hops: int) -> DataFrame:
     for hop in range(1, hops + 1):
         arrivals = frontier.join(e, F.col("node") == F.col("src")).select(F.col("dst").alias("to"), F.struct("src", "id", "path").alias("via"))
         best = arrivals.groupBy("to").agg(F.min("via").alias("via"))
-        frontier = best.join(found.select(F.col("node").alias("to")), "to", "left_anti").select(F.col("to").alias("node"), F.lit(hop).alias("hop"), F.concat("via.path", F.array("to")).alias("path"))
+        frontier = cut(best.join(found.select(F.col("node").alias("to")), "to", "left_anti").select(F.col("to").alias("node"), F.lit(hop).alias("hop"), F.concat("via.path", F.array("to")).alias("path")))
         found = found.unionByName(frontier)
     return found
 
@@ -144,8 +144,7 @@ def personalized_pagerank(edges: Iterable[Edge], seeds: Iterable[str], config: G
             a, b = index[e.source], index[e.target]
             if not reverse:
                 move[a, b] += w
-            if reverse or a != b:
-                move[b, a] += w
+            move[b, a] += w  # both ways, so an edge of a node to itself counts twice
     total = move.sum(axis=1)
     move[total > 0] /= total[total > 0, None]
     restart = np.zeros(len(nodes))
@@ -161,6 +160,18 @@ def personalized_pagerank(edges: Iterable[Edge], seeds: Iterable[str], config: G
     return {n: float(score[index[n]]) for n in nodes}, found, iterations
 
 
+def ranking_steps(edges: DataFrame, weights: Mapping[str, float] = EDGE_WEIGHTS, reverse: bool = False) -> DataFrame:
+    """(src, dst, weight) of the steps that ranking takes over typed edges (src, dst, type): both ways, so an edge of a node to itself counts twice; in reverse only impact types, from target to source."""
+    weight = F.lit(1.0)
+    for kind, w in weights.items():
+        weight = F.when(F.col("type") == kind, float(w)).otherwise(weight)
+    e = edges.select("src", "dst", "type", weight.alias("weight"))
+    back = F.struct(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight")
+    if reverse:
+        return e.where(F.col("type").isin(*IMPACT_TYPES)).select(back.alias("s")).select("s.*")
+    return e.select(F.explode(F.array(F.struct("src", "dst", "weight"), back)).alias("s")).select("s.*")
+
+
 def pagerank_rounds(edges: DataFrame, seeds: DataFrame, rounds: int, damping: float = 0.85) -> DataFrame:
     """(node, score) of a personalized PageRank on the whole graph, by a fixed number of joins.
 
@@ -173,11 +184,13 @@ def pagerank_rounds(edges: DataFrame, seeds: DataFrame, rounds: int, damping: fl
     n = seeds.select("node").distinct().agg(F.count("*").alias("n"))
     start = seeds.select("node").distinct().crossJoin(F.broadcast(n)).select("node", (F.lit(1.0) / F.col("n")).alias("restart"))
     score = start.select("node", F.col("restart").alias("score"))
-    for _ in range(rounds):
+    for k in range(rounds):
         moved = score.join(step, F.col("node") == F.col("src")).groupBy("dst").agg(F.sum(F.col("score") * F.col("p")).alias("moved"))
         lost = score.join(out, F.col("node") == F.col("src"), "left_anti").agg(F.coalesce(F.sum("score"), F.lit(0.0)).alias("lost"))
-        score = cut(start.join(moved, F.col("node") == F.col("dst"), "full_outer").crossJoin(F.broadcast(lost)).select(
+        score = start.join(moved, F.col("node") == F.col("dst"), "full_outer").crossJoin(F.broadcast(lost)).select(
             F.coalesce("node", "dst").alias("node"),
             ((1 - damping) * F.coalesce("restart", F.lit(0.0)) + damping * (F.coalesce("moved", F.lit(0.0)) + F.col("lost") * F.coalesce("restart", F.lit(0.0)))).alias("score"),
-        ))
+        )
+        if k % 2 or k == rounds - 1:  # each score is used twice, so a plan doubles with every round that is not cut
+            score = cut(score)
     return score

@@ -349,3 +349,133 @@ def test_command_line(tmp_path, capsys):
     assert cli.run(["--root", str(tmp_path / "new"), "import", str(tmp_path / "x.gz")])[0] == 0
     out = subprocess.run([sys.executable, "-m", "ledgerloom.cli", "--root", str(tmp_path), "status"], capture_output=True, text=True, cwd=os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
     assert out.returncode == 0 and json.loads(out.stdout)["project"]["name"] == "X"
+
+
+def test_channels(filled):
+    root, store, e, ids = filled
+    (root / "lib").mkdir()
+    (root / "lib" / "ledger.py").write_text("class Ledger:\n    def post(self, entry):\n        return self.balance(entry)\n    def balance(self, entry):\n        return entry\n")
+    (root / "again.py").write_text("def post():\n    return 2\n")
+    assert e.index(root).status == "completed"
+    g = e.graph()
+    place = lambda found, channel: [c.id for c in sorted((c for c in found.candidates if channel in {r[0] for r in c.rankings}), key=lambda c: next(r[1] for r in c.rankings if r[0] == channel))]
+    file_of = {s.path: s.id for s in g.symbols if s.kind == "file"}
+    part = e.retrieve("Ledger.py")
+    assert place(part, "path") == [file_of["lib/ledger.py"]] and next(c for c in part.candidates if c.id == file_of["lib/ledger.py"]).priority == 3
+    whole = e.retrieve("LIB\\ledger.py")
+    assert whole.candidates[0].id == file_of["lib/ledger.py"] and whole.candidates[0].priority == 1
+    assert not place(e.retrieve("what is in lib/ledger.py here"), "path")
+    post = g.named("Ledger.post")[0]
+    assert place(e.retrieve("ledger.post"), "exact") == [post.id] == place(e.retrieve("why does Ledger.post fail"), "exact")
+    assert place(e.retrieve(post.version_id), "exact") == [post.id]
+    both = e.retrieve("post")
+    assert both.diagnostics["ambiguous"] == sorted(s.id for s in g.named("post")) and len(both.diagnostics["ambiguous"]) == 2
+    terms = e.retrieve("the session of a login")
+    assert place(terms, "symbol_terms") == sorted(s.id for s in g.symbols if s.kind == "function" and {"login", "session"} & set(s.name.lower().replace("handler", " handler").replace("session", " session").split()))
+    standing = e.retrieve("continue", mode="continue")
+    src = e.record("conversation.user_message", {"content": "more"})["id"]
+    blocker, question = e.promote("blocker", "No keys yet", [src]), e.promote("question", "Which cache?", [src])
+    standing = e.retrieve("continue", mode="continue")
+    assert place(standing, "project_state") == [ids["goal"], ids["task"], ids["constraint"], blocker, ids["decision"], ids["result"], question] == place(standing, "continue")
+    mine = e.retrieve("continue", mode="continue", session_id=e.session_id)
+    assert set(place(mine, "continue")) <= set(place(mine, "project_state"))
+    d = standing.diagnostics
+    assert d["expanded_nodes"] >= len(standing.scores) and d["ppr_iterations"] > 0 and d["warnings"] == [] and d["retrieval_ms"] >= d["ppr_ms"] >= 0
+
+
+def test_seeds_must_exist_and_old_versions_are_seeds(filled):
+    root, _, e, ids = filled
+    old = e.graph().named("refreshSession")[0]
+    (root / "session.ts").write_text(SESSION.replace("return user;", "return user + 2;"))
+    e.index(root)
+    found = e.retrieve("x", symbol_ids=(old.version_id,))
+    c = found.candidates[0]
+    assert c.id == old.version_id and not c.current and c.priority == 0
+    unit = next(u for u in e.units(found) if u.id == old.version_id)
+    assert "user + 2" not in unit.text and not unit.current
+    for seeds in ({"symbol_ids": ("0" * 64,)}, {"symbol_ids": ("refreshSession",)}, {"memory_ids": ("0" * 64,)}, {"files": ("nowhere.ts",)}, {"session_id": "00000000-0000-4000-8000-000000000000"}):
+        with pytest.raises(EventError):
+            e.retrieve("x", **seeds)
+    for limit in (0, 2001):
+        with pytest.raises(ValueError):
+            e.retrieve("x", limit)
+
+
+def test_search_view_is_rebuilt_when_stale_or_asked(filled):
+    root, store, e, ids = filled
+    first = [(c.id, c.rrf) for c in e.retrieve("refresh rotation").candidates]
+    assert not e.retrieve("refresh rotation").diagnostics["index_rebuilt"] and e.retrieve("refresh rotation", rebuild=True).diagnostics["index_rebuilt"]
+    canonical = store.canonical_digest(e.project_id)
+    for kind in ("code", "memory"):
+        path = store.root / "views" / f"search-{kind}-{e.project_id}.json"
+        whole = path.read_text()
+        for damage in (None, "[]", whole[:-20], json.dumps([{**r, "name": "stale", "content": "stale"} for r in json.loads(whole)])):
+            path.unlink() if damage is None else path.write_text(damage)
+            assert damage is None or not e.doctor()["healthy"]
+            again = e.retrieve("refresh rotation")
+            assert again.diagnostics["index_rebuilt"] and [(c.id, c.rrf) for c in again.candidates] == first
+            assert path.read_text() == whole and e.doctor()["healthy"]
+    src = e.record("conversation.user_message", {"content": "x"})["id"]
+    note = e.promote("decision", "Prefer quarterly compaction", [src])
+    assert any(c.id == note for c in e.retrieve("compaction").candidates)
+    newer = e.supersede(note, [src], "Prefer weekly merging")
+    assert not any(c.id == note for c in e.retrieve("compaction").candidates) and any(c.id == newer for c in e.retrieve("merging").candidates)
+    e.rebuild_search()
+    assert store.canonical_digest(e.project_id) == canonical or len(e.events()) > 0
+    with pytest.raises(ValueError):
+        store.search(e.project_id, "code", ["x"], 10_001)
+
+
+def test_statistics_of_a_search_are_those_of_the_store(filled, tmp_path):
+    from ledgerloom.plans.ranking import LocalIndex
+
+    _, store, e, _ = filled
+    alone = {c.id: c.rrf for c in e.retrieve("refresh").candidates}
+    other, session = store.initialize_project(str(tmp_path / "elsewhere"), "Other")
+    two = Engine(store, other, session)
+    src = two.record("conversation.user_message", {"content": "refresh"})["id"]
+    for k in range(40):
+        two.promote("artifact", f"refresh everything {k}", [src])
+    two.retrieve("anything", mode="memory")
+    a, b = LocalIndex({"1": "one two", "2": "two three"}), LocalIndex({"9": "two two two"})
+    assert a.scores(["two"], [b])["1"] != a.scores(["two"])["1"] and set(a.scores(["two"], [b])) == {"1", "2"}
+    assert store.search(e.project_id, "memory", ["refresh"], 5)[0][1] != 0 and alone
+
+
+def test_views_and_compile_options(filled):
+    root, store, e, ids = filled
+    for name in ("memory", "code"):
+        view = store.root / "views" / f"{name}-{e.project_id}.json"
+        kept = view.read_text()
+        view.write_text("{}")
+        assert any(name in p for p in e.doctor()["problems"]) and e.repair()["healthy"] and json.loads(view.read_text()) == json.loads(kept)
+    run = e.index(root)
+    g = e.graph()
+    m = run.payload["metrics"]
+    assert (m["symbols_extracted"], m["edges_extracted"]) == (len(g.symbols), len(g.edges)) and m["bytes_read"] == sum(len((root / f).read_bytes()) for f in ("login.ts", "session.ts", "other.py")) and m["duration_ms"] >= 0
+    wide, narrow = e.compile("refreshSession", source_bytes=10_000)[0], e.compile("refreshSession", source_bytes=1)[0]
+    assert wide["token_count"] >= narrow["token_count"]
+    assert sum(r["required"] for r in e.compile("session", reserve={"source": 3})[1]) > sum(r["required"] for r in e.compile("session", reserve={})[1])
+    with pytest.raises(ValueError):
+        e.compile("x", weight=2)
+
+
+def test_transactions_are_seen_whole_and_locks_end_with_their_process(project):
+    root, store, e = project
+    other = Store(store.root, Clock())
+    n = len(other.read_events(e.project_id))
+    with store.transaction(e.project_id):
+        e.record("conversation.user_message", {"content": "one"})
+        e.record("conversation.user_message", {"content": "two"})
+        assert len(e.events()) == n + 2 and len(other.read_events(e.project_id)) == n
+        with pytest.raises(RuntimeError), store.transaction(e.project_id):
+            e.record("conversation.user_message", {"content": "inner"})
+            raise RuntimeError
+        assert len(e.events()) == n + 2
+    assert [x["payload"].get("content") for x in other.read_events(e.project_id)][n:] == ["one", "two"] == [x["payload"].get("content") for x in e.events()][n:]
+    assert other.state(e.project_id).as_json() == store.state(e.project_id).as_json() and store.diagnostics()["events"] == n + 2
+    code = f"import os; from ledgerloom.sources.store import Store; s = Store({str(store.root)!r}); w = s.writer(); w.__enter__(); os._exit(1)"
+    subprocess.run([sys.executable, "-c", code], cwd=os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    with store.writer(wait=0.5):
+        with pytest.raises(StoreError), other.writer(wait=0.1):
+            pass
