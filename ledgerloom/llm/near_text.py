@@ -158,45 +158,79 @@ def _similar(threshold: float):
     return scan
 
 
+#: Rows of a batch of shingles, and 64-bit words of a sketch.
+ROWS_A_BATCH, SKETCH = 1 << 16, 8
+
+
+def sketches(doc: np.ndarray, h: np.ndarray, n_docs: int) -> np.ndarray:
+    """(n_docs x SKETCH) words: each bit is the parity of the shingles that a hash sends to it.
+
+    Where two sketches differ, the texts differ in a shingle of their own, so
+    they differ in at least as many shingles as bits.
+    """
+    out = np.zeros((n_docs, SKETCH), np.uint64)
+    bit = remix(h ^ np.uint64(0x51ED270B9F1D6E25))
+    np.bitwise_xor.at(out, (doc, (bit % np.uint64(SKETCH)).astype(np.int64)), np.uint64(1) << (bit >> np.uint64(58)))
+    return out
+
+
 def _shares(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(node, h, share): each distinct shingle of a text, with its share of the text's weight."""
+    """(node, weight, sketch, h, share): the distinct shingles of a text, each with its share of the text's weight, in lists of bounded length."""
     rolling = Rolling(SHINGLE, 0xC2B2AE3D27D4EB4F)
     for batch, texts in slices(batches, "text"):
         node = np.asarray(batch.column("node"))
         doc, h, w = shingle_weights(texts, rolling)
-        share = w / np.bincount(doc, w, len(texts))[doc] if len(h) else w
-        for lo in range(0, len(h), ROWS_A_BATCH):
-            at = slice(lo, lo + ROWS_A_BATCH)
-            yield pa.RecordBatch.from_arrays([pa.array(node[doc[at]]), pa.array(h[at].view(np.int64)), pa.array(share[at])], names=["node", "h", "share"])
-
-
-ROWS_A_BATCH = 1 << 16
+        total = np.bincount(doc, w, len(texts)) if len(h) else np.zeros(len(texts))
+        sketch = sketches(doc, h, len(texts)).view(np.int64)
+        share = w / total[doc] if len(h) else w
+        at = np.flatnonzero(np.concatenate([[len(h) > 0], doc[1:] != doc[:-1]])) if len(h) else np.zeros(0, np.int64)
+        cuts = np.concatenate([np.arange(lo, hi, ROWS_A_BATCH) for lo, hi in zip(at, [*at[1:], len(h)], strict=True)]) if len(h) else at
+        offsets = pa.array(np.concatenate([cuts, [len(h)]]), pa.int32())
+        of = doc[cuts] if len(h) else cuts
+        columns = [node[of], total[of], pa.ListArray.from_arrays(pa.array(np.arange(len(of) + 1, dtype=np.int32) * SKETCH), pa.array(sketch[of].ravel())), pa.ListArray.from_arrays(offsets, pa.array(h.view(np.int64))), pa.ListArray.from_arrays(offsets, pa.array(share))]
+        yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c) for c in columns], names=["node", "weight", "sketch", "h", "share"])
 
 
 def across_classes(nodes: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
     """Pairs (a, b) of nodes of different classes that can be similar, and all that are; nodes has node and class, texts node and text.
 
-    A prefix-filtered join.  What two similar texts share has at least the
-    threshold of the weight of either, as each term of the probability Jaccard
-    is at most the shingle's share in either.  So with the shingles of every
-    text in order of rarity, the first one that they share stands, in both,
-    where that much weight is still to come: among the rarest ones, whose
-    shares add up to 1 - threshold before it.  Shingles that many texts have
-    come last and bring few candidates; those of one class bring none, and of
-    the others the largest class of a shingle is not compared with itself.
+    A prefix-filtered join.  With S and T the shares that what two texts have in
+    common has of either's weight, their probability Jaccard is at most
+    1 / (1/S + 1/T - 1): each of its terms is at most 1 / (1/p + (1-T)/q) with
+    the shingle's shares p and q, and such sums are largest where they are one
+    term.  Shingles stand in order of rarity; if a share of x comes before the
+    first common one, then S <= 1 - x.  So in both texts a common shingle stands
+    among the rarest ones that add up to 1 - threshold, in one of them among
+    those that add up to (1 - threshold) / (1 + threshold), and the two places
+    together must allow the threshold.  Every shingle weighs 1 at least, so where
+    texts differ in d shingles, S + T <= 2 - d / w with the greater weight w, and
+    the bound is largest for S = T: d <= 2 * w * (1 - threshold) / (1 + threshold).
+    Sketches tell a least d.
+    Shingles that many texts have come last and bring few candidates; those of
+    one class bring none.
     """
-    shares = materialize(nodes.select("node").join(texts, "node").mapInArrow(_shares, "node long, h long, share double"), "shingles")
-    df = shares.groupBy("h").agg(F.count("*").alias("df"))
+    lists = materialize(nodes.select("node").join(texts, "node").mapInArrow(_shares, "node long, weight double, sketch array<long>, h array<long>, share array<double>"), "shingles")
+    shares = lists.select("node", F.explode(F.arrays_zip("h", "share")).alias("x")).select("node", "x.h", "x.share")
+    df = shares.groupBy("h").agg(F.count("*").alias("df")).where("df > 1")
+    wide, narrow = 1 - threshold + ROUNDING, (1 - threshold) / (1 + threshold) + ROUNDING
     order = Window.partitionBy("node").orderBy("df", "h").rowsBetween(Window.unboundedPreceding, -1)
-    before = F.coalesce(F.sum("share").over(order), F.lit(0.0))
-    prefix = shares.join(df, "h").withColumn("before", before).where(F.col("before") <= 1 - threshold + ROUNDING)
-    prefix = materialize(prefix.select("node", "h").join(nodes, "node").select("h", "node", "class"), "prefixes")
-    by_class = prefix.groupBy("h", "class").agg(F.count("*").alias("n")).groupBy("h").agg(F.count("*").alias("classes"), F.max(F.struct("n", "class"))["class"].alias("largest"))
-    several = prefix.join(by_class.where("classes > 1").select("h", "largest"), "h")
-    x, y = several.where("class <> largest").alias("x"), several.alias("y")
-    once = (F.col("y.class") == F.col("y.largest")) | (F.col("x.node") < F.col("y.node"))
-    across = x.join(y, (F.col("x.h") == F.col("y.h")) & (F.col("x.class") != F.col("y.class")) & once)
-    return across.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
+    # shingles of one text alone come first, and are no more than a sum
+    common = shares.join(df, "h").withColumn("after", F.sum("share").over(Window.partitionBy("node"))).withColumn("before", 1 - F.col("after") + F.coalesce(F.sum("share").over(order), F.lit(0.0)))
+    words = [F.get("sketch", F.lit(k)).alias(f"s{k}") for k in range(SKETCH)]
+    slim = lists.select("node", "weight", *words).distinct().join(nodes, "node")
+    prefix = materialize(common.where(F.col("before") <= wide).select("node", "h", "before").join(slim, "node"), "prefixes")
+    by_class = prefix.groupBy("h", "class").agg(F.count("*").alias("n"), F.min("before").alias("least")).groupBy("h")
+    by_class = by_class.agg(F.count("*").alias("classes"), F.max(F.struct("n", "class"))["class"].alias("largest"), F.min("least").alias("least"))
+    several = prefix.join(by_class.where((F.col("classes") > 1) & (F.col("least") <= narrow)).select("h", "largest"), "h")
+    main = F.col("class") == F.col("largest")
+    x, y = F.col("x.before"), F.col("y.before")
+    differ = sum((F.bit_count(F.col(f"x.s{k}").bitwiseXOR(F.col(f"y.s{k}"))) for k in range(1, SKETCH)), F.bit_count(F.col("x.s0").bitwiseXOR(F.col("y.s0"))))
+    fits = (F.col("x.h") == F.col("y.h")) & (F.least(x, y) <= narrow) & (1 / (1 - x) + 1 / (1 - y) <= 1 + 1 / threshold + ROUNDING) & (differ <= 2 * narrow * F.greatest("x.weight", "y.weight"))
+    # the largest class of a shingle meets the others, not itself
+    others, mains = several.where(~main).alias("x"), several.where(main).alias("y")
+    found = [others.join(mains, fits), others.join(several.where(~main).alias("y"), fits & (F.col("x.class") < F.col("y.class")))]
+    pairs = [p.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")) for p in found]
+    return pairs[0].unionByName(pairs[1]).distinct()
 
 
 def near_classes(texts: DataFrame, threshold: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS) -> DataFrame:

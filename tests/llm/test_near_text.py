@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from ledgerloom.llm import common
 from ledgerloom.llm.common import Rolling, unique_key
 from ledgerloom.llm.linking import components
-from ledgerloom.llm.near_text import across_classes, is_similar, keep_one, near_duplicates, probability_jaccard, shingle_weights, signatures
+from ledgerloom.llm.near_text import across_classes, is_similar, keep_one, near_duplicates, probability_jaccard, shingle_weights, signatures, sketches
 from tests.llm.conftest import odd_rows
 
 
@@ -155,10 +155,23 @@ def test_prefixes_find_every_pair_across_classes(spark, words):
     of_class = spark.createDataFrame([(k, 1000 + c) for k, c in enumerate(classes)], "node long, class long")
     got = {(r.a, r.b) for r in across_classes(of_class, spark.createDataFrame(list(enumerate(nodes)), "node long, text string"), 0.8).collect()}
     assert want and want <= got and all(classes[i] != classes[j] for i, j in got)
+    by = [(set(k), len(k), sum(k.values())) for k in sets]
+    assert all(len(by[i][0] ^ by[j][0]) * 0.6 <= 0.25 * max(by[i][2], by[j][2]) for i, j in got)  # few that are far apart
     shared = [k for k, t in enumerate(nodes) if t.startswith(" ".join(passage))]
     assert not got & {(i, j) for i in shared for j in shared}
 
 
+def test_sketches_never_tell_more_than_texts_differ():
+    rng = np.random.default_rng(6)
+    for n in (3, 40, 300, 5000):
+        a = rng.integers(0, 2**63, n, dtype=np.uint64)
+        b = np.concatenate([a[n // 7 :], rng.integers(0, 2**63, n // 5, dtype=np.uint64)])
+        doc, h = np.repeat([0, 1], [len(a), len(b)]), np.concatenate([a, b])
+        x, y = sketches(doc, h, 2)
+        bits = sum(int(v).bit_count() for v in (x ^ y).tolist())
+        assert bits <= len(set(a.tolist()) ^ set(b.tolist())) and (n < 40 or bits > 0)
+
+
 def test_texts_whose_hashes_clash_stay_apart(docs, spark, monkeypatch):
     rows = spark.createDataFrame([("a",), ("b",), ("a",), (None,)], "t string")
     real = F.xxhash64
