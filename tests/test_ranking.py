@@ -1,6 +1,7 @@
 import math
 import random
 import sqlite3
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -10,6 +11,7 @@ from ledgerloom.operators import graph, packing, search
 from ledgerloom.operators.graph import Edge, GraphConfig, bounded_bfs, personalized_pagerank
 from ledgerloom.operators.packing import Unit, diversity_order, pack, similarity, source_window
 from ledgerloom.plans.ranking import LocalIndex, fuse
+from ledgerloom.session import shared_dir
 
 
 def unit(id_, text, relevance=0.5, **more):
@@ -48,6 +50,51 @@ def test_bounded_search_and_pagerank():
         GraphConfig(damping=1.0)
 
 
+def test_a_loop_counts_twice(spark):
+    loop = [Edge("1", "a", "a", "CALLS"), Edge("2", "a", "b", "CALLS")]
+    scores = personalized_pagerank(loop, ["a"])[0]
+    # a: 6 of its 9 to itself, 3 to b; b: all to a
+    a = (0.15 + 0.85) / (1 + 0.85 / 3)
+    assert scores == pytest.approx({"a": a, "b": 1 - a}, abs=1e-9)
+    e = spark.createDataFrame([("a", "a", "CALLS"), ("a", "b", "CALLS")], "src string, dst string, type string")
+    rounds = graph.pagerank_rounds(graph.ranking_steps(e), spark.createDataFrame([("a",)], "node string"), 120)
+    assert {r.node: r.score for r in rounds.collect()} == pytest.approx(scores, abs=1e-6)
+    back = graph.ranking_steps(e.unionByName(spark.createDataFrame([("a", "c", "RELATED_TO")], e.schema)), reverse=True)
+    assert sorted((r.src, r.dst, r.weight) for r in back.collect()) == [("a", "a", 3.0), ("b", "a", 3.0)]
+
+
+def test_channel_tables(spark):
+    rows = [(1, "post", "Ledger.post", "i1", "function"), (2, "Post", "other.Post", "i2", "variable"), (3, "post", "post", "i3", "module"), (4, "balance", "Ledger.balance", "i4", "method")]
+    df = spark.createDataFrame(rows, "k long, name string, qualified string, id string, kind string")
+
+    def named(text):
+        q = normalize_query(text)
+        found = search.exact(df, q.phrase, q.words, [F.col("name"), F.col("qualified")], [F.col("id")], F.col("kind").isin("function", "method"), F.col("kind") == "module")
+        return sorted(r.k for r in found.collect())
+
+    assert named("post") == [1, 2] and named("i3") == [3] and named("why does Ledger.balance call post") == [1, 4] and named("ledger.post") == [1] and named("nothing") == []
+    files = spark.createDataFrame([("src/Ledger.ts",), ("Ledger.ts",), ("x",)], "path string")
+    assert sorted((r.path, r.whole) for r in search.containing_path(files, "path", "ledger.ts").collect()) == [("Ledger.ts", True), ("src/Ledger.ts", False)]
+    assert search.containing_path(files, "path", "src\\ledger").count() == 1 and search.containing_path(files, "path", "see ledger.ts").count() == 0
+    notes = spark.createDataFrame([(k, kind, k % 3, k != 5) for k, kind in enumerate(["question", "goal", "task", "artifact", "decision", "goal", "goal", "blocker", "action"])], "id long, kind string, since long, open boolean")
+    got = search.project_state(notes, "kind", "since", "id", F.col("open"), 5)
+    assert [r.id for r in got.collect()] == [1, 6, 2, 7, 4]
+
+
+def test_similarity_of_evidence_in_both_forms(spark):
+    rng = random.Random(12)
+    some = lambda n: tuple(f"{rng.randrange(n)}" for _ in range(rng.randrange(0, 4)))
+    units = []
+    for k in range(25):
+        start = rng.randrange(30)
+        units.append(unit(f"u{k:02}", " ".join(f"w{rng.randrange(6)}" for _ in range(rng.randrange(0, 5))), memory_ids=some(3), symbol_ids=some(4), event_ids=some(5), path=rng.choice([None, "p", "q"]), blob=rng.choice([None, "h", "g"]), start=start, end=start + rng.randrange(0, 20)))
+    schema = "id string, memory_ids array<string>, blob string, first long, last long, symbols array<string>, terms array<string>, events array<string>, path string"
+    df = spark.createDataFrame([(u.id, list(u.memory_ids), u.blob, u.start, u.end, list(u.symbol_ids), sorted(u.terms), list(u.event_ids), u.path) for u in units], schema)
+    pairs = df.select(F.struct("*").alias("a")).crossJoin(df.select(F.struct("*").alias("b"))).select("a.id", F.col("b.id").alias("other"), search.evidence_similarity("a", "b").alias("s"))
+    by = {u.id: u for u in units}
+    assert all(r.s == pytest.approx(similarity(by[r.id], by[r.other])) for r in pairs.collect())
+
+
 def test_graph_tables(spark):
     e = spark.createDataFrame([("a", "b", "CALLS", "1"), ("b", "c", "CALLS", "2"), ("a", "c", "IMPORTS", "3"), ("c", "d", "CALLS", "4")], "src string, dst string, type string, id string")
     seeds = spark.createDataFrame([("a",)], "node string")
@@ -122,8 +169,22 @@ def test_bm25_matches_a_search_engine(spark):
     df = spark.createDataFrame(docs, "id long, body string")
     got = {r.doc_id: r.score for r in search.bm25(df, "id", "body", terms).collect()}
     assert got == pytest.approx(want, abs=1e-9)
-    stored = search.bm25_of_index(search.postings(df, "id", "body"), search.document_lengths(df, "id", "body"), terms)
-    assert {r.doc_id: r.score for r in stored.collect()} == pytest.approx(want, abs=1e-9)
+    path = f"{shared_dir(spark)}/index-test-{rng.random()}"
+    assert search.open_index(spark, path) is None and search.ensure_index(df, "id", "body", path, parts=4, spread=2)
+    index = search.open_index(spark, path)
+    assert {r.doc_id: r.score for r in index.bm25([*terms, "w1"]).collect()} == pytest.approx(want, abs=1e-9) and index.bm25([]).count() == 0
+    assert {r.doc_id: r.n for r in index.overlap(terms).collect()} == {k: n for k, t in docs if (n := len(set(terms) & set(t.split())))}
+    asked = index.of(["w1"])
+    assert "PartitionFilters: [" in (plan := asked._jdf.queryExecution().toString()) and "term" in plan and {r.part for r in asked.select("part").distinct().collect()} < set(range(4))
+    # the same documents in another order need no new version; others do, and so does force
+    assert not search.ensure_index(df.orderBy(F.col("id").desc()), "id", "body", path) and search.ensure_index(df, "id", "body", path, force=True)
+    fewer = df.where("id < 200")
+    assert search.ensure_index(fewer, "id", "body", path)
+    newest = search.open_index(spark, path)
+    assert newest.documents == 200 and {r.doc_id: r.score for r in newest.bm25(terms).collect()} == pytest.approx({r.doc_id: r.score for r in search.bm25(fewer, "id", "body", terms).collect()}, abs=1e-9)
+    assert {r.doc_id: r.score for r in index.bm25(terms).collect()} == pytest.approx(want, abs=1e-9)  # a version stays as it was
+    counts = {(r.doc_id, r.term): r.tf for r in search.postings(df, "id", "body").collect()}
+    assert counts == {(k, w): n for k, t in docs for w, n in Counter(t.split()).items()}
     assert LocalIndex(dict(docs)).scores(terms) == pytest.approx(want, abs=1e-9)
     assert search.bm25(df, "id", "body", []).count() == 0
 
@@ -134,4 +195,6 @@ def test_similar_pairs_match_brute_force(spark):
     want = {(a, b) for a, x in docs for b, y in docs if a < b and len(set(x) & set(y)) / len(set(x) | set(y)) >= 0.5}
     got = search.similar_pairs(spark.createDataFrame(docs, "id long, t array<string>"), "id", "t", 0.5).collect()
     assert {(r.a, r.b) for r in got} == want
+    edge = [(1, [f"x{k}" for k in range(25)]), (2, [f"x{k}" for k in range(18, 25)])]  # exactly 7 of 25, and 0.28 * 25 > 7 in floating point
+    assert [(r.a, r.b) for r in search.similar_pairs(spark.createDataFrame(edge, "id long, t array<string>"), "id", "t", 0.28).collect()] == [(1, 2)]
     assert packing.utility(0, 0) == 0.001 and math.isclose(packing.utility(1, 4), 0.5)
