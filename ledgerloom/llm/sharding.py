@@ -29,8 +29,8 @@ from pyspark.sql import functions as F
 from ledgerloom.llm.common import nested, scratch, table
 
 SHARDS, SEED, BUCKET_BYTES = 8, 20240607, 4 << 20
-#: Buckets of a group, and groups at most; beyond, groups have more buckets.
-BUCKETS_A_GROUP, GROUPS = 4, 50_000
+#: Groups at most; beyond, groups have more buckets. Groups of a task.
+GROUPS, GROUPS_A_TASK = 50_000, 4
 
 
 def _placed(shared, seed: int):
@@ -62,12 +62,12 @@ def shuffle_to_shards(docs: DataFrame, path: str, shards: int = SHARDS, seed: in
     rows = nested(docs).withColumn("tie", F.xxhash64(F.lit(seed), "row.doc_id", "row.text"))
     total = rows.agg(F.coalesce(F.sum(F.coalesce(F.octet_length("row.text"), F.lit(0)) + 1), F.lit(0))).first()[0]
     buckets = max(1, math.ceil(total / bucket_bytes))
-    groups = min(math.ceil(buckets / BUCKETS_A_GROUP), groups)
+    groups = min(buckets, groups)
     rows = rows.withColumn("bucket", F.pmod("tie", F.lit(buckets))).withColumn("group", F.pmod("bucket", F.lit(groups)).cast("int"))
     counts = {r["group"]: r["count"] for r in rows.groupBy("group").count().collect()}  # one row a group
     first = np.concatenate([[0], np.cumsum([counts.get(g, 0) for g in range(groups)])]).astype(np.int64).tolist()
     n = first[-1]
-    scattered = rows.repartition(groups, "group").sortWithinPartitions("group", "bucket", "tie", "row.doc_id", F.xxhash64(F.lit(~seed), "row.text"))
+    scattered = rows.repartition(math.ceil(groups / GROUPS_A_TASK), "group").sortWithinPartitions("group", "bucket", "tie", "row.doc_id", F.xxhash64(F.lit(~seed), "row.text"))
     sized = scattered.select("row", "group", "bucket", F.count("*").over(Window.partitionBy("group", "bucket")).alias("n"))
     schema = rows.select("row", F.lit(0).cast("long").alias("place")).schema
     placed = sized.mapInArrow(_placed(spark.sparkContext.broadcast(first), seed), schema)

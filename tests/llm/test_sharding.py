@@ -50,7 +50,7 @@ def test_equals_a_shuffle_of_each_bucket(spark, docs, groups):
     buckets = collections.defaultdict(list)
     for d, t, other in sorted(hashed, key=lambda x: (x[1], x[0], x[2])):
         buckets[t % n].append(d)
-    used = min(math.ceil(n / 4), groups)
+    used = min(n, groups)
     order = []
     for group in range(used):
         for b in sorted(b for b in buckets if b % used == group):
