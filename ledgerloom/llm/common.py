@@ -51,12 +51,30 @@ def settings(spark: SparkSession, **values: str) -> Iterator[None]:
             spark.conf.set(k, v) if v is not None else spark.conf.unset(k)
 
 
-def materialize(df: DataFrame, what: str, files: int | None = None) -> DataFrame:
+#: Folders of the tables written within the innermost `temporary` block.
+_BLOCKS: list[list[str]] = []
+
+
+@contextmanager
+def temporary(spark: SparkSession) -> Iterator[None]:
+    """Tables that are materialized inside are deleted at the end, but for those to keep; nothing that is used later may read the others."""
+    _BLOCKS.append([])
+    try:
+        yield
+    finally:
+        for path in _BLOCKS.pop():
+            folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+            folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def materialize(df: DataFrame, what: str, files: int | None = None, keep: bool = False) -> DataFrame:
     """Write df to the shared folder and read it back: a cut of the lineage that outlives executors.
 
     Small results become few files; `files` is for results whose size is known.
     """
     path = scratch(df.sparkSession, what)
+    if _BLOCKS and not keep:
+        _BLOCKS[-1].append(path)
     with settings(df.sparkSession, spark__sql__adaptive__coalescePartitions__parallelismFirst="false"):
         (df if files is None else df.coalesce(files)).write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

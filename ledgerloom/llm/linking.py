@@ -56,12 +56,20 @@ def _stars(e: DataFrame) -> bool:
     return ends.groupBy("u").agg(F.sum("n").alias("n"), F.max("m").alias("m")).where("n > 1 or (n > 0 and m > 0)").count() == 0
 
 
-def bridged(first: DataFrame, more: DataFrame) -> DataFrame:
-    """Edges of the classes of first, and of the links (a, b) found since: such a link joins two representatives."""
-    to_class = first.select("node", "component")
+def merged(first: DataFrame, more: DataFrame) -> DataFrame:
+    """(node, component) of the classes of first, joined by the links (a, b) found since.
+
+    Only the links go through rounds, as edges between classes; a class is
+    named by its smallest node, and so is what they are joined to.
+    """
+    of_node = first.select("node", "component")
     for end in ("a", "b"):
-        more = more.join(to_class.withColumnRenamed("node", end), end, "left").withColumn(end, F.coalesce("component", end)).drop("component")
-    return first.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more.select("a", "b"))
+        more = more.join(of_node.withColumnRenamed("node", end), end, "left").withColumn(end, F.coalesce("component", end)).drop("component")
+    joined = components(more.select("a", "b"))
+    to = joined.select(F.col("node").alias("component"), F.col("component").alias("whole"))
+    kept = of_node.join(to, "component", "left").select("node", F.coalesce("whole", "component").alias("component"))
+    alone = joined.join(of_node.select("node"), "node", "left_anti")  # nodes that had no class of several
+    return kept.unionByName(alone.select("node", "component"))
 
 
 def link(buckets: DataFrame, verify: Callable[[DataFrame], DataFrame]) -> DataFrame:
@@ -77,4 +85,4 @@ def link(buckets: DataFrame, verify: Callable[[DataFrame], DataFrame]) -> DataFr
     across = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.c") != F.col("y.c")) & (~F.col("y.main") | (F.col("x.node") < F.col("y.node"))))
     rest = across.select(*_pair("x.node", "y.node")).distinct().join(stars, ["a", "b"], "left_anti")
     more = materialize(verify(rest), "links")
-    return components(bridged(first, more))
+    return merged(first, more)

@@ -24,8 +24,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.common import Rolling, materialize, nested, remix, slices, split_words, table, unique_key, word_hashes
-from ledgerloom.llm.linking import bridged, components, shared_buckets
+from ledgerloom.llm.common import Rolling, materialize, nested, remix, slices, split_words, table, temporary, unique_key, word_hashes
+from ledgerloom.llm.linking import components, merged, shared_buckets
 
 SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS = 25, 5
@@ -255,7 +255,7 @@ def near_classes(texts: DataFrame, threshold: float = SIMILARITY, bands: int = B
     classed = shared.join(first, "node", "left").select("key", "node", F.coalesce("component", "node").alias("class"))
     mixed = classed.groupBy("key").agg(F.min("class").alias("low"), F.max("class").alias("top")).where("low < top").select("key")
     open_ = materialize(classed.join(mixed, "key", "left_semi").select("node", "class").distinct(), "open")
-    return components(bridged(first, verified(across_classes(open_, once, threshold))))
+    return merged(first, verified(across_classes(open_, once, threshold)))
 
 
 def has_words() -> Column:
@@ -272,16 +272,21 @@ def near_duplicates(docs: DataFrame, threshold: float = SIMILARITY) -> DataFrame
     key = unique_key(rows.where(worded), F.col("row.text"))
     rows = rows.withColumn("node", F.when(worded, key).otherwise(F.xxhash64(F.lit("no words"), "row.doc_id")))
     texts = rows.where(worded).select("node", F.col("row.text").alias("text"))
-    classes = near_classes(texts, threshold)
-    least = rows.groupBy("node", "doc").agg(F.count("*").alias("ties")).groupBy("node").agg(F.min(F.struct("doc", "ties")).alias("least")).select("node", "least.*")
-    named = materialize(least.join(classes, "node", "left").withColumn("component", F.coalesce("component", "node")), "nodes")
-    heads = named.groupBy("component").agg(F.min(F.struct("doc", "node", "ties")).alias("head"))
-    of_node = materialize(named.join(heads, "component").select(F.col("node").alias("node_"), "head"), "classes")
+    with temporary(docs.sparkSession):
+        of_node = _heads(rows, near_classes(texts, threshold))
     out = rows.join(of_node, F.col("node") == F.col("node_"))
     kept = (F.col("node") == F.col("head.node")) & (F.col("doc") == F.col("head.doc"))
     return out.select("row", "node", F.when(F.col("head.doc") != NO_ID, F.col("head.doc")).alias("class_id"), kept.alias("kept"), F.col("head.ties").alias("ties"))
 
 
+def _heads(rows: DataFrame, classes: DataFrame) -> DataFrame:
+    """(node_, head): the document that stands for the class of each node."""
+    least = rows.groupBy("node", "doc").agg(F.count("*").alias("ties")).groupBy("node").agg(F.min(F.struct("doc", "ties")).alias("least")).select("node", "least.*")
+    named = materialize(least.join(classes, "node", "left").withColumn("component", F.coalesce("component", "node")), "nodes")
+    heads = named.groupBy("component").agg(F.min(F.struct("doc", "node", "ties")).alias("head"))
+    return materialize(named.join(heads, "component").select(F.col("node").alias("node_"), "head"), "classes", keep=True)
+
+
 def keep_one(found: DataFrame) -> DataFrame:
     """The `row` of one document of each class; only rows that occur again are brought together, and rows without words all stay."""
     kept = found.where("kept")

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.common import materialize, remix, table, unique_key
+from ledgerloom.llm.common import materialize, remix, table, temporary, unique_key
 from ledgerloom.llm.linking import link
 
 COSINE, TABLES, PROBES, SEED = 0.95, 12, 8, 7
@@ -160,8 +160,15 @@ def near_vectors(vectors: DataFrame, cosine: float = COSINE, tables: int = TABLE
     fine = F.col("v").isNotNull() & ~F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) & F.exists("v", lambda x: x != 0)
     rows = vectors.select("vec_id", "embedding", v.alias("v")).withColumn("fine", F.coalesce(fine, F.lit(False)))
     rows = rows.withColumn("node", F.when(F.col("fine"), unique_key(rows.where("fine"), "v")))
-    good = rows.where("fine")
     ids = materialize(rows.select("vec_id", "node"), "vector-ids")
+    with temporary(vectors.sparkSession):
+        result = _node_links(rows.where("fine"), ids, cosine, tables, probes)
+    out = ids.join(result, "node", "left").select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"))
+    return out.withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
+
+
+def _node_links(good: DataFrame, ids: DataFrame, cosine: float, tables: int, probes: int) -> DataFrame:
+    """(node, n_links, component_id) of distinct vectors."""
     nodes = materialize(ids.where("node is not null").groupBy("node").agg(F.count("*").alias("copies"), F.min("vec_id").alias("least")), "nodes")
     n = nodes.count()
     once = good.select("node", "v").dropDuplicates(["node"])
@@ -183,9 +190,8 @@ def near_vectors(vectors: DataFrame, cosine: float = COSINE, tables: int = TABLE
     grid = placed.select("component", "node", "copies", "v", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), F.when(F.col("block") <= F.col("other"), 0).otherwise(1).alias("side"))
     counted = grid.groupBy("component", "i", "j").applyInArrow(_count_block(cosine), "node long, links long").groupBy("node").agg(F.sum("links").alias("links"))
     result = nodes.join(found.join(sizes.select("component", "component_id"), "component").select("node", "component_id"), "node", "left").join(counted, "node", "left")
-    result = materialize(result.select("node", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component_id", "least").alias("component_id")), "vector-links")
-    out = ids.join(result, "node", "left").select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"))
-    return out.withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
+    result = result.select("node", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component_id", "least").alias("component_id"))
+    return materialize(result, "vector-links", keep=True)
 
 
 def op4_near_vectors(spark, sf_dir: str) -> DataFrame:

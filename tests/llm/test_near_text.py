@@ -178,3 +178,9 @@ def test_texts_whose_hashes_clash_stay_apart(docs, spark, monkeypatch):
     monkeypatch.setattr(common.F, "xxhash64", lambda *parts: F.lit(7).cast("long") if len(parts) == 1 else real(*parts))
     keys = [r.k for r in rows.select("t", unique_key(rows, F.col("t")).alias("k")).orderBy("t").collect()]
     assert keys[1] == keys[2] and len(set(keys)) == 3
+
+
+def test_intermediate_tables_are_deleted(docs, spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(common, "shared_dir", lambda _: str(tmp_path))
+    found = near_duplicates(docs([(k, f"w{k} " + "the same words again and again " * 9) for k in range(30)]))
+    assert [x.name.split("-")[0] for x in tmp_path.iterdir() if x.is_dir()] == ["classes"] and keep_one(found).count() == 1

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tests.llm.test_decontaminate import brute as hit_words
+from tests.llm.conftest import CLASH, odd_rows
 from tests.llm.test_near_text import brute as classes
 
 
@@ -74,3 +75,59 @@ def test_empty_documents(spark, folder, tmp_path):
     for t in ("documents", "labels", "benchmark"):
         spark.read.parquet(f"{d}/{t}.parquet").where(F.lit(False) if t == "documents" else F.lit(True)).write.parquet(f"{tmp_path}/{t}.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_clashing_columns_repeated_rows_and_long_texts(spark, folder, tmp_path):
+    d, docs, *_ = folder
+    long = " ".join(f"c{k % 2999}" for k in range(60_000))
+    rows = [r[:4] for r in docs[:60]] + [docs[1][:4]] * 3 + [(500, long, "en", "src1"), (500, long, "en", "src1"), (501, None, None, None), (501, None, None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").select("*", *[F.lit(f"own {c}").alias(c) for c in CLASH], F.lit("own").alias("PLACE_"))
+    df.write.parquet(f"{tmp_path}/documents.parquet")
+    for t in ("labels", "benchmark"):
+        spark.read.parquet(f"{d}/{t}.parquet").write.parquet(f"{tmp_path}/{t}.parquet")
+    out = corpus_pipeline.run(spark, str(tmp_path))
+    assert out.columns == [*df.columns, "place__"] and {r.place for r in out.collect()} == {"own place"}
+    ids = collections.Counter(r.doc_id for r in out.collect())
+    assert set(ids) <= {r[0] for r in rows} and 0 not in ids and ids[501] <= 2 * 3
+
+
+@pytest.mark.parametrize("empty", ["labels", "benchmark"])
+def test_empty_tables_beside_documents(spark, folder, tmp_path, empty):
+    d, docs, *_ = folder
+    odd = odd_rows()
+    spark.createDataFrame(odd, "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    for t in ("labels", "benchmark"):
+        spark.read.parquet(f"{d}/{t}.parquet").where(F.lit(t != empty)).write.parquet(f"{tmp_path}/{t}.parquet")
+    got = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert {r.doc_id for r in got} <= {r[0] for r in odd} and len(got) > 0
+
+
+def test_mixing_by_a_brute_force_version(spark, folder):
+    """Documents in order of their hash, as often as the target of their source allows."""
+    d, docs, *_ = folder
+    from ledgerloom.llm.mixing import doc_hash, mix
+
+    df = spark.createDataFrame([r[:4] for r in docs], "doc_id long, text string, lang string, source string")
+    hashes = {r.doc_id: r.h for r in df.select("doc_id", doc_hash(F.col("doc_id"), F.col("text")).alias("h")).collect()}
+    size = {r[0]: len((r[1] or "").split()) for r in docs}
+    sources = sorted({r[3] for r in docs if r[3] is not None}) + [None]
+    total = {s: sum(size[r[0]] for r in docs if r[3] == s) for s in sources}
+    weight = {s: (5, 2, 1)[k % 3] for k, s in enumerate(sources)}
+    target, everything, open_ = dict.fromkeys(sources, 0.0), sum(total.values()), set(sources)
+    while open_:  # fill by weight; whoever is full stops there, and the rest goes on
+        rest = everything - sum(target[s] for s in sources if s not in open_)
+        level = rest / sum(weight[s] for s in open_)
+        full = {s for s in open_ if weight[s] * level >= 3 * total[s]}
+        for s in full or open_:
+            target[s] = min(3.0 * total[s], weight[s] * level)
+        open_ = open_ - full if full else set()
+    want = {}
+    for s in sources:
+        base = int(target[s] // total[s]) if total[s] else 0
+        left = target[s] - base * total[s]
+        for i in sorted((r[0] for r in docs if r[3] == s), key=hashes.get):
+            take = size[i] <= left or 2 * left >= size[i]
+            want[i] = base + (take and left >= 0 and total[s] > 0)
+            left = left - size[i] if size[i] <= left else -1
+    got = {r.d: r.copies for r in mix(df).select(F.col("row.doc_id").alias("d"), "copies").collect()}
+    assert {k: v for k, v in got.items() if size[k]} == {k: v for k, v in want.items() if size[k]}
