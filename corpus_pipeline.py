@@ -53,7 +53,8 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
     ("sharding", shard),
 ]
 
-#: The classifier and the random order are beyond SQL; tests hold every stage against a brute-force version.
+#: The classifier and the random order are beyond SQL.  Tests hold near_dedup, decontamination, mixing and sharding
+#: against brute-force versions, and toxicity against planted labels.
 ORACLE_SQL = None
 
 
