@@ -13,7 +13,8 @@ from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
 
 from ledgerloom.functions.canonical import canonical_json, tagged_id
 from ledgerloom.operators.extract import Diagnostic, Extracted, Import, Relationship, Span, Symbol, from_json
@@ -305,6 +306,12 @@ def audit(g: CodeGraph) -> dict[str, object]:
     return {"total": len(open_), "counts": {c: counts.get(c, 0) for c in CATEGORIES}, "diagnostics": list(zip(open_, kinds, strict=True))}
 
 
+def overloads(symbols: DataFrame, identity: list[str], order: str) -> DataFrame:
+    """Symbols with n_same (symbols of the same identity) and ordinal (the place among them, from 0)."""
+    same = Window.partitionBy(*identity)
+    return symbols.withColumn("n_same", F.count("*").over(same)).withColumn("ordinal", (F.row_number().over(same.orderBy(order)) - 1).cast("long"))
+
+
 SYMBOLS = "project_id string, id string, version_id string, path string, kind string, name string, qualified string, exported boolean, start long, end long"
 EDGES = "project_id string, id string, source string, target string, kind string, resolution string, path string, start long, end long"
 

@@ -110,6 +110,12 @@ def diff_snapshots(previous: DataFrame, current: DataFrame, key: str, identity:
     return p.join(c, F.col("_p") == F.col("_c"), "full_outer").select(F.coalesce("_c", "_p").alias(key), state.alias("state"))
 
 
+def run_counters(log: DataFrame, run: str, state: str) -> DataFrame:
+    """Per run: seen, changed (added too), deleted and unchanged (reused) of rows with such a state."""
+    counts = {"changed": F.count_if(F.col(state).isin("changed", "added")), "deleted": F.count_if(F.col(state) == "deleted"), "unchanged": F.count_if(F.col(state) == "reused")}
+    return log.groupBy(run).agg(F.count("*").alias("seen"), *[c.alias(n) for n, c in counts.items()])
+
+
 def histogram(rows: DataFrame, category: str, categories: Sequence[str]) -> DataFrame:
     """Counts of all categories, also of those without rows."""
     spark = rows.sparkSession

@@ -8,7 +8,7 @@ from dataclasses import dataclass, field, replace
 from typing import Any
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerloom.functions.canonical import MAX_SAFE, tagged_id
@@ -175,6 +175,18 @@ def handoff(state: ProjectState, memory: Memory, events: list[Mapping[str, Any]]
     }
 
 
+def handoff_group(kind: Column, status: Column, open_: Column) -> Column:
+    """The group of a handoff that a memory goes to; what is closed, or of no group, is history."""
+    groups = {
+        "goals": kind == "goal", "active_tasks": (kind == "task") & status.isin("active", "in_progress"), "completed_tasks": (kind == "task") & (status == "completed"), "decisions": (kind == "decision") & (status == "active"),
+        "constraints": (kind == "constraint") & (status == "active"), "blockers": (kind == "blocker") & (status == "active"), "open_questions": (kind == "question") & (status == "active"), "actions": kind == "action", "recent_results": kind == "result", "artifacts": kind == "artifact",
+    }
+    found = F.when(~open_, "history")
+    for name, fits in groups.items():
+        found = found.when(fits, name)
+    return found.otherwise("history")
+
+
 ENTITIES = "project_id string, id string, entity_type string, content string, status string, valid_from long, valid_to long, superseded_by string, source_event_ids array<string>"
 
 

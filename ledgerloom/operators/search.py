@@ -18,14 +18,19 @@ EDGE = 1e-9
 
 
 def _counted(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """(doc_id, dl, terms): length and counted terms of each document; a sort within each document, no shuffle."""
-    out = docs.select(F.col(doc_id).alias("doc_id"), F.array_sort(search_tokens(F.coalesce(F.col(text), F.lit("")))).alias("sorted"))
-    new = lambda i: (i == 1) | (F.get("sorted", i - 1) != F.get("sorted", i - 2))
-    begins = F.when(F.size("sorted") > 0, F.filter(F.sequence(F.lit(1), F.size("sorted")), new)).otherwise(F.array().cast("array<int>"))
-    out = out.withColumn("begins", begins)
-    end = lambda k: F.coalesce(F.get("begins", k + 1), F.size("sorted") + 1)
-    terms = F.transform("begins", lambda i, k: F.struct(F.get("sorted", i - 1).alias("term"), (end(k) - i).cast("long").alias("tf")))
-    return out.select("doc_id", F.size("sorted").cast("long").alias("dl"), terms.alias("terms"))
+    """(doc_id, dl, terms): length and counted terms of each document; a sort within each document, no shuffle.
+
+    Lambdas over one-element arrays bind what is used more than once, so it is made once a document.
+    """
+
+    def counted(sorted_: Column) -> Column:
+        begins = F.filter(F.sequence(F.lit(1), F.size(sorted_)), lambda i: (i == 1) | (F.get(sorted_, i - 1) != F.get(sorted_, i - 2)))
+        end = lambda b, k: F.coalesce(F.get(b, k + 1), F.size(sorted_) + 1)
+        return F.transform(F.array(begins), lambda b: F.transform(b, lambda i, k: F.struct(F.get(sorted_, i - 1).alias("term"), (end(b, k) - i).cast("long").alias("tf"))))[0]
+
+    tokens = search_tokens(F.coalesce(F.col(text), F.lit("")))
+    one = F.transform(F.array(F.sort_array(tokens)), lambda t: F.struct(F.size(t).cast("long").alias("dl"), F.when(F.size(t) > 0, counted(t)).alias("terms")))[0]
+    return docs.select(F.col(doc_id).alias("doc_id"), one.alias("one")).select("doc_id", "one.dl", "one.terms")
 
 
 def postings(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
@@ -203,12 +208,17 @@ def reciprocal_rank_fusion(lists: DataFrame, k: float = 60.0) -> DataFrame:
 
 
 def with_priority(fused: DataFrame) -> DataFrame:
-    """Tiers: 0 explicit, 1 exact or exact path, 2 reached by impact, 3 the rest; relevance 1 in the first two, else rrf / max."""
+    """Tiers: 0 explicit, 1 exact or a whole path, 2 reached by impact, 3 the rest."""
     channels = F.col("rankings.channel")
-    tier = F.when(F.array_contains(channels, "explicit"), 0).when(F.arrays_overlap(channels, F.array(F.lit("exact"), F.lit("path"))), 1).when(F.array_contains(channels, "reverse_impact"), 2).otherwise(3)
-    top_ = fused.agg(F.greatest(F.max("rrf"), F.lit(1e-12)).alias("top"))
-    out = fused.withColumn("priority", tier).crossJoin(F.broadcast(top_))  # one row
-    return out.withColumn("relevance", F.when(F.col("priority") < 2, 1.0).otherwise(F.col("rrf") / F.col("top"))).drop("top")
+    tier = F.when(F.array_contains(channels, "explicit"), 0).when(F.arrays_overlap(channels, F.array(F.lit("exact"), F.lit("whole_path"))), 1).when(F.array_contains(channels, "reverse_impact"), 2).otherwise(3)
+    return fused.withColumn("priority", tier)
+
+
+def candidates(fused: DataFrame, most: int) -> DataFrame:
+    """The first rows by tier, fused score and id, with their relevance: 1 in the first two tiers, else the share of the best score among them."""
+    first = top(with_priority(fused), most, "priority", F.col("rrf").desc(), "id")
+    best = F.greatest(F.max("rrf").over(Window.partitionBy()), F.lit(1e-12))  # a bounded list
+    return first.withColumn("relevance", F.when(F.col("priority") < 2, 1.0).otherwise(F.col("rrf") / best))
 
 
 def retrieval_metrics(ranking: DataFrame, required: DataFrame, group: str, k: int) -> DataFrame:

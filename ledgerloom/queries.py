@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom.functions import canonical as can
 from ledgerloom.functions import text as txt
-from ledgerloom.operators import codegraph, events, extract, graph, history, search
+from ledgerloom.operators import blobs, codegraph, events, extract, graph, history, memory, search
 from ledgerloom.plans import kernels, star
 from ledgerloom.session import shared_dir
 from ledgerloom.sources import archive
@@ -143,13 +143,20 @@ def provenance_closure(spark: SparkSession, d: str) -> DataFrame:
 @query("""
 SELECT sha256(text) AS content_hash, min(doc_id) AS first_id, count(*) AS n_puts, CAST(max(octet_length(encode(text))) AS BIGINT) AS byte_length FROM documents GROUP BY sha256(text)""")
 def blob_put_dedup(spark: SparkSession, d: str) -> DataFrame:
-    blobs = table(spark, d, "documents").select("doc_id", F.sha2("text", 256).alias("content_hash"), F.octet_length("text").cast("long").alias("n"))
-    return blobs.groupBy("content_hash").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n_puts"), F.max("n").alias("byte_length"))
+    return blobs.put(table(spark, d, "documents").select("doc_id", F.col("text").cast("binary").alias("content")), "doc_id", "content")
 
 
-@query("""SELECT doc_id, sha256(text) AS content_hash, length(text) = n_chars AS length_ok, CAST(octet_length(encode(text)) AS BIGINT) AS byte_length FROM documents""")
+@query("""
+SELECT doc_id, sha256(text) AS content_hash, CASE doc_id % 5 WHEN 1 THEN 'length' WHEN 2 THEN 'hash' WHEN 3 THEN 'missing' ELSE 'valid' END AS state FROM documents WHERE text IS NOT NULL AND length(text) > 0""")
 def blob_integrity(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").select("doc_id", F.sha2("text", 256).alias("content_hash"), (F.char_length("text") == F.col("n_chars")).alias("length_ok"), F.octet_length("text").cast("long").alias("byte_length"))
+    """Stored blobs of documents, of which some have another length, another content, or are gone."""
+    docs = table(spark, d, "documents").where("length(text) > 0").select("doc_id", F.col("text").cast("binary").alias("content"))
+    hash_, fault = F.sha2("content", 256), F.col("doc_id") % 5
+    wanted = docs.select("doc_id", hash_.alias("content_hash"))
+    stored = docs.where(fault != 3).select("doc_id", hash_.alias("content_hash"), (F.octet_length("content") + (fault == 1).cast("int")).cast("long").alias("byte_length"), F.when(fault == 2, F.concat(F.lit(b"x"), F.substring("content", 2, 1 << 30))).otherwise(F.col("content")).alias("content"))
+    # a first byte x would leave the content as it was
+    stored = stored.withColumn("content", F.when((fault == 2) & (F.sha2("content", 256) == F.col("content_hash")), F.concat(F.lit(b"y"), F.substring("content", 2, 1 << 30))).otherwise(F.col("content")))
+    return wanted.join(stored.select("doc_id", blobs.state("content", "content_hash", "byte_length").alias("state")), "doc_id", "left").select("doc_id", "content_hash", F.coalesce("state", F.lit("missing")).alias("state"))
 
 
 _ENVELOPE = """'{"created_at":"' || strftime(ts, '%Y-%m-%dT%H:%M:%S.') || lpad(CAST(CAST(floor(extract(microseconds FROM ts) / 1000) AS BIGINT) % 1000 AS VARCHAR), 3, '0') || 'Z","event_id":' || event_id || ',"event_type":"' || event_type || '","project_id":' || user_id || '}'"""
@@ -207,53 +214,83 @@ hits AS (SELECT doc_id, -sum(CASE WHEN ln((n_docs - df + 0.5) / (df + 0.5)) <= 0
 SINGLE, MULTI = ("reth",), ("reth", "inst", "anly", "sch", "que")
 
 
+def search_index(spark: SparkSession, d: str) -> search.SearchIndex:
+    """The stored index of documents, brought up to date."""
+    path = f"{shared_dir(spark)}/search-index-{can.sha256(d)[:16]}"
+    search.ensure_index(table(spark, d, "documents").select("doc_id", "text"), "doc_id", "text", path)
+    return search.open_index(spark, path)
+
+
 @query(f"WITH {_bm25_sql(SINGLE)} SELECT doc_id, round(score, 9) AS score FROM hits ORDER BY hits.score, doc_id LIMIT 20")
 def bm25_topk_single(spark: SparkSession, d: str) -> DataFrame:
+    """Without an index: one pass over the texts."""
     hits = search.bm25(table(spark, d, "documents"), "doc_id", "text", SINGLE)
     return search.top(hits, 20, "score", "doc_id").select("doc_id", F.round("score", 9).alias("score"))
 
 
 @query(f"WITH {_bm25_sql(MULTI)} SELECT doc_id, round(score, 9) AS score FROM hits ORDER BY hits.score, doc_id LIMIT 20")
 def bm25_topk_multi(spark: SparkSession, d: str) -> DataFrame:
-    hits = search.bm25(table(spark, d, "documents"), "doc_id", "text", MULTI)
-    return search.top(hits, 20, "score", "doc_id").select("doc_id", F.round("score", 9).alias("score"))
+    return search.top(search_index(spark, d).bm25(MULTI), 20, "score", "doc_id").select("doc_id", F.round("score", 9).alias("score"))
 
 
 @query(f"WITH {_bm25_sql(MULTI)} SELECT doc_id, round(score, 9) AS score FROM hits")
 def bm25_index_scan(spark: SparkSession, d: str) -> DataFrame:
-    docs = table(spark, d, "documents")
-    return search.bm25_of_index(search.postings(docs, "doc_id", "text"), search.document_lengths(docs, "doc_id", "text"), MULTI).select("doc_id", F.round("score", 9).alias("score"))
+    return search_index(spark, d).bm25(MULTI).select("doc_id", F.round("score", 9).alias("score"))
+
 
+#: Queries of the channels, with their phrases and words.
+NAMED = ("promo.hot_ring", "why is ECONOMY.red_widget like Small", "Part-4", "part-9 or LARGE")
 
-@query("""SELECT p_partkey, p_name, p_type FROM part WHERE lower(p_name) = 'red widget' OR (p_size > 10 AND lower(p_type) IN ('economy', 'red', 'widget'))""")
+
+@query("""
+WITH q(n, phrase, words) AS (VALUES (0, 'promo.hot_ring', ['promo.hot_ring']), (1, 'why is economy.red_widget like small', ['why', 'is', 'economy.red_widget', 'like', 'small']), (2, 'part-4', ['part-4']), (3, 'part-9 or large', ['part-9', 'or', 'large'])),
+s AS (SELECT p_partkey, lower(p_type) AS name, lower(p_type || '.' || replace(p_name, ' ', '_')) AS qualified, 'part-' || p_partkey AS id, CASE WHEN p_size <= 5 THEN 'module' WHEN p_size <= 20 THEN 'function' ELSE 'variable' END AS kind FROM part)
+SELECT n AS query, p_partkey FROM s, q WHERE id = phrase OR (kind <> 'module' AND phrase IN (name, qualified)) OR (kind = 'function' AND (list_contains(words, name) OR list_contains(words, qualified) OR list_contains(words, id)))""")
 def exact_channel(spark: SparkSession, d: str) -> DataFrame:
-    q = txt.normalize_query("Red  widget")
-    part = table(spark, d, "part")
-    named = search.exact(part, "p_name", q.phrase, q.words).select("p_partkey", "p_name", "p_type")
-    typed = search.exact(part, "p_type", q.phrase, ["economy", *q.words], declares=F.col("p_size") > 10).select("p_partkey", "p_name", "p_type")
-    return named.unionByName(typed).distinct()
+    """Parts as symbols: type as name, type and name as qualified name, small ones as modules, middle ones as functions."""
+    part = table(spark, d, "part").select("p_partkey", "p_type", F.concat("p_type", F.lit("."), F.replace("p_name", F.lit(" "), F.lit("_"))).alias("qualified"), F.concat(F.lit("part-"), F.col("p_partkey").cast("string")).alias("id"), "p_size")
+    out: DataFrame | None = None
+    for n, text in enumerate(NAMED):
+        q = txt.normalize_query(text)
+        found = search.exact(part, q.phrase, q.words, [F.col("p_type"), F.col("qualified")], [F.col("id")], F.col("p_size").between(6, 20), F.col("p_size") <= 5).select(F.lit(n).alias("query"), "p_partkey")
+        out = found if out is None else out.unionByName(found)
+    return out
 
 
 @query("""
-SELECT page_id, url FROM pages WHERE contains('see https://thther.example.org/en/685 and http://ththre.example.com/fr/825?page=2&ref=x', lower(url))""")
+SELECT page_id, url, lower(url) = 'example.org/en/6' AS whole FROM pages WHERE contains(lower(url), 'example.org/en/6')
+UNION ALL SELECT page_id, url, lower(url) = 'http://ththre.example.com/fr/825?page=2&ref=x' FROM pages WHERE contains(lower(url), 'http://ththre.example.com/fr/825?page=2&ref=x')""")
 def path_channel(spark: SparkSession, d: str) -> DataFrame:
-    phrase = txt.normalize_query("See https://thther.example.org/en/685 and http://ththre.example.com/fr/825?page=2&ref=x").phrase
-    return search.in_phrase(table(spark, d, "pages"), "url", phrase).select("page_id", "url")
+    pages = table(spark, d, "pages").select("page_id", "url")
+    part, whole = (txt.normalize_query(text).phrase for text in ("EXAMPLE.org\\en/6", "http://ththre.example.com/fr/825?page=2&ref=x"))
+    return search.containing_path(pages, "url", part).unionByName(search.containing_path(pages, "url", whole))
 
 
 @query(r"""
-WITH o AS (SELECT p_partkey AS id, len(list_intersect(regexp_extract_all(lower(p_name), '[a-z0-9]+'), ['red', 'small', 'bolt', 'ring'])) AS overlap FROM part)
+WITH o AS (SELECT p_partkey AS id, len(list_intersect(regexp_extract_all(lower(p_name), '[a-z0-9]+'), ['which', 'small', 'red', 'bolt', 'or', 'ring'])) AS overlap FROM part WHERE p_size BETWEEN 6 AND 20)
 SELECT id, CAST(overlap AS BIGINT) AS overlap FROM o WHERE overlap > 0""")
 def symbol_terms_channel(spark: SparkSession, d: str) -> DataFrame:
     q = txt.normalize_query("which small red bolt or ring")
-    return search.term_overlap(table(spark, d, "part"), "p_partkey", "p_name", [t for t in q.terms if t != "which"])
+    return search.term_overlap(table(spark, d, "part").where(F.col("p_size").between(6, 20)), "p_partkey", "p_name", q.terms)
 
 
-@query("""
-SELECT o_orderkey, o_orderstatus, o_orderdate FROM orders ORDER BY CASE o_orderstatus WHEN 'O' THEN 1 WHEN 'P' THEN 2 ELSE 3 END, o_orderdate DESC, o_orderkey LIMIT 30""")
+_STATE = """m AS (SELECT o_orderkey, o_custkey, o_orderdate, CASE substr(o_orderpriority, 1, 1) WHEN '1' THEN 'goal' WHEN '2' THEN 'task' WHEN '3' THEN 'blocker' WHEN '4' THEN 'result' ELSE 'action' END AS kind, o_orderstatus IN ('O', 'P') AS open FROM orders),
+p AS (SELECT *, list_position(['goal', 'task', 'constraint', 'blocker', 'decision', 'result', 'question'], kind) AS place FROM m WHERE (open OR kind = 'result') AND o_custkey = 7 OR (open AND kind IN ('goal', 'blocker') AND o_orderdate > TIMESTAMP '2000-01-01' AND o_custkey < 40)),
+t AS (SELECT *, row_number() OVER (ORDER BY place, o_orderdate DESC, o_orderkey) AS rank FROM p WHERE place IS NOT NULL QUALIFY rank <= 30)"""
+
+
+@query(f"""WITH {_STATE} SELECT 'project_state' AS channel, o_orderkey AS id, kind, rank FROM t
+UNION ALL SELECT 'continue', o_orderkey, kind, row_number() OVER (ORDER BY rank) FROM t WHERE o_custkey % 2 = 1""")
 def project_state_channel(spark: SparkSession, d: str) -> DataFrame:
-    kind = F.array_position(F.array(*map(F.lit, "OPF")), F.col("o_orderstatus"))
-    return search.top(table(spark, d, "orders"), 30, kind, F.col("o_orderdate").desc(), "o_orderkey").select("o_orderkey", "o_orderstatus", "o_orderdate")
+    """Orders as memory: priority as type, open orders and results are current; the second list keeps the order of one session's."""
+    kind = F.element_at(F.create_map(*map(F.lit, ("1", "goal", "2", "task", "3", "blocker", "4", "result", "5", "action"))), F.substring("o_orderpriority", 1, 1))
+    m = table(spark, d, "orders").select("o_orderkey", "o_custkey", "o_orderdate", kind.alias("kind"), F.col("o_orderstatus").isin("O", "P").alias("open"))
+    m = m.where(((F.col("open") | (F.col("kind") == "result")) & (F.col("o_custkey") == 7)) | (F.col("open") & F.col("kind").isin("goal", "blocker") & (F.col("o_orderdate") > F.lit("2000-01-01").cast("timestamp")) & (F.col("o_custkey") < 40)))
+    state = search.project_state(m, "kind", "o_orderdate", "o_orderkey", F.lit(True))
+    place = F.array_position(F.array(*map(F.lit, search.STATE_ORDER)), F.col("kind"))
+    order = (place, F.col("o_orderdate").desc(), F.col("o_orderkey"))
+    lists = [search.ranked(x, channel, "o_orderkey", *order) for channel, x in (("project_state", state), ("continue", state.where("o_custkey % 2 = 1")))]
+    return lists[0].unionByName(lists[1]).join(F.broadcast(state.select(F.col("o_orderkey").alias("id"), "kind")), "id").select("channel", "id", "kind", "rank")  # 30 rows
 
 
 _LISTS = f"""{_bm25_sql(MULTI)}, b AS (SELECT doc_id AS id, row_number() OVER (ORDER BY score, doc_id) AS rank FROM (SELECT * FROM hits ORDER BY score, doc_id LIMIT 200)),
@@ -263,11 +300,9 @@ u AS (SELECT 'bm25_code' AS channel, id, rank FROM b UNION ALL SELECT 'symbol_te
 
 
 def _lists(spark: SparkSession, d: str) -> DataFrame:
-    docs = table(spark, d, "documents")
-    best = search.top(search.bm25(docs, "doc_id", "text", MULTI), 200, "score", "doc_id")
-    wanted = F.array(*map(F.lit, (*MULTI, "der", "and")))
-    overlap = docs.select("doc_id", F.size(F.array_intersect(search.search_tokens(F.col("text")), wanted)).alias("n")).where("n > 0")
-    most = search.top(overlap, 200, F.col("n").desc(), "doc_id")
+    index = search_index(spark, d)
+    best = search.top(index.bm25(MULTI), 200, "score", "doc_id")
+    most = search.top(index.overlap((*MULTI, "der", "and")), 200, F.col("n").desc(), "doc_id")
     return search.ranked(best, "bm25_code", "doc_id", F.col("score"), F.col("doc_id")).unionByName(search.ranked(most, "symbol_terms", "doc_id", F.col("n").desc(), F.col("doc_id")))
 
 
@@ -276,11 +311,23 @@ def rrf_fusion(spark: SparkSession, d: str) -> DataFrame:
     return search.reciprocal_rank_fusion(_lists(spark, d)).select("id", F.round("rrf", 12).alias("rrf"), "n_channels")
 
 
-@query(f"""WITH {_LISTS}
-SELECT id, 3 AS priority, round(rrf, 12) AS rrf, round(rrf / (SELECT max(rrf) FROM fused), 9) AS relevance FROM fused ORDER BY fused.rrf DESC, id LIMIT 50""")
+@query(f"""WITH {_LISTS}, x AS (SELECT * FROM u UNION ALL SELECT 'explicit', id, rank FROM o WHERE rank IN (3, 60) UNION ALL SELECT 'exact', id, rank - 4 FROM b WHERE rank BETWEEN 5 AND 9 UNION ALL SELECT 'reverse_impact', id, rank FROM o WHERE rank <= 10),
+all_ AS (SELECT id, sum(1.0 / (60 + rank)) AS rrf, list(channel) AS c FROM x GROUP BY id),
+tiers AS (SELECT id, rrf, CASE WHEN list_contains(c, 'explicit') THEN 0 WHEN list_contains(c, 'exact') THEN 1 WHEN list_contains(c, 'reverse_impact') THEN 2 ELSE 3 END AS priority FROM all_),
+top AS (SELECT * FROM tiers ORDER BY priority, rrf DESC, id LIMIT 50)
+SELECT id, CAST(priority AS INTEGER) AS priority, round(rrf, 12) AS rrf, round(CASE WHEN priority < 2 THEN 1.0 ELSE rrf / (SELECT max(rrf) FROM top) END, 9) AS relevance FROM top""")
 def ranked_candidates(spark: SparkSession, d: str) -> DataFrame:
-    tiers = search.with_priority(search.reciprocal_rank_fusion(_lists(spark, d)))
-    return search.top(tiers, 50, "priority", F.col("rrf").desc(), "id").select("id", F.col("priority").cast("int").alias("priority"), F.round("rrf", 12).alias("rrf"), F.round("relevance", 9).alias("relevance"))
+    """Two ranked lists, with some of their rows also explicit, exact, or reached by impact, so that every tier is there."""
+    lists = _lists(spark, d)
+    bm25, terms = F.col("channel") == "bm25_code", F.col("channel") == "symbol_terms"
+    more = [
+        lists.where(terms & F.col("rank").isin(3, 60)).withColumn("channel", F.lit("explicit")),
+        lists.where(bm25 & F.col("rank").between(5, 9)).select(F.lit("exact").alias("channel"), "id", (F.col("rank") - 4).alias("rank")),
+        lists.where(terms & (F.col("rank") <= 10)).withColumn("channel", F.lit("reverse_impact")),
+    ]
+    for m in more:
+        lists = lists.unionByName(m)
+    return search.candidates(search.reciprocal_rank_fusion(lists), 50).select("id", F.col("priority").cast("int").alias("priority"), F.round("rrf", 12).alias("rrf"), F.round("relevance", 9).alias("relevance"))
 
 
 def flagship(spark: SparkSession, d: str) -> DataFrame:
@@ -303,33 +350,46 @@ def recall_mrr(spark: SparkSession, d: str) -> DataFrame:
 @query(f"""WITH {_LISTS}, q AS (SELECT DISTINCT doc_id AS id FROM labels WHERE quality = 1)
 SELECT count(*) AS n_required, count(f.id) AS n_found, round(count(f.id) / count(*), 9) AS recall FROM q LEFT JOIN fused f USING (id)""")
 def required_evidence_recall(spark: SparkSession, d: str) -> DataFrame:
-    found = search.reciprocal_rank_fusion(_lists(spark, d)).select("id", F.lit(1).alias("hit"))
     required = table(spark, d, "labels").where("quality = 1").select(F.col("doc_id").alias("id")).distinct()
-    out = required.join(found, "id", "left").agg(F.count("*").alias("n_required"), F.count("hit").alias("n_found"))
-    return out.withColumn("recall", F.round(F.col("n_found") / F.col("n_required"), 9))
+    return search.required_recall(required, search.reciprocal_rank_fusion(_lists(spark, d))).withColumn("recall", F.round("recall", 9))
 
 
 @query(r"""
-WITH n AS (SELECT DISTINCT p_type || ' ' || p_name AS name FROM part), t AS (SELECT name, list_distinct(regexp_extract_all(lower(name), '[a-z0-9]+')) AS t FROM n)
-SELECT a.name AS a, b.name AS b, round(len(list_intersect(a.t, b.t)) / (len(a.t) + len(b.t) - len(list_intersect(a.t, b.t))), 9) AS similarity FROM t a JOIN t b ON a.name < b.name
-WHERE len(list_intersect(a.t, b.t)) / (len(a.t) + len(b.t) - len(list_intersect(a.t, b.t))) >= 0.5""")
+WITH d AS (SELECT doc_id, source, list_sort(list_distinct(regexp_extract_all(lower(text), '[\p{L}\p{N}]+'))) AS t FROM documents WHERE text IS NOT NULL),
+c AS (SELECT source, t, min(doc_id) AS id, count(*) AS n FROM d WHERE len(t) > 0 GROUP BY source, t),
+x AS (SELECT a.source, a.id AS a, b.id AS b, a.n * b.n AS n_pairs, len(list_intersect(a.t, b.t)) AS o, len(a.t) + len(b.t) AS l FROM c a JOIN c b ON a.source = b.source AND a.id < b.id AND len(a.t) * 0.79 <= len(b.t) AND len(b.t) * 0.79 <= len(a.t))
+SELECT source, a, b, n_pairs, round(o / (l - o), 9) AS similarity FROM x WHERE o / (l - o) >= 0.8""")
 def jaccard_pairs(spark: SparkSession, d: str) -> DataFrame:
-    names = table(spark, d, "part").select(F.concat_ws(" ", "p_type", "p_name").alias("name")).distinct()
-    pairs = search.similar_pairs(names.withColumn("t", txt.terms_of(F.col("name"))), "name", "t", 0.5)
-    return pairs.select("a", "b", F.round("similarity", 9).alias("similarity"))
+    """Documents of a source whose sets of words are alike; documents of one set are one, which n_pairs counts."""
+    docs = table(spark, d, "documents").where("text is not null").select("doc_id", "source", F.array_sort(F.array_distinct(txt.search_tokens(F.col("text")))).alias("t"))
+    one = docs.where(F.size("t") > 0).groupBy("source", "t").agg(F.min("doc_id").alias("id"), F.count("*").alias("n"))
+    own = one.select("id", F.transform("t", lambda w: F.concat_ws(":", "source", w)).alias("t"))  # words of other sources never meet
+    pairs = search.similar_pairs(own, "id", "t", 0.8)
+    sizes = one.select("id", "source", "n")
+    out = pairs.join(sizes.select(F.col("id").alias("a"), "source", F.col("n").alias("na")), "a").join(sizes.select(F.col("id").alias("b"), F.col("n").alias("nb")), "b")
+    return out.select("source", "a", "b", (F.col("na") * F.col("nb")).alias("n_pairs"), F.round("similarity", 9).alias("similarity"))
 
 
 @query(r"""
-WITH n AS (SELECT DISTINCT p_brand, p_type, p_name FROM part), t AS (SELECT *, list_distinct(regexp_extract_all(lower(p_name), '[a-z0-9]+')) AS t FROM n)
-SELECT a.p_brand AS brand, a.p_name AS a, b.p_name AS b, a.p_type AS type_a, b.p_type AS type_b,
-round(greatest(0.7 * len(list_intersect(a.t, b.t)) / (len(a.t) + len(b.t) - len(list_intersect(a.t, b.t))), CASE WHEN a.p_type = b.p_type THEN 0.15 ELSE 0 END), 9) AS similarity
-FROM t a JOIN t b ON a.p_brand = b.p_brand AND (a.p_name, a.p_type) < (b.p_name, b.p_type)""")
+WITH n AS (SELECT p_brand, p_type, p_name, min(p_partkey) AS id, min(p_partkey) % 40 AS first, list_sort(list(DISTINCT p_size % 6)) AS symbols, list_sort(list(DISTINCT p_size % 9)) AS events FROM part GROUP BY 1, 2, 3),
+t AS (SELECT *, first + length(p_name) AS last, list_distinct(regexp_extract_all(lower(p_name), '[a-z0-9]+')) AS t, CASE WHEN first % 3 = 0 THEN [first % 5] ELSE [] END AS memory, CASE WHEN first % 4 > 0 THEN first % 2 END AS blob FROM n),
+p AS (SELECT a.p_brand AS brand, a.id AS a, b.id AS b, a.memory = b.memory AND len(a.memory) > 0 AS same,
+  CASE WHEN a.blob = b.blob THEN greatest(0, least(a.last, b.last) - greatest(a.first, b.first)) / greatest(1, least(a.last - a.first, b.last - b.first)) ELSE 0 END AS spans,
+  0.9 * len(list_intersect(a.symbols, b.symbols)) / len(list_distinct(a.symbols || b.symbols)) AS s, 0.7 * len(list_intersect(a.t, b.t)) / len(list_distinct(a.t || b.t)) AS w, 0.3 * len(list_intersect(a.events, b.events)) / len(list_distinct(a.events || b.events)) AS e
+  FROM t a JOIN t b ON a.p_brand = b.p_brand AND a.p_type = b.p_type AND a.id < b.id)
+SELECT brand, a, b, round(CASE WHEN same THEN 1.0 ELSE greatest(spans, s, w, e, 0.15) END, 9) AS similarity FROM p""")
 def evidence_similarity(spark: SparkSession, d: str) -> DataFrame:
-    units = table(spark, d, "part").select("p_brand", "p_type", "p_name").distinct().withColumn("t", txt.terms_of(F.col("p_name")))
-    a, b = units.alias("a"), units.alias("b")
-    same = (F.col("a.p_brand") == F.col("b.p_brand")) & (F.struct("a.p_name", "a.p_type") < F.struct("b.p_name", "b.p_type"))
-    score = F.greatest(0.7 * search.jaccard(F.col("a.t"), F.col("b.t")), F.when(F.col("a.p_type") == F.col("b.p_type"), 0.15).otherwise(0.0))
-    return a.join(b, same).select(F.col("a.p_brand").alias("brand"), F.col("a.p_name").alias("a"), F.col("b.p_name").alias("b"), F.col("a.p_type").alias("type_a"), F.col("b.p_type").alias("type_b"), F.round(score, 9).alias("similarity"))
+    """Pairs of distinct names of a brand and type (a few dozen at any size) as units, by all terms of the similarity."""
+    n = table(spark, d, "part").groupBy("p_brand", "p_type", "p_name").agg(F.min("p_partkey").alias("id"), F.collect_set(F.col("p_size") % 6).alias("symbols"), F.collect_set(F.col("p_size") % 9).alias("events"))
+    first = F.col("id") % 40
+    unit = F.struct(
+        "id", F.when(first % 3 == 0, F.array(first % 5)).otherwise(F.array().cast("array<bigint>")).alias("memory_ids"), F.when(first % 4 > 0, first % 2).alias("blob"), first.alias("first"), (first + F.char_length("p_name")).alias("last"),
+        "symbols", txt.terms_of(F.col("p_name")).alias("terms"), "events", F.col("p_type").alias("path"),
+    )
+    units = n.select("p_brand", "p_type", "id", unit.alias("u"))
+    a, b = units.select("p_brand", "p_type", F.col("u").alias("a")), units.select("p_brand", "p_type", F.col("u").alias("b"))
+    pairs = a.join(b, ["p_brand", "p_type"]).where(F.col("a.id") < F.col("b.id"))
+    return pairs.select(F.col("p_brand").alias("brand"), F.col("a.id").alias("a"), F.col("b.id").alias("b"), F.round(search.evidence_similarity("a", "b"), 9).alias("similarity"))
 
 
 @query("""SELECT doc_id, CAST(ceil(octet_length(encode(text)) / 4) AS BIGINT) AS tokens FROM documents""")
@@ -379,23 +439,25 @@ def bfs_paths(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _ppr_sql(rounds: int) -> str:
-    """A fixed number of personalized PageRank rounds over suppliers, nations and regions."""
+    """A fixed number of personalized PageRank rounds over suppliers, nations and regions, some nations with an edge to themselves."""
     steps = [
-        f"""s{k} AS (SELECT t.node, 0.15 * restart + 0.85 * (coalesce(m.moved, 0) + (SELECT coalesce(sum(score), 0) FROM s{k - 1} WHERE node NOT IN (SELECT src FROM p)) * restart) AS score
+        f"""s{k} AS MATERIALIZED (SELECT t.node, 0.15 * restart + 0.85 * (coalesce(m.moved, 0) + (SELECT coalesce(sum(score), 0) FROM s{k - 1} WHERE node NOT IN (SELECT src FROM p)) * restart) AS score
 FROM t LEFT JOIN (SELECT dst AS node, sum(score * pr) AS moved FROM s{k - 1} JOIN p ON p.src = s{k - 1}.node GROUP BY dst) m ON m.node = t.node)"""
         for k in range(1, rounds + 1)
     ]
-    return f"""WITH e AS (SELECT 's' || s_suppkey AS src, 'n' || s_nationkey AS dst, 3.0 AS w FROM supplier UNION ALL SELECT 'n' || n_nationkey, 'r' || n_regionkey, 2.0 FROM nation),
+    return f"""WITH e AS (SELECT 's' || s_suppkey AS src, 'n' || s_nationkey AS dst, 3.0 AS w FROM supplier UNION ALL SELECT 'n' || n_nationkey, 'r' || n_regionkey, 2.0 FROM nation UNION ALL SELECT 'n' || n_nationkey, 'n' || n_nationkey, 1.0 FROM nation WHERE n_nationkey % 5 = 1),
 b AS (SELECT * FROM e UNION ALL SELECT dst, src, w FROM e), p AS (SELECT src, dst, w / sum(w) OVER (PARTITION BY src) AS pr FROM b),
 t AS (SELECT DISTINCT src AS node, CASE WHEN src IN ('n1', 'n7') THEN 0.5 ELSE 0.0 END AS restart FROM b), s0 AS (SELECT node, restart AS score FROM t), {", ".join(steps)}
 SELECT node, round(score, 9) AS score FROM s{rounds} WHERE score > 0"""
 
 
-@query(_ppr_sql(8))
+@query(_ppr_sql(20))
 def ppr_scores(spark: SparkSession, d: str) -> DataFrame:
-    e = star.edges(spark, d, "BASED_IN", "PART_OF").select("src", "dst", F.when(F.col("type") == "BASED_IN", 3.0).otherwise(2.0).alias("weight"))
-    both = e.unionByName(e.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight"))
-    return graph.pagerank_rounds(both, star.seeds(spark, "n1", "n7"), 8).where("score > 0").select("node", F.round("score", 9).alias("score"))
+    kind = F.when(F.col("type") == "BASED_IN", "TARGETS").otherwise(F.col("type"))
+    e = star.edges(spark, d, "BASED_IN", "PART_OF").select("src", "dst", kind.alias("type"))
+    own = table(spark, d, "nation").where("n_nationkey % 5 = 1").select(star.node("n", F.col("n_nationkey")).alias("src"))
+    e = e.unionByName(own.select("src", F.col("src").alias("dst"), F.lit("RELATED_TO").alias("type")))
+    return graph.pagerank_rounds(graph.ranking_steps(e), star.seeds(spark, "n1", "n7"), 20).where("score > 0").select("node", F.round("score", 9).alias("score"))
 
 
 @query("""SELECT l_orderkey, l_partkey, l_suppkey, count(*) > 0 AS present FROM lineitem GROUP BY ALL""")
@@ -454,10 +516,10 @@ def index_diff(spark: SparkSession, d: str) -> DataFrame:
 @query("""
 SELECT user_id, count(*) AS seen, count(*) FILTER (WHERE event_type = 'purchase') AS changed, count(*) FILTER (WHERE event_type = 'error') AS deleted, count(*) FILTER (WHERE event_type IN ('view', 'click', 'signup')) AS unchanged, round(sum(value), 4) AS total FROM events GROUP BY user_id""")
 def run_counters(spark: SparkSession, d: str) -> DataFrame:
-    kind = F.col("event_type")
-    return table(spark, d, "events").groupBy("user_id").agg(
-        F.count("*").alias("seen"), F.count_if(kind == "purchase").alias("changed"), F.count_if(kind == "error").alias("deleted"), F.count_if(kind.isin("view", "click", "signup")).alias("unchanged"), F.round(F.sum("value"), 4).alias("total")
-    )
+    kind = F.when(F.col("event_type") == "purchase", "changed").when(F.col("event_type") == "error", "deleted").when(F.col("event_type").isin("view", "click", "signup"), "reused")
+    log = table(spark, d, "events").withColumn("state", kind)
+    totals = log.groupBy("user_id").agg(F.round(F.sum("value"), 4).alias("total"))
+    return history.run_counters(log, "user_id", "state").join(totals, "user_id")
 
 
 @query("""
@@ -470,63 +532,86 @@ def unresolved_histogram(spark: SparkSession, d: str) -> DataFrame:
 @query("""
 SELECT p_partkey, p_brand, p_type, count(*) OVER (PARTITION BY p_brand, p_type) AS n_same, row_number() OVER (PARTITION BY p_brand, p_type ORDER BY p_partkey) - 1 AS ordinal FROM part""")
 def overload_ordinals(spark: SparkSession, d: str) -> DataFrame:
-    same = Window.partitionBy("p_brand", "p_type")
-    return table(spark, d, "part").select("p_partkey", "p_brand", "p_type", F.count("*").over(same).alias("n_same"), (F.row_number().over(same.orderBy("p_partkey")) - 1).cast("long").alias("ordinal"))
+    part = table(spark, d, "part").select("p_partkey", "p_brand", "p_type")
+    return codegraph.overloads(part, ["p_brand", "p_type"], "p_partkey")
 
 
 @query("""
-SELECT o_custkey, CASE WHEN o_orderpriority LIKE '1%' THEN 'goals' WHEN o_orderstatus = 'O' THEN 'active_tasks' WHEN o_orderstatus = 'P' THEN 'active_tasks' WHEN o_orderstatus = 'F' AND o_orderpriority LIKE '2%' THEN 'completed_tasks' ELSE 'history' END AS grouped, count(*) AS n, max(o_orderkey) AS last_id FROM orders GROUP BY ALL""")
+WITH m AS (SELECT o_orderkey, o_custkey, CASE substr(o_orderpriority, 1, 1) WHEN '1' THEN 'goal' WHEN '2' THEN 'task' WHEN '3' THEN 'decision' WHEN '4' THEN 'question' ELSE 'result' END AS kind,
+  CASE o_orderstatus WHEN 'O' THEN 'active' WHEN 'P' THEN CASE WHEN o_orderkey % 3 = 0 THEN 'cancelled' ELSE 'in_progress' END ELSE CASE substr(o_orderpriority, 1, 1) WHEN '4' THEN 'resolved' ELSE 'completed' END END AS status FROM orders),
+g AS (SELECT *, CASE WHEN status = 'cancelled' THEN 'history' WHEN kind = 'goal' THEN 'goals' WHEN kind = 'task' AND status IN ('active', 'in_progress') THEN 'active_tasks' WHEN kind = 'task' AND status = 'completed' THEN 'completed_tasks'
+  WHEN kind = 'decision' AND status = 'active' THEN 'decisions' WHEN kind = 'question' AND status = 'active' THEN 'open_questions' WHEN kind = 'result' THEN 'recent_results' ELSE 'history' END AS grouped FROM m)
+SELECT o_custkey, grouped, count(*) AS n, max(o_orderkey) AS last_id FROM g GROUP BY ALL""")
 def handoff_groups(spark: SparkSession, d: str) -> DataFrame:
+    """Orders as memory: priority as type, status as status; cancelled ones are closed."""
     first, status = F.substring("o_orderpriority", 1, 1), F.col("o_orderstatus")
-    grouped = F.when(first == "1", "goals").when(status.isin("O", "P"), "active_tasks").when((status == "F") & (first == "2"), "completed_tasks").otherwise("history")
+    kind = F.coalesce(F.element_at(F.create_map(*map(F.lit, ("1", "goal", "2", "task", "3", "decision", "4", "question"))), first), F.lit("result"))
+    now = F.when(status == "O", "active").when(status == "P", F.when(F.col("o_orderkey") % 3 == 0, "cancelled").otherwise("in_progress")).otherwise(F.when(first == "4", "resolved").otherwise("completed"))
+    grouped = memory.handoff_group(kind, now, now != "cancelled")
     return table(spark, d, "orders").groupBy("o_custkey", grouped.alias("grouped")).agg(F.count("*").alias("n"), F.max("o_orderkey").alias("last_id"))
 
 
 @query("""
-SELECT o_custkey, o_orderkey, r AS place FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS r FROM orders) WHERE r <= 20""")
+SELECT o_custkey, o_orderkey, r AS place FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey) AS r FROM orders WHERE o_orderpriority < '3' AND o_orderstatus <> 'F') WHERE r <= 20""")
 def recent_results(spark: SparkSession, d: str) -> DataFrame:
-    newest = Window.partitionBy("o_custkey").orderBy(F.col("o_orderdate").desc(), F.col("o_orderkey").desc())
-    return table(spark, d, "orders").select("o_custkey", "o_orderkey", F.row_number().over(newest).cast("long").alias("place")).where("place <= 20")
+    entities = table(spark, d, "orders").select(
+        F.col("o_custkey").alias("project_id"), F.col("o_orderkey").alias("id"), F.when(F.col("o_orderpriority") < "3", "result").otherwise("action").alias("entity_type"),
+        F.col("o_orderdate").alias("valid_from"), F.when(F.col("o_orderstatus") == "F", F.col("o_orderdate")).alias("valid_to"),
+    )
+    return memory.latest_results(entities).select(F.col("project_id").alias("o_custkey"), F.col("id").alias("o_orderkey"), F.col("place").cast("long").alias("place"))
 
 
 # ---------------------------------------------------------------- event logs, streams, archives, kernels
 
 
 def conversation_log(spark: SparkSession, d: str) -> DataFrame:
-    """Conversations as an event log: a project each, that starts a session, and an event for each turn."""
+    """Conversations as an event log: a project each, that starts a session, and an event for each turn of user and assistant.
+
+    Some logs are damaged, by the number of their conversation modulo 7: 3, the
+    payload of event 4 was changed after it was hashed; 5, event 4 is missing;
+    6, event 4 is of a session that was never started.
+    """
     c = table(spark, d, "conversations").where("role in ('user', 'assistant')")
     project = F.concat(F.lit("00000000-0000-4000-8000-"), F.lpad(F.hex("conv_id"), 12, "0"))
-    turns = history.with_sequence(c, "conv_id", "turn", name="n").select(F.lower(project).alias("project_id"), F.col("n").cast("long").alias("n"), "role", "text")
+    turns = history.with_sequence(c, "conv_id", "turn", name="n").select(F.lower(project).alias("project_id"), F.col("n").cast("long").alias("n"), "role", "text", (F.col("conv_id") % 7).alias("fault"))
     name = F.when(F.col("role") == "user", "conversation.user_message").otherwise("conversation.assistant_message")
-    said = turns.select("project_id", (F.col("n") + 2).alias("sequence"), name.alias("event_type"), F.to_json(F.struct(F.col("text").alias("content"))).alias("raw"))
+    fault = F.when(F.col("n") == 2, F.col("fault"))
+    said = turns.select("project_id", F.when(fault == 6, "ffffffff-0000-4000-8000-ffffffffffff").otherwise(F.col("project_id")).alias("session_id"), (F.col("n") + 2).alias("sequence"), name.alias("event_type"), F.to_json(F.struct(F.col("text").alias("content"))).alias("raw"), fault.alias("fault"))
     projects = turns.select("project_id").distinct()
-    first = projects.select("project_id", F.lit(1).cast("long").alias("sequence"), F.lit("project.created").alias("event_type"), F.to_json(F.struct(F.col("project_id").alias("name"), F.lit("/").alias("root_path"))).alias("raw"))
-    second = projects.select("project_id", F.lit(2).cast("long").alias("sequence"), F.lit("session.started").alias("event_type"), F.lit("{}").alias("raw"))
-    log = first.unionByName(second).unionByName(said).select("project_id", F.col("project_id").alias("session_id"), "sequence", "event_type", can.canonical_text("raw").alias("payload"), F.lit("2024-01-01T00:00:00.000Z").alias("created_at"))
+    none = F.lit(None).cast("long").alias("fault")
+    first = projects.select("project_id", F.col("project_id").alias("session_id"), F.lit(1).cast("long").alias("sequence"), F.lit("project.created").alias("event_type"), F.to_json(F.struct(F.col("project_id").alias("name"), F.lit("/").alias("root_path"))).alias("raw"), none)
+    second = projects.select("project_id", F.col("project_id").alias("session_id"), F.lit(2).cast("long").alias("sequence"), F.lit("session.started").alias("event_type"), F.lit("{}").alias("raw"), none)
+    log = first.unionByName(second).unionByName(said).select("project_id", "session_id", "sequence", "event_type", can.canonical_text("raw").alias("payload"), F.lit("2024-01-01T00:00:00.000Z").alias("created_at"), "fault")
     envelope = can.canonical_object(created_at=can.quoted(F.col("created_at")), event_type=can.quoted(F.col("event_type")), payload=F.col("payload"), project_id=can.quoted(F.col("project_id")), sequence=can.integer(F.col("sequence")), session_id=can.quoted(F.col("session_id")))
     hashed = log.withColumn("content_hash", F.sha2(envelope, 256))
-    return hashed.withColumn("id", can.event_id_column(F.col("content_hash"))).select(*[f.name for f in events.EVENT.fields])
+    hashed = hashed.withColumn("id", can.event_id_column(F.col("content_hash"))).where("fault is null or fault <> 5")
+    return hashed.withColumn("payload", F.when(F.col("fault") == 3, '{"content":"altered"}').otherwise(F.col("payload"))).select(*[f.name for f in events.EVENT.fields])
 
 
 _PROJECT = "'00000000-0000-4000-8000-' || lower(lpad(hex(conv_id), 12, '0'))"
+_LOGS = f"""g AS (SELECT {_PROJECT} AS project_id, conv_id % 7 AS f, count(*) AS n FROM conversations WHERE role IN ('user', 'assistant') GROUP BY conv_id),
+l AS (SELECT project_id, n + 2 AS total, CASE WHEN n >= 2 THEN f END AS fault FROM g)"""
 
 
-@query(f"""
-SELECT {_PROJECT} AS project_id, count(*) + 2 AS n_events, count(*) + 2 AS n_valid FROM conversations WHERE role IN ('user', 'assistant') GROUP BY conv_id""")
+@query(f"""WITH {_LOGS} SELECT project_id, total - CASE WHEN fault = 5 THEN 1 ELSE 0 END AS n_events, total - CASE WHEN fault IN (3, 5) THEN 1 ELSE 0 END AS n_valid FROM l""")
 def event_log_verify(spark: SparkSession, d: str) -> DataFrame:
     checked = events.verified(conversation_log(spark, d))
     return checked.groupBy("project_id").agg(F.count("*").alias("n_events"), F.count_if("valid").alias("n_valid"))
 
 
 @query(f"""
-SELECT {_PROJECT} AS project_id, count(*) + 2 AS last_sequence, 1 AS n_sessions, {_PROJECT} AS active_session_id, CAST(NULL AS VARCHAR) AS error FROM conversations WHERE role IN ('user', 'assistant') GROUP BY conv_id""")
+WITH {_LOGS}, s AS (SELECT project_id, CASE WHEN fault IN (3, 5, 6) THEN 3 ELSE total END AS last_sequence,
+  CASE WHEN fault = 3 THEN '4: identity does not match the content' WHEN fault = 6 THEN '4: the session is not active' WHEN fault = 5 AND total >= 5 THEN '5: the sequence has a gap' END AS error FROM l)
+SELECT project_id, last_sequence, 1 AS n_sessions, project_id AS active_session_id, error,
+sha256('{{"active_session_id":"' || project_id || '","checkpoints":[],"last_sequence":' || last_sequence || ',"project":{{"created_at":"2024-01-01T00:00:00.000Z","id":"' || project_id || '","name":"' || project_id || '","root_path":"/"}},"sessions":[{{"details":{{}},"id":"' || project_id || '","sequence":2,"started_at":"2024-01-01T00:00:00.000Z"}}]}}') AS state_hash FROM s""")
 def project_state_fold(spark: SparkSession, d: str) -> DataFrame:
     folded = events.fold_projects(conversation_log(spark, d))
-    return folded.select("project_id", "last_sequence", F.col("n_sessions").cast("int").alias("n_sessions"), "active_session_id", "error")
+    return folded.select("project_id", "last_sequence", F.col("n_sessions").cast("int").alias("n_sessions"), "active_session_id", "error", "state_hash")
 
 
 @query(f"""
-SELECT {_PROJECT} AS project_id, count(*) + 2 AS n_events, count(*) + 2 AS last_sequence, {_PROJECT} AS active_session_id, CAST(1 AS BIGINT) AS n_sessions FROM conversations WHERE role IN ('user', 'assistant') GROUP BY conv_id""")
+WITH {_LOGS}, s AS (SELECT project_id, CASE WHEN fault = 5 THEN 3 ELSE total END AS n FROM l)
+SELECT project_id, n AS n_events, n AS last_sequence, project_id AS active_session_id, CAST(1 AS BIGINT) AS n_sessions FROM s""")
 def streaming_project_view(spark: SparkSession, d: str) -> DataFrame:
     root = f"{shared_dir(spark)}/stream-{can.new_uuid()}"
     conversation_log(spark, d).write.parquet(f"{root}/log")
@@ -546,10 +631,10 @@ def archive_roundtrip(spark: SparkSession, d: str) -> DataFrame:
 def _best_units(spark: SparkSession, d: str, n: int) -> DataFrame:
     """The n best documents of a query with their texts, in one partition for the ordered kernels."""
     docs = table(spark, d, "documents")
-    best = search.top(search.bm25(docs, "doc_id", "text", MULTI), n, "score", "doc_id")
+    best = search.top(search_index(spark, d).bm25(MULTI), n, "score", "doc_id")
     top = best.agg(F.min("score").alias("low"))
     scored = best.crossJoin(F.broadcast(top)).select("doc_id", (F.col("score") / F.col("low")).alias("relevance"))
-    return docs.join(F.broadcast(scored), "doc_id").select("doc_id", "text", "source", "relevance").coalesce(1)
+    return docs.join(F.broadcast(scored), "doc_id").select("doc_id", "text", "source", "relevance").repartition(1)  # n rows
 
 
 @query()
@@ -567,15 +652,19 @@ def source_windows(spark: SparkSession, d: str) -> DataFrame:
     return kernels.windows(table(spark, d, "documents").select("doc_id", "text"), MULTI, 1800)
 
 
-@query("""
-SELECT unnest(['CALLS', 'CONTAINS', 'DEFINES', 'EXPORTS', 'REFERENCES']) AS kind, CAST(unnest([19000, 41000, 20000, 20000, 20000]) AS BIGINT) AS n""")
+#: Functions of a made file, and files of a made project.
+FUNCTIONS, FILES = 20, 1000
+
+
+@query(f"""
+WITH f AS (SELECT p_partkey // {FUNCTIONS * FILES} AS project, p_partkey // {FUNCTIONS} AS file, count(*) AS n FROM part GROUP BY ALL), c AS (SELECT project, count(*) AS files, sum(n) AS n FROM f GROUP BY project)
+SELECT CAST(project AS VARCHAR) AS project_id, kind, CAST(CASE kind WHEN 'CALLS' THEN n - files WHEN 'CONTAINS' THEN 2 * n + files ELSE n END AS BIGINT) AS n FROM c, (SELECT unnest(['CALLS', 'CONTAINS', 'DEFINES', 'EXPORTS', 'REFERENCES']) AS kind) WHERE kind <> 'CALLS' OR n > files""")
 def code_graph_stress(spark: SparkSession, d: str) -> DataFrame:
-    """1,000 made files of 20 functions, each calling the one before: extracted in parallel, assembled, counted."""
-    function = F.concat(
-        F.lit("export function work"), "k", F.lit("_"), "j", F.lit("(value: number): number {\n  return "),
-        F.when(F.col("j") == 0, "value + 1").otherwise(F.concat(F.lit("work"), "k", F.lit("_"), F.col("j") - 1, F.lit("(value)"))), F.lit(";\n}\n"),
-    )
-    lines = spark.range(1000).select(F.col("id").alias("k"), F.explode(F.sequence(F.lit(0), F.lit(19))).alias("j")).select("k", "j", function.alias("line"))
-    files = lines.groupBy("k").agg(F.array_join(F.array_sort(F.collect_list(F.struct("j", "line")))["line"], "").alias("text"))
-    files = files.select(F.lit("stress").alias("project_id"), F.concat(F.lit("work"), "k", F.lit(".ts")).alias("path"), F.col("text").cast("binary").alias("content"))
-    return codegraph.assembled(extract.extract_files(files), "edges").groupBy("kind").agg(F.count("*").alias("n"))
+    """Parts as functions, each calling the one before it in its file; extracted in parallel, assembled by project, counted."""
+    part = table(spark, d, "part").select("p_partkey", F.floor(F.col("p_partkey") / FUNCTIONS).alias("file"), F.floor(F.col("p_partkey") / (FUNCTIONS * FILES)).alias("project"))
+    before = F.lag("p_partkey").over(Window.partitionBy("project", "file").orderBy("p_partkey"))
+    body = F.coalesce(F.concat(F.lit("work"), before.cast("string"), F.lit("(value)")), F.lit("value + 1"))
+    line = F.concat(F.lit("export function work"), F.col("p_partkey").cast("string"), F.lit("(value: number): number {\n  return "), body, F.lit(";\n}\n"))
+    files = part.withColumn("line", line).groupBy("project", "file").agg(F.array_join(F.array_sort(F.collect_list(F.struct("p_partkey", "line")))["line"], "").alias("text"))
+    files = files.select(F.col("project").cast("string").alias("project_id"), F.concat(F.lit("work"), F.col("file").cast("string"), F.lit(".ts")).alias("path"), F.col("text").cast("binary").alias("content"))
+    return codegraph.assembled(extract.extract_files(files), "edges").groupBy("project_id", "kind").agg(F.count("*").alias("n"))

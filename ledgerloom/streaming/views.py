@@ -2,8 +2,12 @@
 
 Order is by sequence, not by time, so there is no watermark: an event that is
 not the next one of its project waits in a table of parked events, and nothing
-expires.  Every batch writes its result under its batch id and then swaps a
-pointer, so a batch that runs again changes nothing.
+expires.  Projects are dealt to PARTS by a hash; a batch writes anew the parts
+of the view that it touches, and a line with the newest folder of each part.
+That line is written last, under the number of its batch, and nothing is
+overwritten that a reader may read, so a crash leaves the version before, and a
+batch that runs again changes nothing.  Two events that claim one place are a
+conflict, and stop the stream.
 """
 
 from __future__ import annotations
@@ -11,11 +15,14 @@ from __future__ import annotations
 import json
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ledgerloom.operators.events import EVENT
+from ledgerloom.operators.events import EVENT, EventError
+
+PARTS = 16
 
 
 def read_events(spark: SparkSession, path: str, files_per_batch: int = 100) -> DataFrame:
@@ -23,68 +30,75 @@ def read_events(spark: SparkSession, path: str, files_per_batch: int = 100) -> D
     return spark.readStream.schema(EVENT).option("maxFilesPerTrigger", files_per_batch).parquet(path)
 
 
+VIEW = "project_id string, n_events long, last_sequence long, active_session_id string, n_sessions long"
+
+
 class ProjectView:
     """(project_id, n_events, last_sequence, active_session_id, n_sessions), kept by foreachBatch."""
 
-    def __init__(self, spark: SparkSession, root: str) -> None:
-        self.spark, self.root = spark, root
-        self._pointer = f"{root}/current.json"
-
-    def _path(self, what: str, version: int) -> str:
-        return f"{self.root}/{what}/v{version}"
+    def __init__(self, spark: SparkSession, root: str, parts: int = PARTS) -> None:
+        self.spark, self.root, self.parts = spark, root, parts
 
-    def _version(self) -> int:
+    def _newest(self) -> dict:
+        """The line of the newest batch: its number, and the batch that last wrote each part of the view and of the parked events."""
         try:
-            rows = self.spark.read.text(self._pointer).collect()  # one line
-        except Exception as e:
+            lines = self.spark.read.schema("batch long, line string").parquet(f"{self.root}/lines")
+        except AnalysisException as e:
             if "PATH_NOT_FOUND" in str(e):
-                return -1
+                return {"batch": -1, "view": {}, "parked": {}}
             raise
-        return json.loads(rows[-1]["value"])["version"] if rows else -1
+        return json.loads(lines.orderBy(F.col("batch").desc()).first()["line"])
 
-    def events(self) -> DataFrame:
-        """All events that are in place."""
-        version = self._version()
-        if version < 0:
-            return self.spark.createDataFrame([], EVENT)
-        return self.spark.read.schema(EVENT).parquet(*[self._path("events", v) for v in self._versions(version)])
-
-    def _versions(self, version: int) -> list[int]:
-        return json.loads(self.spark.read.text(self._pointer).collect()[-1]["value"])["batches"]
+    def _read(self, what: str, schema, of_part: dict[str, int], parts: set[int] | None = None) -> DataFrame:
+        paths = [f"{self.root}/{what}/batch={batch}/part={part}" for part, batch in of_part.items() if parts is None or int(part) in parts]
+        return self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
 
     def parked(self) -> DataFrame:
-        version = self._version()
-        return self.spark.createDataFrame([], EVENT) if version < 0 else self.spark.read.schema(EVENT).parquet(self._path("parked", version))
+        return self._read("parked", EVENT, self._newest()["parked"])
 
     def view(self) -> DataFrame:
-        version = self._version()
-        return summarize(self.events()) if version < 0 else self.spark.read.parquet(self._path("view", version))
+        return self._read("view", VIEW, self._newest()["view"])
+
+    def _write(self, df: DataFrame, what: str, batch_id: int) -> list[str]:
+        """Write the parts of df, in the folder of the batch, which only this batch writes; the parts that have rows."""
+        dealt = df.withColumn("part", F.pmod(F.xxhash64("project_id"), F.lit(self.parts)))
+        dealt.write.mode("overwrite").partitionBy("part").parquet(f"{self.root}/{what}/batch={batch_id}")
+        folder = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{what}/batch={batch_id}")
+        statuses = folder.getFileSystem(self.spark._jsc.hadoopConfiguration()).listStatus(folder)
+        return [s.getPath().getName().removeprefix("part=") for s in statuses if s.getPath().getName().startswith("part=")]
 
     def apply(self, batch: DataFrame, batch_id: int) -> None:
-        version = self._version()
-        if batch_id <= version:
+        now = self._newest()
+        if batch_id <= now["batch"]:
             return  # done before
-        waiting = batch.select(*[f.name for f in EVENT.fields]).unionByName(self.parked()).dropDuplicates(["project_id", "sequence"])
-        old = self.view()
-        last = old.select("project_id", F.col("last_sequence").alias("have"))
-        place = F.row_number().over(Window.partitionBy("project_id").orderBy("sequence"))
-        ready = waiting.join(last, "project_id", "left").withColumn("have", F.coalesce("have", F.lit(0))).where(F.col("sequence") > F.col("have")).withColumn("place", place)
-        in_place = F.col("sequence") == F.col("have") + F.col("place")
         names = [f.name for f in EVENT.fields]
-        ready.where(in_place).select(*names).write.mode("overwrite").parquet(self._path("events", batch_id))
-        ready.where(~in_place).select(*names).write.mode("overwrite").parquet(self._path("parked", batch_id))
-        new = summarize(self.spark.read.schema(EVENT).parquet(self._path("events", batch_id)))
-        joined = old.alias("o").join(new.alias("n"), "project_id", "full_outer")
-        merged = joined.select(
-            "project_id",
-            (F.coalesce("o.n_events", F.lit(0)) + F.coalesce("n.n_events", F.lit(0))).alias("n_events"),
-            F.coalesce("n.last_sequence", "o.last_sequence").alias("last_sequence"),
-            F.coalesce("n.active_session_id", "o.active_session_id").alias("active_session_id"),
-            (F.coalesce("o.n_sessions", F.lit(0)) + F.coalesce("n.n_sessions", F.lit(0))).alias("n_sessions"),
-        )
-        merged.write.mode("overwrite").parquet(self._path("view", batch_id))
-        batches = (self._versions(version) if version >= 0 else []) + [batch_id]
-        self.spark.createDataFrame([(json.dumps({"version": batch_id, "batches": batches}),)], "value string").coalesce(1).write.mode("overwrite").text(self._pointer)
+        batch = batch.select(*names).persist()
+        try:
+            part = F.pmod(F.xxhash64("project_id"), F.lit(self.parts)).cast("int")
+            touched = {r["p"] for r in batch.select(part.alias("p")).distinct().collect()}  # PARTS at most
+            waiting = batch.unionByName(self._read("parked", EVENT, now["parked"], touched))
+            if waiting.groupBy("project_id", "sequence").agg(F.min("id").alias("low"), F.max("id").alias("top")).where("low <> top").count():
+                raise EventError("two events claim one place")
+            waiting = waiting.dropDuplicates(["project_id", "sequence"])
+            old = self._read("view", VIEW, now["view"], touched)
+            last = old.select("project_id", F.col("last_sequence").alias("have"))
+            place = F.row_number().over(Window.partitionBy("project_id").orderBy("sequence"))
+            ready = waiting.join(last, "project_id", "left").withColumn("have", F.coalesce("have", F.lit(0))).where(F.col("sequence") > F.col("have")).withColumn("place", place)
+            in_place = F.col("sequence") == F.col("have") + F.col("place")
+            new = summarize(ready.where(in_place))
+            joined = old.alias("o").join(new.alias("n"), "project_id", "full_outer")
+            merged = joined.select(
+                "project_id",
+                (F.coalesce("o.n_events", F.lit(0)) + F.coalesce("n.n_events", F.lit(0))).alias("n_events"),
+                F.coalesce("n.last_sequence", "o.last_sequence").alias("last_sequence"),
+                F.coalesce("n.active_session_id", "o.active_session_id").alias("active_session_id"),
+                (F.coalesce("o.n_sessions", F.lit(0)) + F.coalesce("n.n_sessions", F.lit(0))).alias("n_sessions"),
+            )
+            written = {what: self._write(df, what, batch_id) for what, df in (("view", merged), ("parked", ready.where(~in_place).select(*names)))}
+        finally:
+            batch.unpersist()
+        line = {"batch": batch_id, "view": now["view"] | dict.fromkeys(written["view"], batch_id), "parked": {p: b for p, b in now["parked"].items() if int(p) not in touched} | dict.fromkeys(written["parked"], batch_id)}
+        self.spark.createDataFrame([(batch_id, json.dumps(line))], "batch long, line string").coalesce(1).write.mode("append").parquet(f"{self.root}/lines")
 
 
 def summarize(events: DataFrame) -> DataFrame:

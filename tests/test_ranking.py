@@ -11,7 +11,6 @@ from ledgerloom.operators import graph, packing, search
 from ledgerloom.operators.graph import Edge, GraphConfig, bounded_bfs, personalized_pagerank
 from ledgerloom.operators.packing import Unit, diversity_order, pack, similarity, source_window
 from ledgerloom.plans.ranking import LocalIndex, fuse
-from ledgerloom.session import shared_dir
 
 
 def unit(id_, text, relevance=0.5, **more):
@@ -24,8 +23,10 @@ def test_fusion(spark):
     lists = spark.createDataFrame([("a", "x", 1), ("a", "y", 2), ("b", "y", 1), ("b", "x", 2), ("b", "y", 3)], "channel string, id string, rank long")
     got = {r.id: (r.rrf, r.n_channels) for r in search.reciprocal_rank_fusion(lists).collect()}
     assert got["x"] == (pytest.approx(1 / 61 + 1 / 62), 2) and got["y"] == (pytest.approx(1 / 61 + 1 / 62), 2)
-    tiers = search.with_priority(search.reciprocal_rank_fusion(lists.replace("a", "exact", "channel"))).collect()
+    tiers = search.candidates(search.reciprocal_rank_fusion(lists.replace("a", "exact", "channel")), 5).collect()
     assert all(r.priority == 1 and r.relevance == 1.0 for r in tiers)
+    rest = search.candidates(search.reciprocal_rank_fusion(lists), 1).collect()
+    assert [(r.id, r.priority, r.relevance) for r in rest] == [("x", 3, 1.0)]
 
 
 def test_bounded_search_and_pagerank():
@@ -157,7 +158,7 @@ def test_text(spark):
             normalize_query(**bad)
 
 
-def test_bm25_matches_a_search_engine(spark):
+def test_bm25_matches_a_search_engine(spark, tmp_path):
     rng = random.Random(5)
     words = [f"w{k}" for k in range(40)]
     docs = [(k, " ".join(["common"] * (k % 30 != 0) + rng.choices(words, k=rng.randrange(3, 40)))) for k in range(300)]
@@ -169,7 +170,7 @@ def test_bm25_matches_a_search_engine(spark):
     df = spark.createDataFrame(docs, "id long, body string")
     got = {r.doc_id: r.score for r in search.bm25(df, "id", "body", terms).collect()}
     assert got == pytest.approx(want, abs=1e-9)
-    path = f"{shared_dir(spark)}/index-test-{rng.random()}"
+    path = str(tmp_path / "index")
     assert search.open_index(spark, path) is None and search.ensure_index(df, "id", "body", path, parts=4, spread=2)
     index = search.open_index(spark, path)
     assert {r.doc_id: r.score for r in index.bm25([*terms, "w1"]).collect()} == pytest.approx(want, abs=1e-9) and index.bm25([]).count() == 0

@@ -1,5 +1,8 @@
+import pytest
+
 from ledgerloom.functions.canonical import canonical_json
-from ledgerloom.operators.events import EVENT, create_event
+
+from ledgerloom.operators.events import EVENT, EventError, create_event
 from ledgerloom.streaming import views
 
 T = "2024-01-02T03:04:05.006Z"
@@ -34,3 +37,32 @@ def test_every_prefix_equals_the_batch_view_and_late_events_wait(spark, tmp_path
         assert view.parked().count() == len(seen) - len(place)
         view.apply(df, 0)  # a batch that ran before changes nothing
         assert rows(view.view()) == rows(want)
+
+
+def table(spark, events):
+    return spark.createDataFrame([{**e, "payload": canonical_json(e["payload"])} for e in events], EVENT)
+
+
+def test_a_crash_keeps_the_version_before_and_untouched_parts_stay(spark, tmp_path, monkeypatch):
+    view = views.ProjectView(spark, str(tmp_path / "view"), parts=4)
+    logs = {p: history(p, 3) for p in range(1, 9)}
+    view.apply(table(spark, [e for p in logs for e in logs[p][:3]]), 0)
+    before, folders = rows(view.view()), view._newest()["view"]
+    real = views.ProjectView._write
+
+    def dies(self, df, what, batch_id):
+        real(self, df, what, batch_id)
+        raise RuntimeError("lost")
+
+    monkeypatch.setattr(views.ProjectView, "_write", dies)
+    with pytest.raises(RuntimeError):
+        view.apply(table(spark, logs[1][3:]), 1)
+    assert rows(view.view()) == before
+    monkeypatch.undo()
+    view.apply(table(spark, logs[1][3:]), 1)
+    after = view._newest()["view"]
+    assert sum(after[p] != folders[p] for p in folders) == 1 and max(r[1] for r in rows(view.view())) == 5
+    with pytest.raises(EventError):
+        other = create_event(uuid(2), uuid(102), 4, "conversation.user_message", {"content": "another"}, T)
+        view.apply(table(spark, [logs[2][3], other]), 2)
+    assert view._newest()["batch"] == 1
