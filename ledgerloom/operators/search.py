@@ -6,11 +6,11 @@ import uuid
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ledgerloom.functions.text import search_tokens, terms_of
+from ledgerloom.session import cut, exists
 
 K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
 #: By so much a product of floats may miss the number that it stands for.
@@ -124,12 +124,9 @@ def open_index(spark: SparkSession, path: str) -> SearchIndex | None:
 
 def _newest(spark: SparkSession, path: str):
     """A version counts from when its line stands in the table of versions, which is written last."""
-    try:
-        return spark.read.schema("version long, folder string, digest string, documents long, average double, parts long").parquet(f"{path}/versions").orderBy(F.col("version").desc(), "folder").first()
-    except AnalysisException as e:
-        if "PATH_NOT_FOUND" in str(e):
-            return None
-        raise
+    if not exists(spark, f"{path}/versions"):
+        return None
+    return spark.read.schema("version long, folder string, digest string, documents long, average double, parts long").parquet(f"{path}/versions").orderBy(F.col("version").desc(), "folder").first()
 
 
 def ensure_index(docs: DataFrame, doc_id: str, text: str, path: str, force: bool = False, parts: int = PARTS, spread: int = SPREAD) -> bool:
@@ -261,7 +258,15 @@ def similar_pairs(docs: DataFrame, id_: str, terms: str, least: float) -> DataFr
     rows = docs.select(F.col(id_).alias("id"), F.array_distinct(F.col(terms)).alias("t")).where(F.size("t") > 0)
     df = rows.select(F.explode("t").alias("term")).groupBy("term").agg(F.count("*").alias("df"))
     ordered = rows.select("id", F.explode("t").alias("term")).join(df, "term").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("df", "term")))["term"].alias("t"))
-    prefix = ordered.select("id", "t", F.explode(F.slice("t", F.lit(1), F.size("t") - F.ceil(F.lit(least) * F.size("t") - EDGE).cast("int") + 1)).alias("term"))
-    a, b = prefix.select(F.col("id").alias("a"), F.col("t").alias("ta"), "term"), prefix.select(F.col("id").alias("b"), F.col("t").alias("tb"), "term")
-    long_enough = (F.size("ta") >= least * F.size("tb") - EDGE) & (F.size("tb") >= least * F.size("ta") - EDGE)
-    return a.join(b, "term").where((F.col("a") < F.col("b")) & long_enough).dropDuplicates(["a", "b"]).select("a", "b", jaccard(F.col("ta"), F.col("tb")).alias("similarity")).where(F.col("similarity") >= least - EDGE)
+    ordered = cut(ordered)
+    first = F.size("t") - F.ceil(F.lit(least) * F.size("t") - EDGE).cast("int") + 1
+    prefix = ordered.select("id", F.size("t").alias("n"), F.posexplode(F.slice("t", F.lit(1), first)).alias("i", "term"))
+    a, b = (prefix.select("term", F.col("id").alias(x), F.col("n").alias(f"n{x}"), F.col("i").alias(f"i{x}")) for x in "ab")
+    na, nb = F.col("na"), F.col("nb")
+    alike = (na >= least * nb - EDGE) & (nb >= least * na - EDGE)
+    # no more can be shared than stands from here on in either
+    enough = F.least(na - F.col("ia"), nb - F.col("ib")) >= least / (1 + least) * (na + nb) - EDGE
+    pairs = a.hint("merge").join(b, "term").where((F.col("a") < F.col("b")) & alike & enough).select("a", "b").distinct()
+    for x in "ab":
+        pairs = pairs.hint("merge").join(ordered.select(F.col("id").alias(x), F.col("t").alias(f"t{x}")), x)
+    return pairs.select("a", "b", jaccard(F.col("ta"), F.col("tb")).alias("similarity")).where(F.col("similarity") >= least - EDGE)

@@ -15,12 +15,12 @@ from __future__ import annotations
 import json
 from collections.abc import Callable
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ledgerloom.operators.events import EVENT, EventError
+from ledgerloom.session import exists
 
 PARTS = 16
 
@@ -41,12 +41,9 @@ class ProjectView:
 
     def _newest(self) -> dict:
         """The line of the newest batch: its number, and the batch that last wrote each part of the view and of the parked events."""
-        try:
-            lines = self.spark.read.schema("batch long, line string").parquet(f"{self.root}/lines")
-        except AnalysisException as e:
-            if "PATH_NOT_FOUND" in str(e):
-                return {"batch": -1, "view": {}, "parked": {}}
-            raise
+        if not exists(self.spark, f"{self.root}/lines"):
+            return {"batch": -1, "view": {}, "parked": {}}
+        lines = self.spark.read.schema("batch long, line string").parquet(f"{self.root}/lines")
         return json.loads(lines.orderBy(F.col("batch").desc()).first()["line"])
 
     def _read(self, what: str, schema, of_part: dict[str, int], parts: set[int] | None = None) -> DataFrame:

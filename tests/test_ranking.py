@@ -184,6 +184,7 @@ def test_bm25_matches_a_search_engine(spark, tmp_path):
     newest = search.open_index(spark, path)
     assert newest.documents == 200 and {r.doc_id: r.score for r in newest.bm25(terms).collect()} == pytest.approx({r.doc_id: r.score for r in search.bm25(fewer, "id", "body", terms).collect()}, abs=1e-9)
     assert {r.doc_id: r.score for r in index.bm25(terms).collect()} == pytest.approx(want, abs=1e-9)  # a version stays as it was
+    assert search.ensure_index(df.where("id < 0"), "id", "body", str(tmp_path / "none")) and search.open_index(spark, str(tmp_path / "none")).bm25(terms).count() == 0
     counts = {(r.doc_id, r.term): r.tf for r in search.postings(df, "id", "body").collect()}
     assert counts == {(k, w): n for k, t in docs for w, n in Counter(t.split()).items()}
     assert LocalIndex(dict(docs)).scores(terms) == pytest.approx(want, abs=1e-9)
