@@ -139,13 +139,15 @@ def ensure_index(docs: DataFrame, doc_id: str, text: str, path: str, force: bool
     old = _newest(spark, path)
     if old is not None and old["digest"] == digest and not force:
         return False
-    folder, seen = f"{path}/{uuid.uuid4().hex}", Observation()
-    counted = _counted(docs, doc_id, text).observe(seen, F.count("*").alias("documents"), F.coalesce(F.avg("dl"), F.lit(0.0)).alias("average"))
+    folder, n = f"{path}/{uuid.uuid4().hex}", int(digest.partition(":")[0])
+    counted, seen = _counted(docs, doc_id, text), Observation()
+    if n:  # plans over nothing are cut away, and what they observe with them
+        counted = counted.observe(seen, F.avg("dl").alias("average"))
     posted = counted.select("doc_id", "dl", F.explode("terms").alias("t")).select("doc_id", "t.term", "t.tf", "dl", F.pmod(F.xxhash64("t.term"), F.lit(parts)).alias("part"))
     spots = posted.repartition(parts * spread, "part", F.pmod(F.xxhash64("doc_id"), F.lit(spread))).sortWithinPartitions("part", "term")
     spots.write.partitionBy("part").parquet(folder)
-    stats = seen.get
-    line = (1 + (old["version"] if old is not None else 0), folder, digest, stats["documents"], float(stats["average"]), parts)
+    average = float(seen.get["average"] or 0.0) if n else 0.0
+    line = (1 + (old["version"] if old is not None else 0), folder, digest, n, average, parts)
     spark.createDataFrame([line], "version long, folder string, digest string, documents long, average double, parts long").coalesce(1).write.mode("append").parquet(f"{path}/versions")
     return True
 
