@@ -637,9 +637,23 @@ def _best_units(spark: SparkSession, d: str, n: int) -> DataFrame:
     return docs.join(F.broadcast(scored), "doc_id").select("doc_id", "text", "source", "relevance").repartition(1)  # n rows
 
 
-@query()
+def _terms_sql(text: str) -> str:
+    """Distinct lower-case words of a text, camel case and underscores split."""
+    spaced = f"regexp_replace(regexp_replace({text}, '([a-z0-9])([A-Z])', '\\1 \\2', 'g'), '([A-Z])([A-Z][a-z])', '\\1 \\2', 'g')"
+    return f"list_distinct(list_filter(flatten(list_transform(regexp_extract_all(lower({spaced}), '[\\p{{L}}\\p{{N}}_]+'), lambda x: string_split(x, '_'))), lambda x: x <> ''))"
+
+
+@query(f"""
+WITH RECURSIVE {_bm25_sql(MULTI)}, best AS (SELECT doc_id, score FROM hits ORDER BY score, doc_id LIMIT 40),
+u AS (SELECT row_number() OVER (ORDER BY doc_id) AS i, doc_id, source, score / min(score) OVER () AS rel, {_terms_sql('text')} AS t FROM best JOIN documents USING (doc_id)),
+s AS (SELECT a.i AS i, list(greatest(0.7::DOUBLE * len(list_intersect(a.t, b.t)) / len(list_distinct(a.t || b.t)), CASE WHEN a.source = b.source THEN 0.15::DOUBLE ELSE 0 END) ORDER BY b.i) AS row FROM u a, u b GROUP BY a.i),
+m AS (SELECT list(rel ORDER BY i) AS rel, list(row ORDER BY i) AS sim, list(doc_id ORDER BY i) AS ids, count(*) AS n FROM u JOIN s USING (i)),
+r(k, done, pens, pick, penalty) AS (SELECT 0, CAST([] AS BIGINT[]), list_transform(ids, lambda x: 0::DOUBLE), 0::BIGINT, 0::DOUBLE FROM m UNION ALL
+  SELECT k + 1, list_append(done, p), list_transform(range(1, n + 1), lambda j: greatest(pens[j], sim[j][p])), CAST(p AS BIGINT), pens[p] FROM
+  (SELECT *, list_position(worth, list_max(worth)) AS p FROM (SELECT r.*, m.*, list_transform(range(1, n + 1), lambda j: CASE WHEN list_contains(done, j) THEN -1e9 ELSE 0.7::DOUBLE * rel[j] - (1 - 0.7::DOUBLE) * pens[j] END) AS worth FROM r, m WHERE k < n)))
+SELECT ids[pick] AS doc_id, CAST(k AS BIGINT) AS place, round(penalty, 9) AS penalty FROM r, m WHERE k > 0""")
 def mmr_order(spark: SparkSession, d: str) -> DataFrame:
-    return kernels.diversity(_best_units(spark, d, 40))
+    return kernels.diversity(_best_units(spark, d, 40)).select("doc_id", "place", F.round("penalty", 9).alias("penalty"))
 
 
 @query()
@@ -647,7 +661,16 @@ def context_pack(spark: SparkSession, d: str) -> DataFrame:
     return kernels.packed(_best_units(spark, d, 40), 8000, " ".join(MULTI))
 
 
-@query()
+@query(f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, string_split(coalesce(text, ''), chr(10)) AS p FROM documents),
+c AS (SELECT doc_id, len(p) AS n, CASE WHEN len(p) > 1 AND p[len(p)] = '' THEN p[:len(p) - 1] ELSE p END AS lines, octet_length(encode(t)) AS size FROM d),
+l AS (SELECT doc_id, n, len(lines) AS n_lines, size, unnest(lines) AS line, unnest(range(1, len(lines) + 1)) AS i FROM c),
+b AS (SELECT doc_id, n_lines, size, i, octet_length(encode(line)) + CASE WHEN i < n THEN 1 ELSE 0 END AS bytes, len(list_intersect({_terms_sql('line')}, [{", ".join(f"'{t}'" for t in MULTI)}])) AS score FROM l),
+f AS (SELECT doc_id, greatest(1, arg_max(i, struct_pack(s := score, i := -i)) - 1) AS first FROM b GROUP BY doc_id),
+w AS (SELECT b.*, first, sum(bytes) OVER (PARTITION BY doc_id ORDER BY i) AS upto FROM b JOIN f USING (doc_id) WHERE size <= 1800 OR i >= first),
+x AS (SELECT doc_id, any_value(n_lines) AS n_lines, any_value(size) AS size, any_value(first) AS first, max(i) FILTER (upto <= 1800 OR i = first) AS last, sum(bytes) FILTER (upto <= 1800 OR i = first) AS shown FROM w GROUP BY doc_id)
+SELECT doc_id, CAST(CASE WHEN size <= 1800 THEN 1 ELSE first END AS BIGINT) AS first_line, CAST(CASE WHEN size <= 1800 THEN n_lines ELSE last END AS BIGINT) AS last_line,
+CAST(CASE WHEN size <= 1800 THEN size ELSE shown END AS BIGINT) AS n_bytes, size > 1800 AND shown < size AS partial FROM x""")
 def source_windows(spark: SparkSession, d: str) -> DataFrame:
     return kernels.windows(table(spark, d, "documents").select("doc_id", "text"), MULTI, 1800)
 
