@@ -29,8 +29,9 @@ from pyspark.sql import functions as F
 from ledgerloom.llm.common import nested, ranges, slices, table, with_fields, with_text
 
 WINDOW, SHINGLE = 10, 3
-#: Item bytes that are broadcast together; a larger benchmark is taken in several such blocks.
-BLOCK_BYTES = 16 << 20
+#: Item bytes whose index is broadcast together, on average; a larger benchmark is taken in several such blocks.
+#: The index takes some 60 bytes for each of them, which the driver and every worker must hold.
+BLOCK_BYTES = 4 << 20
 
 #: A-Z lower-cased, other ASCII that is no digit or letter a space; bytes of other characters stay.
 FOLD = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
